@@ -44,17 +44,26 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
-    """Joins many `left` rows to unique `right` keys. `how` is left or inner.
+#: Lists of ids up to this length are broadcast; longer ones meet their rows in a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of `df` whose `column` is among the distinct values of `ids`' same column. Wide rows don't move while the ids are few."""
+    n = ids.limit(BROADCAST_IDS + 1).count()
+    return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, column, "left_semi")
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot_keys: list | None = None) -> DataFrame:
+    """Joins many `left` rows to unique `right` keys. `how` is left or inner. `hot_keys`: where the caller knows them.
 
     Hot keys of `left` (more than 1/HOT_SHARE of its rows, so HOT_SHARE keys at most) meet a broadcast of their
     `right` rows; all others meet in an ordinary shuffle join. `right` rows must be narrow. Null keys match nothing.
     """
-    total = left.count()
-    hot = (
-        left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col(key).isNotNull() & (F.col("_n") * HOT_SHARE > F.greatest(F.lit(total), F.lit(100_000)))).select(key)
-    )
-    hot_keys = [r[0] for r in hot.take(HOT_SHARE)]
+    if hot_keys is None:
+        total = max(left.count(), 100_000)
+        by = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col(key).isNotNull() & (F.col("_n") * HOT_SHARE > total))
+        hot_keys = [r[0] for r in by.select(key).take(HOT_SHARE)]
     if not hot_keys:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot_keys), F.lit(False))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrylake.llm import near_dedup
 from ferrylake.llm import quality_rules as rules
 from ferrylake.llm import toxicity
 from ferrylake.llm.common import read_table
@@ -19,12 +20,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(*rules.RESULT)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
