@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylake.llm import near_dedup, packing
+from ferrylake.llm import chunk_reuse, near_dedup, packing
 from ferrylake.llm import quality_rules as rules
 from ferrylake.llm import toxicity
 from ferrylake.llm.common import read_table
@@ -25,6 +25,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op6_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_reuse.digests(chunk_reuse.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -34,7 +38,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op7_best_fit_packing, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op6_chunk_reuse, op7_best_fit_packing, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

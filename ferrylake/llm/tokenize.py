@@ -106,24 +106,28 @@ class Encoder:
         return ids, offsets
 
 
-def _unsafe(column: pa.Array) -> np.ndarray:
-    """Texts in which a space stands next to other white space or at an edge that may be white space in some table."""
-    raw, offsets = text_bytes(column)
-    n = len(raw)
-    out = np.zeros(len(column), bool)
-    if n < 2:
-        return out
+def white_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes that are a space; that begin a character which some table counts as white space; that end one."""
     space = raw == 0x20
-    like = space | ((raw >= 0x09) & (raw <= 0x0D)) | ((raw >= 0x1C) & (raw <= 0x1F))
-    starts, stops = like.copy(), like.copy()
+    starts = space | ((raw >= 0x09) & (raw <= 0x0D)) | ((raw >= 0x1C) & (raw <= 0x1F))
+    stops = starts.copy()
     if (raw >= 0xC2).any():
         two = np.flatnonzero((raw[:-1] == 0xC2) & ((raw[1:] == 0x85) | (raw[1:] == 0xA0)))
         starts[two] = stops[two + 1] = True
-        if n > 2:
-            a, b, c = raw[:-2], raw[1:-1], raw[2:]
-            wide = (a == 0xE1) & ((b == 0x9A) | (b == 0xA0)) | (a == 0xE2) & ((b == 0x80) & ((c <= 0x8D) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81)) | (a == 0xE3) & (b == 0x80) & (c == 0x80) | (a == 0xEF) & (b == 0xBB) & (c == 0xBF)
-            three = np.flatnonzero(wide)
-            starts[three] = stops[three + 2] = True
+        a, b, c = raw[:-2], raw[1:-1], raw[2:]
+        wide = (a == 0xE1) & ((b == 0x9A) | (b == 0xA0)) | (a == 0xE2) & ((b == 0x80) & ((c <= 0x8D) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81)) | (a == 0xE3) & (b == 0x80) & (c == 0x80) | (a == 0xEF) & (b == 0xBB) & (c == 0xBF)
+        three = np.flatnonzero(wide)
+        starts[three] = stops[three + 2] = True
+    return space, starts, stops
+
+
+def _unsafe(column: pa.Array) -> np.ndarray:
+    """Texts in which a space stands next to other white space."""
+    raw, offsets = text_bytes(column)
+    out = np.zeros(len(column), bool)
+    if len(raw) < 2:
+        return out
+    space, starts, stops = white_edges(raw)
     bad = np.flatnonzero((space[:-1] & starts[1:]) | (stops[:-1] & space[1:]))
     if len(bad):
         rows = np.searchsorted(offsets, bad, "right") - 1
