@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrylake.llm import chunk_reuse, near_dedup, packing
+from ferrylake.llm import quality_classifier as classifier
 from ferrylake.llm import quality_rules as rules
 from ferrylake.llm import toxicity
 from ferrylake.llm.common import read_table
@@ -25,6 +26,13 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", *classifier.VIEW)
+    model = classifier.fit(docs, read_table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    scored = classifier.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "quality_score", "quality_text", "quality_meta", (F.col("quality_score") >= classifier.THRESHOLD).alias("kept"))
+
+
 def op6_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_reuse.digests(chunk_reuse.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -38,7 +46,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op6_chunk_reuse, op7_best_fit_packing, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op5_quality_classifier, op6_chunk_reuse, op7_best_fit_packing, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
