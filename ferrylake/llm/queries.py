@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylake.llm import chunk_reuse, near_dedup, packing
+from ferrylake.llm import chunk_reuse, exact_topk, near_dedup, packing
 from ferrylake.llm import quality_classifier as classifier
 from ferrylake.llm import quality_rules as rules
 from ferrylake.llm import toxicity
@@ -26,6 +26,11 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return exact_topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", *classifier.VIEW)
     model = classifier.fit(docs, read_table(spark, sf_dir, "labels").where(~toxicity.held_out()))
@@ -46,8 +51,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op5_quality_classifier, op6_chunk_reuse, op7_best_fit_packing, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_exact_topk, op5_quality_classifier, op6_chunk_reuse, op7_best_fit_packing, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": rules.oracle()}
+    return {"op3_exact_topk": exact_topk.ORACLE, "op8_quality_rules": rules.oracle()}
