@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylake.llm import chunk_reuse, exact_topk, near_dedup, packing
+from ferrylake.llm import chunk_reuse, exact_topk, near_dedup, packing, range_coder
 from ferrylake.llm import quality_classifier as classifier
 from ferrylake.llm import quality_rules as rules
 from ferrylake.llm import toxicity
@@ -50,8 +50,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(*rules.RESULT)
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = range_coder.written_and_read(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_exact_topk, op5_quality_classifier, op6_chunk_reuse, op7_best_fit_packing, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_exact_topk, op5_quality_classifier, op6_chunk_reuse, op7_best_fit_packing, op8_quality_rules, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
