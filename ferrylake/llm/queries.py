@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylake.llm import chunk_reuse, exact_topk, near_dedup, packing, range_coder
+from ferrylake.llm import chunk_reuse, exact_topk, html_text, near_dedup, packing, range_coder, warc
 from ferrylake.llm import quality_classifier as classifier
 from ferrylake.llm import quality_rules as rules
 from ferrylake.llm import toxicity
@@ -31,6 +31,11 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.responses(read_table(spark, sf_dir, "pages")))
+    return made.select(F.col("source_id").cast("long").alias("page_id"), "record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "source_payload_digest", "block_digest", "block_length", "n_links")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", *classifier.VIEW)
     model = classifier.fit(docs, read_table(spark, sf_dir, "labels").where(~toxicity.held_out()))
@@ -50,13 +55,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(*rules.RESULT)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = range_coder.written_and_read(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_exact_topk, op5_quality_classifier, op6_chunk_reuse, op7_best_fit_packing, op8_quality_rules, op10_token_files)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_exact_topk, op4_warc_derivatives, op5_quality_classifier, op6_chunk_reuse, op7_best_fit_packing, op8_quality_rules, op9_html_text, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
