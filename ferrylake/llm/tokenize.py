@@ -41,6 +41,11 @@ class Encoder:
         self.spaced = vocabulary != WORD_BPE  # chunks keep the space before them
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        # A token that begins a word with its space, or one that ends a word: it tells words apart in a longer text.
+        edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            edge[i] = token.startswith("\u0120") if self.spaced else token.endswith("</w>")
+        self.edge = edge
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, encoded whole."""
@@ -48,17 +53,60 @@ class Encoder:
 
     def chunks(self, texts: list[str]) -> list[bytes]:
         """Ids of each of these different chunks, from the cache or the library."""
-        out = [self.new.get(t) or self.old.get(t) for t in texts]
-        missing = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(missing, self.whole([texts[i] for i in missing]), strict=True):
-            out[i] = ids.tobytes()
-        for t, x in zip(texts, out, strict=True):
-            if len(t) <= CACHE_BYTES and x:
-                self.new[t] = x
+        parts = [self._parts(t) for t in texts]
+        known: dict[str, bytes] = {"": b""}
+        missing = []
+        for key in {k for p in parts for k in p}:
+            found = self.new.get(key) or self.old.get(key)
+            if found is not None:
+                known[key] = found
+            elif key:
+                missing.append(key)
+        plain = [k for k in missing if (k[1:] if self.spaced else k).isalpha() and (k[0] == " ") == self.spaced and self._word(k) == [k]]
+        known.update(zip(plain, self._words(plain), strict=True))
+        others = list(set(missing).difference(plain))
+        known.update(zip(others, (ids.tobytes() for ids in self.whole(others)), strict=True))
+        for key, x in known.items():
+            if len(key) <= CACHE_BYTES and x:
+                self.new[key] = x
         if len(self.new) > CACHE_CHUNKS:
             self.old, self.new = self.new, {}
+        return [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in parts]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words, encoded side by side: many short calls cost more than a few longer ones."""
+        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
+        out: list[bytes] = []
+        for group, ids in zip(groups, self.whole([("" if self.spaced else " ").join(g) for g in groups]), strict=True):
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) != len(group):  # a word that isn't one after all
+                out += [x.tobytes() for x in self.whole(group)]
+                continue
+            bounds = [*at.tolist(), len(ids)] if self.spaced else [0, *(at + 1).tolist()]
+            out += [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return out
 
+    def _parts(self, chunk: str) -> list[str]:
+        """Parts of a chunk that never share a token: plain words, the punctuation after them, line ends between words."""
+        if "\n" not in chunk:
+            return self._word(chunk)
+        pieces = chunk.split("\n")
+        bare = [pieces[0][1:] if pieces[0][:1] == " " else pieces[0], *pieces[1:]]
+        if not all(bare) or any(x != x.strip() for x in bare):
+            return [chunk]
+        out = self._word(pieces[0])
+        for x in pieces[1:]:
+            out += ["\n", *self._word(x)]
+        return out
+
+    def _word(self, chunk: str) -> list[str]:
+        word = chunk.rstrip(".,;:!?*$%&#|")
+        letters = word[1:] if word[:1] == " " else word
+        if letters.isalpha() and (letters.isascii() or (max(letters) < "\u0250" and "\u0130" not in letters)):
+            word_key = word if self.spaced else word.lower()
+            return [word_key] if len(word) == len(chunk) else [word_key, chunk[len(word) :]]
+        return [chunk]
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column (null: empty), one after another, and where each text's begin, with an end."""
         column = column.cast(pa.string()).fill_null("") if column.null_count or not pa.types.is_string(column.type) else column
