@@ -5,11 +5,14 @@ A document's set is its distinct k-word shingles (64-bit hashes of words `[^\\x2
 borrow from others in a fixed random order, so that small sets have full sketches too.
 
 1. Documents with equal sets form classes; each class goes on as one node, its smallest doc_id.
-2. The sketch is cut into 32 bands of 4 registers; nodes that share a band meet. Each meets the smallest node of its
-   band first; estimates sort out the hopeless pairs and full sets confirm the rest.
-3. Bands whose nodes are still in several components are paired anew across components, so no link that shares a band
-   is lost; large bands are compared in blocks, which hand on only the pairs that pass the estimate.
-4. Components of all confirmed links give each document its smallest reachable doc_id.
+2. The sketch is cut into 32 bands of 4 registers; nodes that share a band meet. Each meets the pivot of its band
+   first, the node that meets most others in all its bands, which is the original in a group of its near copies.
+   Estimates sort out the hopeless pairs and full sets confirm the rest. A node's home is the busiest of its pivots.
+3. Nodes that were not linked to their home are compared with all nodes of the same home, in blocks of full sets; a
+   block hands on only the links that join components.
+4. Nodes of different homes that share a band and are still in different components are paired, so no link that
+   shares a band is lost. Large bands are compared in blocks here, too, which hand on what passes the estimate.
+5. Components of all confirmed links give each document its smallest reachable doc_id.
 
 Two sets with a similarity of 0.8 share none of 32 bands with a chance of about 5e-8.
 
@@ -22,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ ROWS = 4
 BANDS = BUCKETS // ROWS
 _EMPTY = np.uint16(0xFFFF)
 #: Estimates within so many standard errors below the threshold are verified.
-MARGIN = 6.0
+MARGIN = 5.0
 #: Bands with more nodes than this are compared in blocks of this many.
 BLOCK = 256
 #: Pairs of one hot node that share a task.
@@ -160,22 +162,63 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
 
 def _across(percent: int):
-    """Likely pairs of nodes in different components, of one pair of blocks of a large band."""
+    """Likely pairs of nodes of different components and homes, of one pair of blocks of a large band."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
         found: list[tuple[int, int]] = []
-        if len(rows):
-            s = np.frombuffer(b"".join(rows.sketch), np.uint16).reshape(-1, BUCKETS)
-            n, node, comp, block = rows.n.to_numpy(), rows.node.to_numpy(), rows.component.to_numpy(), rows.block.to_numpy()
-            one, two = int(rows.i.iloc[0]), int(rows.j.iloc[0])
-            second = np.flatnonzero(block == two)
-            for x in np.flatnonzero(block == one):
-                y = second[(comp[second] != comp[x]) & ((node[second] > node[x]) if one == two else True)]
-                if len(y):
-                    m = np.full(len(y), n[x])
-                    good = y[likely(estimate(np.broadcast_to(s[x], (len(y), BUCKETS)), s[y], m, n[y]), m, n[y], percent)]
-                    found += [(min(node[x], v), max(node[x], v)) for v in node[good]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        s = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        n, node, comp, home, block = (rows.column(c).to_numpy() for c in ("n", "node", "component", "home", "block"))
+        one, two = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        second = np.flatnonzero(block == two)
+        for x in np.flatnonzero(block == one):
+            y = second[(comp[second] != comp[x]) & (home[second] != home[x]) & ((node[second] > node[x]) if one == two else True)]
+            if len(y):
+                m = np.full(len(y), n[x])
+                good = y[likely(estimate(np.broadcast_to(s[x], (len(y), BUCKETS)), s[y], m, n[y]), m, n[y], percent)]
+                found += [(min(node[x], v), max(node[x], v)) for v in node[good].tolist()]
+        a, b = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
+def _meet(percent: int):
+    """Links between the strays and the members of one pair of blocks of a home, as many as join their components."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        stray, node, comp = rows.column("stray").to_numpy(zero_copy_only=False), rows.column("node").to_numpy(), rows.column("component").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        left, right = np.flatnonzero(stray), np.flatnonzero(~stray)
+        both = np.zeros((len(left), len(right)), np.float32)
+        names, cell, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        shared = times[cell] > 1
+        rank = np.cumsum(times > 1) - 1
+        cell, owner = rank[cell[shared]], owner[shared]
+        for at in range(0, int(rank[-1]) + 1 if len(rank) else 0, 8192):
+            here = (cell >= at) & (cell < at + 8192)
+            table = np.zeros((len(sets), 8192), np.float32)
+            table[owner[here], cell[here] - at] = 1
+            both += table[left] @ table[right].T
+        linked = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
+        root = {int(c): int(c) for c in comp}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        found = []
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            x, y = left[i], right[j]
+            u, v = top(int(comp[x])), top(int(comp[y]))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                found.append((int(min(node[x], node[y])), int(max(node[x], node[y]))))
+        a, b = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+        return pa.table({"a": a, "b": b})
 
     return run
 
@@ -195,30 +238,57 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     nodes = rows.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "n", "sketch")
     nodes = nodes.join(members.where("node = doc_id").select("node").distinct(), "node", "left_semi")
     bands = nodes.select("node", "sketch").mapInArrow(_bands, "node long, band long")
-    pivots = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("top"), F.count("*").alias("size")).where("pivot < top")
-    pivots = staged(pivots.select("band", "pivot", "size"), "pivots")
-    hot = [r[0] for r in pivots.where(F.col("size") * HOT_SHARE > max(100_000, BANDS * nodes.count())).select("band").take(HOT_SHARE)]
-    shared = staged(skew_join(bands, pivots.drop("size"), "band", "inner", hot).distinct(), "bands")
-    star = staged(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    sizes = staged(bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "bands")
+    hot = [r[0] for r in sizes.where(F.col("size") * HOT_SHARE > max(100_000, BANDS * nodes.count())).select("band").take(HOT_SHARE)]
+    shared = staged(skew_join(bands, sizes, "band", "inner", hot), "shared")
+    busy = staged(shared.groupBy("node").agg(F.sum("size").alias("busy")), "busy")
+    ranked = shared.join(busy, "node").select("band", "node", F.struct("busy", (-F.col("node")).alias("low")).alias("rank"))
+    pivots = staged(ranked.groupBy("band").agg(F.max_by("node", "rank").alias("pivot"), F.max("rank").alias("rank")), "pivots")
+    met = staged(skew_join(shared.select("band", "node"), pivots, "band", "inner", hot), "met")
+    homes = staged(met.groupBy("node").agg(F.max_by("pivot", "rank").alias("home")), "homes")
+    ordered = (F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+    star = staged(met.where("node <> pivot").select(*ordered).distinct(), "pairs")
     links = staged(_confirmed(star, texts, k, percent), "links")
 
-    # Bands whose nodes are in several components by now; pairs across these that were not compared yet.
-    labels = connected_components(links)
-    known = skew_join(shared.select("band", "node"), labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = known.groupBy("band").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "size")
-    open_ = staged(known.join(mixed, "band"), "open")
+    # Nodes that were not linked to their home, and all nodes of that home.
+    def labelled(found: DataFrame) -> DataFrame:
+        return staged(skew_join(homes, connected_components(found), "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+
+    known = labelled(links)
+    # A node that is a pivot and has another home may lead a home that it is not of itself.
+    of_home = homes.select("home").distinct().join(known.select(F.col("node").alias("home"), F.col("component").alias("main")), "home", "left").select("home", F.coalesce("main", "home").alias("main"))
+    flagged = skew_join(known, of_home, "home", "inner").withColumn("stray", F.col("component") != F.col("main")).drop("main")
+    groups = flagged.groupBy("home").agg(F.count("*").alias("many"), F.sum(F.col("stray").cast("long")).alias("strays"), F.min("component").alias("low"), F.max("component").alias("high")).where("many > 2 AND strays > 0 AND low < high")
+    open_ = staged(skew_join(flagged, groups.select("home", "many", "strays"), "home", "inner"), "open")
+    if open_.take(1):
+        sets = staged(with_ids(texts, open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id").mapInArrow(_features(k, True), "node long, n long, sketch binary, hashes binary").drop("sketch", "n"), "sets")
+        rows, columns = F.ceil(F.col("strays") / BLOCK).cast("int"), F.ceil(F.col("many") / BLOCK).cast("int")
+        full = open_.join(sets, "node")
+        i, j = F.pmod(F.xxhash64("node"), rows).cast("int"), F.pmod(F.xxhash64("node"), columns).cast("int")
+        one = full.where("stray").select("home", "node", "component", "hashes", F.lit(True).alias("stray"), i.alias("i"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("j"))
+        two = full.select("home", "node", "component", "hashes", F.lit(False).alias("stray"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), j.alias("j"))
+        links = links.union(staged(one.union(two).groupBy("home", "i", "j").applyInArrow(_meet(percent), "a long, b long"), "links"))
+        known = labelled(links)
+
+    # Bands whose nodes are still in several components: pairs of different homes, that is, not compared so far.
+    spread = skew_join(shared, known, "node", "inner")
+    mixed = spread.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("home").alias("first"), F.max("home").alias("last"))
+    mixed = mixed.where("low < high AND first < last").select("band")
+    open_ = staged(spread.join(mixed, "band", "left_semi"), "open")
     small = open_.where(F.col("size") <= BLOCK)
-    x, y = small.select("band", F.col("node").alias("a"), F.col("component").alias("ca")), small.select("band", F.col("node").alias("b"), F.col("component").alias("cb"))
-    pairs = x.join(y, "band").where("a < b AND ca <> cb").select("a", "b")
+    x, y = (small.select("band", F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("home").alias(f"h{c}")) for c in ("a", "b"))
+    pairs = x.join(y, (x["band"] == y["band"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("ha") != F.col("hb"))).select("a", "b")
     large = open_.where(F.col("size") > BLOCK)
     if large.take(1):
         n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        dealt = large.join(nodes, "node").select("band", "node", "n", "sketch", "component", n_blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = large.join(nodes, "node").select("band", "node", "n", "sketch", "component", "home", n_blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        pairs = pairs.union(dealt.groupBy("band", "i", "j").applyInPandas(_across(percent), "a long, b long"))
+        pairs = pairs.union(dealt.groupBy("band", "i", "j").applyInArrow(_across(percent), "a long, b long"))
     rest = staged(pairs.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
     if rest.take(1):
-        labels = connected_components(links.union(staged(_confirmed(rest, texts, k, percent), "links")))
+        links = links.union(staged(_confirmed(rest, texts, k, percent), "links"))
+        known = labelled(links)
+    labels = known.select("node", "component")
     final = skew_join(members, labels, "node", "left")
     return final.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 

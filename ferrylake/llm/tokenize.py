@@ -22,6 +22,9 @@ CACHE_CHUNKS, CACHE_BYTES = 300_000, 64
 #: Bytes of text that are cut and encoded at a time.
 BATCH_BYTES = 4 << 20
 
+#: A plain word (letters below U+0250 but for the one whose lower case is two characters), and punctuation after it.
+_PLAIN = r"^(?P<word>[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+)(?P<end>[.,;:!?*$%&#|]*)$"
+
 _workers: dict[str, "Encoder"] = {}
 
 
@@ -51,27 +54,44 @@ class Encoder:
         """Ids of each text, encoded whole."""
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def chunks(self, texts: list[str]) -> list[bytes]:
-        """Ids of each of these different chunks, from the cache or the library."""
-        parts = [self._parts(t) for t in texts]
-        known: dict[str, bytes] = {"": b""}
-        missing = []
-        for key in {k for p in parts for k in p}:
-            found = self.new.get(key) or self.old.get(key)
-            if found is not None:
-                known[key] = found
-            elif key:
-                missing.append(key)
-        plain = [k for k in missing if (k[1:] if self.spaced else k).isalpha() and (k[0] == " ") == self.spaced and self._word(k) == [k]]
-        known.update(zip(plain, self._words(plain), strict=True))
-        others = list(set(missing).difference(plain))
-        known.update(zip(others, (ids.tobytes() for ids in self.whole(others)), strict=True))
-        for key, x in known.items():
-            if len(key) <= CACHE_BYTES and x:
-                self.new[key] = x
-        if len(self.new) > CACHE_CHUNKS:
-            self.old, self.new = self.new, {}
-        return [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in parts]
+    def chunks(self, names: pa.Array, spaced: bool) -> list[bytes]:
+        """Ids of different chunks; `spaced`: a space stands before each. Plain words are found, and counted once, by Arrow."""
+        split = pc.extract_regex(names, _PLAIN)
+        word, end = pc.struct_field(split, "word"), pc.struct_field(split, "end")
+        plain = np.asarray(pc.is_valid(split))
+        word, end = word.filter(pa.array(plain)), end.filter(pa.array(plain))
+        if not self.spaced:
+            word = pc.utf8_lower(word)
+        if spaced:
+            word = pc.binary_join_element_wise("", word, " ")
+        word, end = word.dictionary_encode(), end.dictionary_encode()
+        words, ends = self._known(word.dictionary.to_pylist(), True), self._known(end.dictionary.to_pylist(), False)
+        out: list[bytes] = [b""] * len(names)
+        at = np.flatnonzero(plain).tolist()
+        for i, a, b in zip(at, np.asarray(word.indices).tolist(), np.asarray(end.indices).tolist(), strict=True):
+            out[i] = words[a] + ends[b] if ends[b] else words[a]
+        others = names.filter(pa.array(~plain)).to_pylist()
+        parts = [self._parts(" " + t if spaced else t) for t in others]
+        keys = list({k for p in parts for k in p})
+        known = dict(zip(keys, self._known(keys, False), strict=True))
+        for i, p in zip(np.flatnonzero(~plain).tolist(), parts, strict=True):
+            out[i] = known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])
+        return out
+
+    def _known(self, keys: list[str], plain: bool) -> list[bytes]:
+        """Ids of keys from the cache, or from the library; `plain`: all are single words."""
+        new, old = self.new, self.old
+        out = [new.get(k) or old.get(k) for k in keys]
+        missing = [i for i, x in enumerate(out) if x is None]
+        wanted = [keys[i] for i in missing]
+        for i, x in zip(missing, self._words(wanted) if plain else [ids.tobytes() for ids in self.whole(wanted)], strict=True):
+            out[i] = x
+        for k, x in zip(keys, out, strict=True):
+            if x and len(k) <= CACHE_BYTES:
+                new[k] = x
+        if len(new) > CACHE_CHUNKS:
+            self.old, self.new = new, {}
+        return out
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of plain words, encoded side by side: many short calls cost more than a few longer ones."""
@@ -102,9 +122,8 @@ class Encoder:
     def _word(self, chunk: str) -> list[str]:
         word = chunk.rstrip(".,;:!?*$%&#|")
         letters = word[1:] if word[:1] == " " else word
-        if letters.isalpha() and (letters.isascii() or (max(letters) < "\u0250" and "\u0130" not in letters)):
-            word_key = word if self.spaced else word.lower()
-            return [word_key] if len(word) == len(chunk) else [word_key, chunk[len(word) :]]
+        if len(word) < len(chunk) and letters.isalpha() and (letters.isascii() or (max(letters) < "\u0250" and "\u0130" not in letters)):
+            return [word, chunk[len(word) :]]
         return [chunk]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,11 +154,10 @@ class Encoder:
             codes = np.empty(len(values), np.int64)
             codes[first] = np.asarray(head.indices) + len(rest.dictionary)
             codes[~first] = np.asarray(rest.indices)
-            names = [" " + x for x in rest.dictionary.to_pylist()] + head.dictionary.to_pylist()
+            known = self.chunks(rest.dictionary, True) + self.chunks(head.dictionary, False)
         else:
             coded = values.dictionary_encode()
-            codes, names = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
-        known = self.chunks(names)
+            codes, known = np.asarray(coded.indices).astype(np.int64), self.chunks(coded.dictionary, False)
         sizes = np.fromiter((len(x) >> 2 for x in known), np.int64, len(known))
         flat = np.frombuffer(b"".join(known), np.uint32)
         starts = np.cumsum(sizes) - sizes

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +59,6 @@ def markdown_report(findings: DataFrame) -> DataFrame:
 
 def pretty_xml(docs: DataFrame, column: str = "xml") -> DataFrame:
     """Adds `pretty`: UTF-8 text indented by two, null where the document is not well-formed."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(xs: pd.Series) -> pd.Series:
         import xml.etree.ElementTree as ET
@@ -79,8 +78,6 @@ def pretty_xml(docs: DataFrame, column: str = "xml") -> DataFrame:
 
 def zip_batch(files: DataFrame, size: int = 100) -> DataFrame:
     """Batches of (filename, content) as ZIP archives of `size` files at most, one row each."""
-    import pandas as pd
-
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         import io
         import zipfile
