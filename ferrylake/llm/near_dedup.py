@@ -157,7 +157,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     left = sets.select(*(F.col(c).alias(f"{c}_a") for c in ("node", "n", "sketch", "hashes")))
     left = left.join(shares, F.col("node_a") == F.col("a"), "inner").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("a", "shares")
     right = sets.select(*(F.col(c).alias(f"{c}_b") for c in ("node", "n", "sketch", "hashes")))
-    full = dealt.join(right, dealt["b"] == right["node_b"]).join(left, (F.col("a") == F.col("node_a")) & (dealt["share"] == left["share"]))
+    # Sets meet their pairs in a shuffle at every size: neither side has a bound.
+    full = dealt.join(right.hint("merge"), dealt["b"] == right["node_b"]).join(left.hint("merge"), (F.col("a") == F.col("node_a")) & (dealt["share"] == left["share"]))
     return full.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b", "hashes_a", "hashes_b").mapInArrow(_verify(percent), "a long, b long").distinct()
 
 
@@ -228,15 +229,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = staged(texts.mapInArrow(_features(k, False), "doc_id long, n long, set1 long, set2 long, sketch binary"), "sketches")
 
-    # Classes of equal sets: most have one document, whose node is its own id.
-    by = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    # Classes of equal sets: most have one document, whose node is its own id. One shuffle of the sketches at any size.
+    some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    by = rows.where(some).groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    nodes = staged(by, "nodes")
     name = F.concat_ws(" ", "set1", "set2", "n")
-    classes = staged(by.where("copies > 1").select(name.alias("name"), "node"), "classes")
-    named = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, name).alias("name"))
+    classes = nodes.where("copies > 1").select(name.alias("name"), "node")
+    named = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(some, name).alias("name"))
     members = staged(skew_join(named, classes, "name", "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")), "members")
+    nodes = nodes.select("node", "n", "sketch")
+    # A doc_id that is repeated with other texts ties their classes.
+    twice = members.where("n_shingles > 0").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("doc_id")
+    tied = staged(members.where("n_shingles > 0").join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "tied")
 
-    nodes = rows.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "n", "sketch")
-    nodes = nodes.join(members.where("node = doc_id").select("node").distinct(), "node", "left_semi")
     bands = nodes.select("node", "sketch").mapInArrow(_bands, "node long, band long")
     sizes = staged(bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "bands")
     hot = [r[0] for r in sizes.where(F.col("size") * HOT_SHARE > max(100_000, BANDS * nodes.count())).select("band").take(HOT_SHARE)]
@@ -281,14 +286,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     large = open_.where(F.col("size") > BLOCK)
     if large.take(1):
         n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        dealt = large.join(nodes, "node").select("band", "node", "n", "sketch", "component", "home", n_blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = large.join(with_ids(nodes, large.select("node").distinct(), "node"), "node").select("band", "node", "n", "sketch", "component", "home", n_blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         pairs = pairs.union(dealt.groupBy("band", "i", "j").applyInArrow(_across(percent), "a long, b long"))
     rest = staged(pairs.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
     if rest.take(1):
         links = links.union(staged(_confirmed(rest, texts, k, percent), "links"))
         known = labelled(links)
-    labels = known.select("node", "component")
+    labels = connected_components(links.union(tied)) if tied.take(1) else known.select("node", "component")
     final = skew_join(members, labels, "node", "left")
     return final.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
 
