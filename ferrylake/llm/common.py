@@ -131,7 +131,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def text_slices(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def text_slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column whose texts have about `limit` bytes together; one row at least."""
     offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32, len(column) + 1, column.offset * (8 if pa.types.is_large_string(column.type) else 4))
     at = 0
