@@ -123,6 +123,17 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[
     return out.withColumn("base_failed", base_failed).withColumn("kept", ~failed)
 
 
+def kept_only(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text: str = "text") -> DataFrame:
+    """The documents that the table keeps, with their own columns.
+
+    The verdict passes a generator of one row, which no filter is pushed through: else the optimizer would put the whole
+    table into the filter, where the lists of words are made anew for every rule.
+    """
+    judged = quality_rules(docs, rules, base, text)
+    rows = judged.select("*", F.explode(F.array("kept")).alias("_verdict")).where("_verdict")
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
