@@ -22,7 +22,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the threshold table rejects."""
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    return quality_rules.kept_only(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
