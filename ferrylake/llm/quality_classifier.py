@@ -204,7 +204,10 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     own = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     if model is None:
         return docs.select(*own, *(F.lit(1.0).alias(n) for n in names))
+    given = docs.select(*own)
+    plain = given.toDF(*(c if c in VIEW else f"_{i}" for i, c in enumerate(given.columns)))  # Arrow maps take no dots in names
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    given_names = given.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -215,7 +218,7 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
                 s = batch.slice(a, b - a)
                 n_chars = s.column(at["n_chars"]).cast(pa.int64()).fill_null(0).to_numpy()
                 odds = m.log_odds(text_features(s.column(at["text"])), meta_features(s.column(at["lang"]).to_pylist(), s.column(at["source"]).to_pylist(), n_chars))
-                yield pa.RecordBatch.from_arrays([*s.columns, *(pa.array(1 / (1 + np.exp(-o.astype(np.float64)))) for o in odds)], names=[*s.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*s.columns, *(pa.array(1 / (1 + np.exp(-o.astype(np.float64)))) for o in odds)], names=[*given_names, *names])
 
-    schema = T.StructType([*docs.select(*own).schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
-    return docs.select(*own).mapInArrow(run, schema)
+    schema = T.StructType([*given.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    return plain.mapInArrow(run, schema)
