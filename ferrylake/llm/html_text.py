@@ -1,6 +1,6 @@
 """Layout-aware rendering of web pages as plain text.
 
-A small tree builder reads the tags of a page with the implied ones (paragraphs, list items, table parts), keeps what
+A small tree builder reads the tags of a page with the implied ones (head, paragraphs, list items, table parts), keeps what
 visibility rules show, and a renderer writes all visible text: a blank line between paragraphs, headings, lists and
 tables, a new line between other blocks, markers and indents for list items, and table cells in aligned columns.
 
@@ -39,6 +39,8 @@ IMPLIED = {
     "optgroup": (frozenset({"option", "optgroup"}), frozenset({"select"})),
     "body": (frozenset({"head"}), frozenset()),
 }
+#: Start tags that leave an open head open; any other, and text that is not white space, ends it.
+OF_HEAD = frozenset("html head base link meta noscript script style template title".split())
 #: End tags don't reach out of these.
 SCOPES = frozenset("table td th caption".split())
 
@@ -79,10 +81,10 @@ def build(page: str) -> tuple[Node, frozenset[str]]:
     while at < n:
         opens = _OPENS.search(page, at)
         if not opens:
-            stack[-1].children.append(html.unescape(page[at:]))
+            _text(stack, inside, html.unescape(page[at:]))
             break
         if opens.start() > at:
-            stack[-1].children.append(html.unescape(page[at : opens.start()]))
+            _text(stack, inside, html.unescape(page[at : opens.start()]))
         at = opens.start()
         if opens[0] == "<!--":
             end = page.find("-->", at + 2)
@@ -101,6 +103,8 @@ def build(page: str) -> tuple[Node, frozenset[str]]:
         if closing:
             _close(stack, inside, tag)
             continue
+        if stack[-1].tag == "head" and tag not in OF_HEAD:
+            _cut(stack, inside, len(stack) - 1)
         if tag in IMPLIED:
             closed, bounds = IMPLIED[tag]
             if any(inside[c] for c in closed):
@@ -136,8 +140,16 @@ def _cut(stack: list[Node], inside: Counter[str], i: int) -> None:
     del stack[i:]
 
 
+def _text(stack: list[Node], inside: Counter[str], text: str) -> None:
+    if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+        _cut(stack, inside, len(stack) - 1)
+    stack[-1].children.append(text)
+
+
 def _close(stack: list[Node], inside: Counter[str], tag: str) -> None:
     if tag == "br":
+        if stack[-1].tag == "head":
+            _cut(stack, inside, len(stack) - 1)
         stack[-1].children.append(Node("br", {}))
         return
     for i in range(len(stack) - 1, 0, -1) if inside[tag] else ():

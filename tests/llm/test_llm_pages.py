@@ -23,6 +23,21 @@ def test_broken_and_empty_pages():
     assert "deep" in html_text.render("<table><tr><td>" * 60 + "deep")
 
 
+def test_head_ends_without_its_tag():
+    assert html_text.render("<html><head><title>T</title><p>Hello<p>World") == "Hello\n\nWorld"
+    assert html_text.render("<head><meta charset=utf-8>\n<link href=x>\n<style>p{color:red}</style>\n<script>no()</script> Hello <b>World</b>") == "Hello World"
+    assert html_text.render("<head><noscript><img alt=no></noscript><template><p>no</template><title>T</title></head>Hello") == "Hello"
+    assert html_text.render("<head>&nbsp;<title>T</title>x</br>y").strip("\xa0 ") == "x\ny"
+    head = html_text.build("<head><title>T</title><p>Hello")[0]
+    assert html_text.title(head) == "T"
+
+
+def test_conversion_of_a_page_without_head_and_body_tags(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<html><head><title>T</title><p>Hello<p>World")], "page_id long, url string, html string")
+    made = {r.record_type: r.content for r in warc.derive(warc.responses(pages)).collect()}
+    assert warc.parse(made["conversion"].encode())[1] == b"Hello\n\nWorld"
+
+
 def test_all_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = {r.page_id: r.text for r in queries.op9_html_text(spark, small).collect()}
