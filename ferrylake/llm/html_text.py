@@ -5,7 +5,8 @@ visibility rules show, and a renderer writes all visible text: a blank line betw
 tables, a new line between other blocks, markers and indents for list items, and table cells in aligned columns.
 
 Hidden are scripts, styles, templates, head matter, comments, `hidden` elements, inline styles and simple style-sheet rules
-(`tag`, `.class`, `#id`) with `display:none` or `visibility:hidden`, closed `details` and `dialog`, and fallbacks.
+(`tag`, `.class`, `#id`) with `display:none` or `visibility:hidden` that hold on any screen (not those for print or for some
+widths only), closed `details` and `dialog`, and fallbacks.
 Null and empty pages give empty text. Broken markup gives the text that is there. Extra columns pass through.
 """
 
@@ -45,11 +46,17 @@ OF_HEAD = frozenset("html head base link meta noscript script style template tit
 SCOPES = frozenset("table td th caption".split())
 
 _OPENS = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z]|/)")
-# Possessive, so that a tag without an end is given up at once.
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+# Possessive, so that a tag without an end is given up at once. Quotes open a value directly after "=" only.
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)))?+")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+)*+)>")
+#: A tag up to the first ">", even in quotes.
+_CUT_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _HIDES = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+#: Comments, strings and addresses of a style sheet; its parts and their marks; queries of media that a screen meets always.
+_OPAQUE = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|url\([^)\"']*+\)?", re.S | re.I)
+_PART = re.compile(r"([^{};]*+)([{};]|\Z)")
+_AT = re.compile(r"@([\w-]*)\s*(.*)", re.S)
+_SCREEN = re.compile(r"(?:(?:only\s+)?(?:all|screen)|not\s+(?:print|speech))?")
 _SIMPLE = re.compile(r"[.#]?[\w-]+$")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Tables nested deeper than this are written as plain blocks.
@@ -78,6 +85,7 @@ def build(page: str) -> tuple[Node, frozenset[str]]:
     inside: Counter[str] = Counter()  # open elements by tag, so that nothing is looked for in vain
     hidden: set[str] = set()
     at, n = 0, len(page)
+    pattern = _TAG
     while at < n:
         opens = _OPENS.search(page, at)
         if not opens:
@@ -94,7 +102,10 @@ def build(page: str) -> tuple[Node, frozenset[str]]:
             end = page.find(">", at)
             at = end + 1 if end >= 0 else n
             continue
-        found = _TAG.match(page, at)
+        found = pattern.match(page, at)
+        if not found and pattern is _TAG:  # the page ends within quotes, and so it would for the tags in there
+            pattern = _CUT_TAG
+            found = pattern.match(page, at)
         if not found:  # the page ends within the tag, and browsers show nothing of it
             break
         at = found.end()
@@ -127,7 +138,7 @@ def build(page: str) -> tuple[Node, frozenset[str]]:
             text = page[at : end.start() if end else n]
             node.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
             if tag == "style":
-                hidden.update(s.strip().lower() for names, body in _RULE.findall(text) if _HIDES.search(body) for s in names.split(",") if _SIMPLE.match(s.strip()))
+                hidden.update(_hiding(text, node.attrs.get("media", "")))
             at = end.end() if end else n
         elif tag not in VOID and not (rest.endswith("/") and tag in ("svg", "path", "g", "use")):
             stack.append(node)
@@ -135,6 +146,38 @@ def build(page: str) -> tuple[Node, frozenset[str]]:
     return root, frozenset(hidden)
 
 
+def _on_screen(media: str) -> bool:
+    return any(_SCREEN.fullmatch(q.strip().lower()) for q in media.split(","))
+
+
+def _applies(rule: str) -> bool:
+    """Whether the rules in an at-rule hold on any screen; those that depend on its size, say, don't."""
+    name, rest = _AT.match(rule).groups()
+    name = name.lower()
+    return name == "layer" or (name == "media" and _on_screen(rest)) or (name == "supports" and not rest.lower().startswith("not"))
+
+
+def _hiding(sheet: str, media: str) -> set[str]:
+    """The simple selectors that a style sheet hides on the screen."""
+    out: set[str] = set()
+    if not _HIDES.search(sheet) or not _on_screen(media):
+        return out
+    blocks: list[tuple[bool, list[str] | None]] = [(True, None)]  # holds on the screen; selectors, none outside of style rules
+    for part, mark in _PART.findall(_OPAQUE.sub(" ", sheet)):
+        holds, names = blocks[-1]
+        part = part.strip()
+        if mark != "{":
+            if holds and names and _HIDES.search(part):
+                out.update(names)
+            if mark == "}" and len(blocks) > 1:
+                blocks.pop()
+        elif part.startswith("@"):
+            blocks.append((holds and _applies(part), names))
+        else:
+            blocks.append((holds, [s.strip().lower() for s in part.split(",") if _SIMPLE.match(s.strip())] if names is None else []))
+    return out
+
+
 def _cut(stack: list[Node], inside: Counter[str], i: int) -> None:
     inside.subtract(x.tag for x in stack[i:])
     del stack[i:]

@@ -38,6 +38,30 @@ def test_conversion_of_a_page_without_head_and_body_tags(spark):
     assert warc.parse(made["conversion"].encode())[1] == b"Hello\n\nWorld"
 
 
+def test_stray_quotes_in_tags():
+    assert html_text.render("<p>a<img alt=it's>b<p>c") == "ait'sb\n\nc"
+    assert html_text.render("""<p class="a"">b<p>it's "c" """) == "b\n\nit's \"c\""
+    assert html_text.render("<p class='x'y' title=a\"b>it's") == "it's"
+    assert html_text.render('<p title="a > b">c<p title = \'>\'>d<img alt=" e>f">') == "c\n\nd e>f"
+    assert html_text.render('<p title="x>all <b>the</b> text') == "all the text"
+    assert html_text.links(html_text.build("<a class=it's href=/x/y/>z</a><a href='/w'>")[0]) == [("A@/href", "/x/y/"), ("A@/href", "/w")]
+
+
+def test_style_rules_that_hold_on_the_screen_only():
+    def shown(style, media=""):
+        return html_text.render(f"<style{media}>{style}</style><p class=x>seen") == "seen"
+
+    assert shown("@media print{.x{display:none}}") and shown(".x{display:none}", " media=print")
+    assert shown("@media (max-width:600px){ .y{color:red} .x{display:none} }")
+    assert shown(".y{display:none} @keyframes k{from{visibility:hidden}} .x{color:red}")
+    assert shown("/* .x{display:none} */ .x:after{content:'} .x{display:none}'}")
+    assert shown(".x{@media print{display:none}} .x{.y{display:none}}")
+    assert not shown("@media print{.y{color:red}} .x{display:none}")
+    assert not shown("@import url(a;b); @media print, screen{.x{display:none}}")
+    assert not shown("@supports (display:grid){@media not print{p , .y{color:red;visibility:hidden}}}")
+    assert not shown(".x{display:none}", " media=screen")
+
+
 def test_all_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = {r.page_id: r.text for r in queries.op9_html_text(spark, small).collect()}
