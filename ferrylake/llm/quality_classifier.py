@@ -1,12 +1,14 @@
 """Quality classifier by co-training of a text-content view and a page-metadata view.
 
-Each view has its own logistic regression. In every round each view scores a pool of unlabelled documents and hands those
-that it is sure of to the other view as pseudo-labels. In the end both views are calibrated on labelled rows that neither
-learned from, and all documents get the combination of the two calibrated log odds.
+Each view has its own logistic regression. In every round each view scores all unlabelled documents and hands those that it
+is sure of to the other view as pseudo-labels. In the end both views are calibrated on labelled rows that neither learned
+from, and all documents get the combination of the two calibrated log odds.
 
 The text view reads counts of character classes, repetition of words and of three-word windows, and hashed word
-frequencies; the metadata view reads language, source and length. Fitting takes at most FIT_ROWS labelled and POOL_ROWS
-other rows, in order of a hash of their ids; scoring covers every document, whole.
+frequencies; the metadata view reads language, source and length. Fitting takes at most FIT_ROWS labelled rows, in order of a
+hash of their ids, and every other document: their features are written once, and each Newton step sums gradients and Hessians
+over the partitions. However many pseudo-labels of a class there are, together they weigh as much as HANDED a round would.
+Scoring covers every document, whole.
 
 Null or empty texts have zero counts; null languages and sources are values of their own. Where the labels don't have both
 classes, every document scores 1. Repeated rows score alike. Other columns pass through untouched.
@@ -26,10 +28,12 @@ from pyspark.sql import types as T
 from ferrylake.llm.common import staged, text_bytes, text_slices, word_hashes
 from ferrylake.llm.common import mix as mixed
 
-FIT_ROWS, POOL_ROWS = 8000, 8000
+FIT_ROWS = 8000
 ROUNDS = 3
-#: A view hands on the pseudo-labels that it is this sure of, so many of each class in a round at most.
+#: A view hands on all pseudo-labels that it is this sure of; those of a class weigh as much as so many a round at most.
 SURE, HANDED = 0.97, 400
+#: Sums of partitions meet in so many tasks before they reach the driver.
+MEETINGS = 8
 #: Weight of a pseudo-label beside a label.
 PSEUDO_WEIGHT = 0.3
 WORD_CELLS, META_CELLS = 256, 128
@@ -72,19 +76,28 @@ def text_features(column: pa.Array) -> np.ndarray:
     return out
 
 
-def meta_features(lang: list, source: list, n_chars: np.ndarray) -> np.ndarray:
-    """Hashed language and source, and steps of the length's logarithm."""
+def meta_codes(lang: list, source: list, n_chars: np.ndarray) -> np.ndarray:
+    """Cells of language and source and the step of the length's logarithm, as one number."""
     import zlib
 
-    out = np.zeros((len(lang), 2 * META_CELLS + 24), np.float32)
-    for i, (x, y) in enumerate(zip(lang, source, strict=True)):
-        out[i, zlib.crc32(repr(x).encode()) % META_CELLS] = 1
-        out[i, META_CELLS + zlib.crc32(repr(y).encode()) % META_CELLS] = 1
-    steps = np.clip(np.log2(1 + np.maximum(n_chars, 0)), 0, 23).astype(int)
-    out[np.arange(len(lang)), 2 * META_CELLS + steps] = 1
+    x, y = (np.array([zlib.crc32(repr(v).encode()) % META_CELLS for v in values], np.int64) for values in (lang, source))
+    return (x * META_CELLS + y) * 24 + np.clip(np.log2(1 + np.maximum(n_chars, 0)), 0, 23).astype(np.int64)
+
+
+def meta_cells(codes: np.ndarray) -> np.ndarray:
+    """Hashed language and source, and steps of the length's logarithm."""
+    out = np.zeros((len(codes), 2 * META_CELLS + 24), np.float32)
+    row = np.arange(len(codes))
+    out[row, codes // (24 * META_CELLS)] = 1
+    out[row, META_CELLS + codes // 24 % META_CELLS] = 1
+    out[row, 2 * META_CELLS + codes % 24] = 1
     return out
 
 
+def meta_features(lang: list, source: list, n_chars: np.ndarray) -> np.ndarray:
+    return meta_cells(meta_codes(lang, source, n_chars))
+
+
 @dataclass
 class View:
     """A standardised logistic regression with ridge, and its calibration (slope, intercept)."""
@@ -102,24 +115,33 @@ class View:
         return np.clip(self.slope * self.raw(x) + self.intercept, -12, 12)
 
 
-def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, pull: float, steps: int = 12) -> np.ndarray:
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], pull)
+def _slopes(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The Hessian and, as its last row, the gradient of the weighted log loss. x ends in a column of ones."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return np.vstack([(x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x, x.T @ (weight * (p - y))])
+
+
+def _step(sums: np.ndarray, w: np.ndarray, pull: float) -> np.ndarray:
+    ridge = np.full(len(w), pull)
     ridge[-1] = 1e-3
+    return np.linalg.solve(sums[:-1] + np.diag(ridge), sums[-1] + ridge * w)
+
+
+def _ones(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
+
+
+def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, pull: float, steps: int = 12) -> np.ndarray:
+    x = _ones(x)
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (p - y)) + ridge * w)
+        step = _step(_slopes(x, y, weight, w), w, pull)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def _train(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> View:
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-    return View(mean, scale, _newton((x - mean) / scale, y, weight, 10.0))
-
-
 @dataclass
 class CoTrained:
     """Both views and the log odds of the labelled rows' classes; None where nothing could be learned."""
@@ -133,28 +155,132 @@ class CoTrained:
         return a + b - self.prior, a, b
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS) -> CoTrained | None:
-    """Learns from four fifths of the labelled rows and calibrates on the rest."""
+SIZES = {"text": SHAPE + WORD_CELLS, "meta": 2 * META_CELLS + 24}
+OTHER = {"text": "meta", "meta": "text"}
+
+
+def _given(judges: list[View], x: np.ndarray) -> np.ndarray:
+    """The label that the first sure view of all rounds hands on; -1: none is sure."""
+    out = np.full(len(x), -1)
+    for view in judges:
+        p = 1 / (1 + np.exp(-view.raw(x)))
+        out = np.where((out < 0) & (p >= SURE), 1, np.where((out < 0) & (1 - p >= SURE), 0, out))
+    return out
+
+
+def _moments(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each class, the weight of its rows and their weighted sums and sums of squares."""
+    return np.vstack([np.concatenate([[weight[y == c].sum()], weight[y == c] @ x[y == c], weight[y == c] @ x[y == c] ** 2]) for c in (0, 1)])
+
+
+def _pool_sums(pool: DataFrame | None, judges: dict[str, list[View]], now: dict[str, tuple[View, np.ndarray] | None]) -> dict[str, np.ndarray]:
+    """Sums over all rows of the pool that have a pseudo-label: for each of the views in `now` the moments, or the slopes at a view with the weights of the classes."""
+    shapes = {n: (2, 1 + 2 * SIZES[n]) if at is None else (SIZES[n] + 2, SIZES[n] + 1) for n, at in now.items()}
+    out = {n: np.zeros(s) for n, s in shapes.items()}
+    if pool is None or not judges["text"]:
+        return out
+    shared = pool.sparkSession.sparkContext.broadcast((judges, now))
+
+    def add(total: dict[str, np.ndarray], blobs: list[bytes]) -> None:
+        for blob in blobs:
+            at = 0
+            values = np.frombuffer(blob)
+            for n, s in shapes.items():
+                total[n] += values[at : at + s[0] * s[1]].reshape(s)
+                at += s[0] * s[1]
+
+    def one_row(total: dict[str, np.ndarray]) -> pa.RecordBatch:
+        from pyspark import TaskContext
+
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % MEETINGS], pa.int32()), pa.array([b"".join(x.tobytes() for x in total.values())])], names=["part", "sums"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judges, now = shared.value
+        total = {n: np.zeros(s) for n, s in shapes.items()}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(1).to_numpy()
+            x = {"text": np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(len(codes), -1), "meta": meta_cells(codes)}
+            for n, at in now.items():
+                y = _given(judges[OTHER[n]], x[OTHER[n]])
+                some = np.flatnonzero(y >= 0)
+                times = np.ones(len(some))
+                if n == "meta":  # many rows are alike
+                    _, first, times = np.unique(codes[some] * 2 + y[some], return_index=True, return_counts=True)
+                    some = some[first]
+                rows, y, times = x[n][some].astype(np.float64), y[some], times.astype(np.float64)
+                if at is None:
+                    total[n] += _moments(rows, y, times)
+                elif len(some):
+                    view, weights = at
+                    total[n] += _slopes(_ones((rows - view.mean) / view.scale), y, times * weights[y], view.weights)
+        yield one_row(total)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {n: np.zeros(s) for n, s in shapes.items()}
+        for batch in batches:
+            add(total, batch.column(1).to_pylist())
+        yield one_row(total)
+
+    # A few tasks for each core: they stream, and each has a row of sums and its bookkeeping.
+    few = pool.select("text", "meta").coalesce(4 * pool.sparkSession.sparkContext.defaultParallelism)
+    parts = few.mapInArrow(run, "part int, sums binary")
+    add(out, [bytes(r.sums) for r in parts.repartition(MEETINGS, "part").mapInArrow(meet, "part int, sums binary").collect()])
+    shared.destroy()
+    return out
+
+
+def _own(x: np.ndarray, y: np.ndarray, view: View | None) -> np.ndarray:
+    """The same sums over labelled rows, a thousand at a time, so that the driver stays small."""
+    total = 0.0
+    for i in range(0, len(y), 1000):
+        rows, t = x[i : i + 1000].astype(np.float64), y[i : i + 1000]
+        total = total + (_moments(rows, t, np.ones(len(t))) if view is None else _slopes(_ones((rows - view.mean) / view.scale), t, np.ones(len(t)), view.weights))
+    return total
+
+
+def _fit_views(data: dict[str, np.ndarray], y: np.ndarray, pool: DataFrame | None, judges: dict[str, list[View]], steps: int = 12) -> dict[str, View]:
+    """Both views, fitted to labelled rows and to all rows of the pool that have a pseudo-label."""
+    views, weights = {}, {}
+    for n, found in _pool_sums(pool, judges, {"text": None, "meta": None}).items():
+        weights[n] = PSEUDO_WEIGHT * np.minimum(1, HANDED * len(judges[n]) / np.maximum(found[:, 0], 1))
+        sums = _own(data[n], y, None).sum(0) + weights[n] @ found
+        mean, square = sums[1 : SIZES[n] + 1] / sums[0], sums[SIZES[n] + 1 :] / sums[0]
+        views[n] = View(mean, np.maximum(np.sqrt(np.maximum(square - mean**2, 0)), 1e-3), np.zeros(SIZES[n] + 1))
+        if judges[n]:  # the last round's fit is near
+            last, v = judges[n][-1], views[n]
+            v.weights = np.append(last.weights[:-1] * v.scale / last.scale, last.weights[-1] + last.weights[:-1] @ ((v.mean - last.mean) / last.scale))
+    left = ["text", "meta"]
+    for _ in range(steps):
+        found = _pool_sums(pool, judges, {n: (views[n], weights[n]) for n in left})
+        for n in list(left):
+            v = views[n]
+            step = _step(found[n] + _own(data[n], y, v), v.weights, 10.0)
+            v.weights = v.weights - step
+            if np.abs(step).max() < 1e-6:
+                left.remove(n)
+        if not left:
+            break
+    for v in views.values():  # the order of sums varies from run to run
+        v.weights = np.round(v.weights, 7)
+    return views
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: DataFrame | None, rounds: int = ROUNDS) -> CoTrained | None:
+    """Learns from four fifths of the labelled rows and the pool (text, meta), and calibrates on the rest of the labelled rows."""
     check = np.arange(len(y)) % 5 == 4
     fit = ~check
     if min((y[fit] == 0).sum(), (y[fit] == 1).sum()) == 0:
         return None
-    views, pools, data = {}, {"text": pool_text, "meta": pool_meta}, {"text": text, "meta": meta}
-    given: dict[str, dict[int, int]] = {"text": {}, "meta": {}}
-    for r in range(rounds + 1):
-        for name in ("text", "meta"):
-            got = np.array(sorted(given[name]), np.int64)
-            x = np.vstack([data[name][fit], pools[name][got]])
-            t = np.concatenate([y[fit], [given[name][i] for i in got]])
-            views[name] = _train(x, t, np.concatenate([np.ones(fit.sum()), np.full(len(got), PSEUDO_WEIGHT)]))
-        if r == rounds or not len(pool_text):
-            break
-        for name, other in (("text", "meta"), ("meta", "text")):
-            p = 1 / (1 + np.exp(-views[name].raw(pools[name])))
-            for label, sure in ((1, p), (0, 1 - p)):
-                best = [i for i in np.argsort(-sure, kind="stable")[: HANDED * (r + 1)] if sure[i] >= SURE]
-                for i in best:
-                    given[other].setdefault(int(i), label)
+    data = {"text": text, "meta": meta}
+    own = {n: x[fit] for n, x in data.items()}
+    judges: dict[str, list[View]] = {"text": [], "meta": []}
+    views = _fit_views(own, y[fit], pool, judges)
+    for _ in range(rounds if pool is not None else 0):
+        for n, v in views.items():
+            judges[n].append(v)
+        views = _fit_views(own, y[fit], pool, judges)
     for name, v in views.items():
         if len(set(y[check].tolist())) == 2:
             w = _newton(v.raw(data[name][check])[:, None], y[check], np.ones(check.sum()), 1.0)
@@ -168,34 +294,47 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in text_slices(batch.column(0)):
             s = batch.slice(a, b - a)
             text = text_features(s.column(0))
-            meta = meta_features(s.column(1).to_pylist(), s.column(2).to_pylist(), s.column(3).fill_null(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in text]), pa.array([x.tobytes() for x in meta]), s.column(4)], names=["text", "meta", "quality"])
+            meta = meta_codes(s.column(1).to_pylist(), s.column(2).to_pylist(), s.column(3).fill_null(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in text], pa.binary()), pa.array(meta), *s.columns[4:]], names=["text", "meta", "key"])
 
 
 VIEW = ("text", "lang", "source", "n_chars")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label: str = "quality") -> CoTrained | None:
-    """Learns from the given labelled rows and a pool of other rows of `docs` (id, text, lang, source, n_chars)."""
+    """Learns from the given labelled rows and all other rows of `docs` (id, text, lang, source, n_chars)."""
     order = F.xxhash64(id_column)
     known = labels.where(F.col(id_column).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_column).agg(F.max(label).cast("int").alias("quality")).orderBy(order, id_column).limit(FIT_ROWS)
-    ids = docs.where(F.col(id_column).isNotNull()).select(id_column)
-    pool = ids.join(labels.select(id_column), id_column, "left_anti").distinct().orderBy(order, id_column).limit(POOL_ROWS).withColumn("quality", F.lit(-1))
-    chosen = staged(known.unionByName(pool), "quality-rows")
-    rows = docs.select(id_column, *VIEW).join(F.broadcast(chosen), id_column).select("text", "lang", "source", F.col("n_chars").cast("long"), "quality")
-    got = rows.mapInArrow(_features, "text binary, meta binary, quality int").collect()
+    chosen = staged(known, "quality-rows")
+    view = ("text", "lang", "source", F.col("n_chars").cast("long"))
+    rows = docs.select(id_column, *VIEW).join(F.broadcast(chosen), id_column).select(*view, "quality")
+    got = rows.mapInArrow(_features, "text binary, meta long, key int").collect()
     if not got:
         return None
-    text = np.frombuffer(b"".join(bytes(r[0]) for r in got), np.float32).reshape(len(got), -1)
-    meta = np.frombuffer(b"".join(bytes(r[1]) for r in got), np.float32).reshape(len(got), -1)
-    y = np.array([r[2] for r in got])
     # The order of rows varies from run to run; that of their features doesn't.
-    order = np.array(sorted(range(len(got)), key=lambda i: (y[i], bytes(got[i][0]), bytes(got[i][1]))))
-    text, meta, y = text[order], meta[order], y[order]
+    got.sort(key=lambda r: (r[2], bytes(r[0]), r[1]))
+    text = np.frombuffer(b"".join(bytes(r[0]) for r in got), np.float32).reshape(len(got), -1)
+    meta = meta_cells(np.array([r[1] for r in got]))
+    y = np.array([r[2] for r in got], float)
     # 0 and 1 alternate before the split into fit and calibration rows
     shuffle = np.random.default_rng(7).permutation(len(y))
     text, meta, y = text[shuffle], meta[shuffle], y[shuffle]
-    return co_train(text[y >= 0], meta[y >= 0], y[y >= 0].astype(float), text[y < 0], meta[y < 0])
+    if len(set(y.tolist())) < 2:
+        return None
+    return co_train(text, meta, y, _pool(docs, labels, id_column))
+
+
+def _pool(docs: DataFrame, labels: DataFrame, id_column: str) -> DataFrame:
+    """The features of all documents without a label, those without an id among them."""
+    rows = docs.select("text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), F.col(id_column).alias("key"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def made(some: DataFrame) -> DataFrame:
+        return some.mapInArrow(_features, f"text binary, meta long, key {kind}")
+
+    labelled = labels.select(F.col(id_column).alias("key")).where("key IS NOT NULL").distinct()
+    others = made(rows.where("key IS NOT NULL")).join(labelled, "key", "left_anti")
+    return staged(others.unionByName(made(rows.where("key IS NULL"))).select("text", "meta"), "quality-pool")
 
 
 def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from llm_cases import SCHEMA, odd_rows
 from pyspark.sql import functions as F
@@ -34,6 +35,27 @@ def test_quality_on_held_out_labels(spark, middle):
     assert sum(good) >= 0.9 * len(good)
 
 
+def test_pool_is_every_unlabelled_document(spark):
+    docs = spark.range(9_000).selectExpr("IF(id = 8999, NULL, id) AS doc_id", "concat('word', id % 3) AS text", "'en' AS lang", "concat('s', id % 5) AS source", "id % 50 AS n_chars")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    pool = quality_classifier._pool(docs, labels, "doc_id")
+    assert pool.count() == 8_900
+    rng = np.random.default_rng(1)
+    judge = {n: quality_classifier.View(np.zeros(s), np.ones(s), rng.normal(0, 9, s + 1)) for n, s in quality_classifier.SIZES.items()}
+    judges = {n: [v] for n, v in judge.items()}
+    rows = pool.collect()
+    x = {"text": np.frombuffer(b"".join(bytes(r.text) for r in rows), np.float32).reshape(len(rows), -1), "meta": quality_classifier.meta_cells(np.array([r.meta for r in rows]))}
+    given = {n: quality_classifier._given(judges[quality_classifier.OTHER[n]], x[quality_classifier.OTHER[n]]) for n in x}
+    found = quality_classifier._pool_sums(pool, judges, {"text": None, "meta": None})
+    weights = np.array([0.2, 0.3])
+    slopes = quality_classifier._pool_sums(pool, judges, {n: (judge[n], weights) for n in x})
+    for n, y in given.items():
+        some = y >= 0
+        assert some.any()
+        assert np.allclose(found[n], quality_classifier._moments(x[n][some].astype(float), y[some], np.ones(some.sum())))
+        assert np.allclose(slopes[n], quality_classifier._slopes(quality_classifier._ones(x[n][some]), y[some], weights[y[some]], judge[n].weights))
+
+
 def test_folded_words_and_exceptions():
     lex = toxicity.Lexicon({"idiot": 2.0, "scum": 3.0, "trash": 1.0})
     assert lex.hits("You IDI0T, you 1dіоt!") == (4.0, 2)
