@@ -196,10 +196,11 @@ def _pool_sums(pool: DataFrame | None, judges: dict[str, list[View]], now: dict[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judges, now = shared.value
-        total = {n: np.zeros(s) for n, s in shapes.items()}
+        total = None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            total = total or {n: np.zeros(s) for n, s in shapes.items()}
             codes = batch.column(1).to_numpy()
             x = {"text": np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(len(codes), -1), "meta": meta_cells(codes)}
             for n, at in now.items():
@@ -215,13 +216,17 @@ def _pool_sums(pool: DataFrame | None, judges: dict[str, list[View]], now: dict[
                 elif len(some):
                     view, weights = at
                     total[n] += _slopes(_ones((rows - view.mean) / view.scale), y, times * weights[y], view.weights)
-        yield one_row(total)
+        if total:
+            yield one_row(total)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {n: np.zeros(s) for n, s in shapes.items()}
+        total = None  # a partition without rows sends nothing: a row of zeros is as large as one of sums
         for batch in batches:
-            add(total, batch.column(1).to_pylist())
-        yield one_row(total)
+            if batch.num_rows:
+                total = total or {n: np.zeros(s) for n, s in shapes.items()}
+                add(total, batch.column(1).to_pylist())
+        if total:
+            yield one_row(total)
 
     # A few tasks for each core: they stream, and each has a row of sums and its bookkeeping.
     few = pool.select("text", "meta").coalesce(4 * pool.sparkSession.sparkContext.defaultParallelism)
