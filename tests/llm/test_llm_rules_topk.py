@@ -61,3 +61,24 @@ def test_topk_with_few_or_no_candidates(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in exact_topk.top_k(df.where("vec_id = 1"), df, 5).collect()] == [(1, 1, 2, 256 * 128 + 512 * 128)]
     assert exact_topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
+
+
+def test_topk_in_groups_of_blocks_and_with_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(exact_topk, "GROUP", 2)
+    monkeypatch.setattr(exact_topk, "BLOCK", 150)
+    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 20)
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.normal(size=(40, 6)), 30, axis=0) + rng.normal(size=(1200, 6)) * 0.1
+    ids = np.arange(1200)
+    ids[500:900] = 7  # a third of all rows under one id
+    rows = [(int(i), [float(x) for x in r]) for i, r in zip(ids, v, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = exact_topk.top_k(df.where("vec_id % 10 = 0"), df, 5).collect()
+    q = np.floor(256 * v).astype(np.int64)
+    wanted = []
+    for i in range(0, 1200, 10):
+        if ids[i] == i:
+            s = q @ q[i]
+            wanted += [(i, k + 1, int(ids[j]), int(s[j])) for k, j in enumerate([j for j in np.lexsort((ids, -s)) if ids[j] != i][:5])]
+    assert sorted(tuple(r) for r in got) == sorted(wanted)
