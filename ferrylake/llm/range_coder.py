@@ -1,25 +1,29 @@
 """Token files: ids coded by an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
-An id is predicted from the two ids before it (order 2), from the one before it (order 1), and from the ids of its block so
-far (order 0). The order-2 and order-1 tables of a block propose an id each; whether the proposal is right is coded with
-a probability mixed in the logistic domain from three adaptive counters (confidence of order 2, of order 1, recent hits),
-whose weights are learned on the way. An id that neither proposes is coded in four-bit steps by adaptive order-0 counts in
-the context of its higher bits. All arithmetic is on integers, so every machine decodes alike.
-
-Blocks of BLOCK ids start from an empty model and carry their own length and CRC-32. The blocks of a segment are coded in
-step, one lane each, by vector operations; a segment holds whole documents in order. A file is the rows (segments) that one
-task wrote, in Parquet, with the file's number and the segment's number; files are numbered in ascending doc_id order.
+Within a block, ids are numbered in the order in which they appear. Each next number is predicted three ways: by its counts
+so far (order 0), by what followed the number before it (order 1), and by what followed the two before it (order 2). The
+three predictions are mixed into one distribution: order 0 spreads its share over all numbers seen and over one to come,
+orders 1 and 2 put theirs on a number each. How much each order gets depends on how often its prediction held before in
+the same state (confidence of both, whether they agree, recent hits) and is learned on the way. One step of the range
+coder takes the number's interval in that mixture. Ids that are new to the block follow in a second step, under a fixed
+prior that favours small ids, as vocabularies are sorted by frequency. All arithmetic is on integers, so every machine
+decodes alike; the counts of order 0 are taken up in steps that get longer with the block.
+
+Blocks of BLOCK ids start from an empty model and carry their size and CRC-32, and a checksum of their own header. The blocks
+of a segment are coded in step, one lane each, by vector operations; a segment holds whole documents in order. A file is the
+rows (segments) that one task wrote, in Parquet, with the file's number, the segment's number, and a checksum of all its
+fields but the blocks' contents; files are numbered in ascending doc_id order.
 
 Documents with the same doc_id follow each other; a null doc_id comes first. Null texts are empty and hold the end id alone.
 """
 
 from __future__ import annotations
 
-import math
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,252 +34,432 @@ from pyspark.sql import functions as F
 from ferrylake.llm.common import shared_dir, text_slices
 from ferrylake.llm.tokenize import BYTE_BPE, encoder
 
-MAGIC = b"FLT1"
-BLOCK = 4096
+MAGIC = b"FLT2"
+HEADER = struct.Struct("<4sBIIII")  # magic, bits of an id, ids, CRC-32 of the ids, bytes of the body, CRC-32 of all these
+BLOCK = 8192
 #: Bytes of text whose documents make a segment; a longer document makes one of its own.
-SEGMENT_BYTES = 12 << 20
+SEGMENT_BYTES = 20 << 20
 END = 2
 
-_BITS = 12
-_ONE = 1 << _BITS
-_SLOTS = (2048, 4096)  # entries of the order-1 and order-2 tables of a block
-_RATE = 4
-#: Logistic stretch of 12-bit probabilities, and its inverse, in fixed point.
-_STRETCH = np.array([round(256 * math.log((p + 0.5) / (_ONE - p - 0.5))) for p in range(_ONE)], np.int64)
-_SQUASH = np.array([max(24, min(_ONE - 24, round(_ONE / (1 + math.exp(-x / 256))))) for x in range(-3072, 3073)], np.int64)
-_FLAT = np.arange(16, dtype=np.int16) * (_ONE // 16)
-#: What the cumulative counts of a four-bit step move to when symbol s occurs: all but 16 of the range goes to s.
-_TARGET = np.array([[i if i <= s else _ONE - 16 + i for i in range(16)] for s in range(16)], np.int16)
-_THIRD = 512  # contexts of the last four-bit step
+#: Order-0 counts add up to 2**SLOT_BITS; a mixture adds up to 2**MIX_BITS, of which orders 1 and 2 take 256ths.
+SLOT_BITS, MIX_BITS = 14, 22
+SLOTS = 1 << SLOT_BITS
+#: At most so many 256ths go to orders 1 and 2 together.
+POINTS = 250
+#: Entries of a block's order-2 table.
+PAIRS_BITS = 12
+#: Counts are taken up after at most so many ids.
+LONGEST_STEP = 512
+#: The first shares of a state count as much as so many ids.
+FIRST_IDS = 4
+#: Lanes whose predictions are looked up together when ids are encoded.
+GROUP = 64
+_LOCAL = 0xFFFF
+#: Lanes that are encoded at a time, and that are decoded at a time: more take less time for each, and more memory.
+LANES, MOST_LANES = 512, 2048
+#: By confidence in a prediction (0: none, to 3) and whether it held: the confidence in the next one.
+_SURER = np.array([1, 1, 1, 2, 1, 3, 1, 3], np.int32) << 16
+
+
+def _first_shares() -> np.ndarray:
+    """For each state the 256ths of orders 2 and 1 before anything is counted."""
+    out = np.zeros((2, 128), np.int64)
+    for state in range(128):
+        k2, k1, same, hits = state >> 5, state >> 3 & 3, state >> 2 & 1, state & 3
+        two = (0, 90, 160, 220)[k2] and min(240, (0, 90, 160, 220)[k2] + 32 * hits.bit_count())
+        out[:, state] = two, 0 if same else (POINTS - two) * (0, 2, 6, 12)[k1] // 16
+    return out
+
+
+_FIRST = _first_shares()
+
+
+@lru_cache(maxsize=4)
+def _prior(bits: int) -> np.ndarray:
+    """Cumulative weights, 2**MIX_BITS in all, of the ids below 2**bits."""
+    ids = np.arange(1 << bits, dtype=np.int64)
+    weight = 1 + ((1 << MIX_BITS - 2) >> 4) // (ids + 256)
+    spare = (1 << MIX_BITS) - int(weight.sum())
+    weight += spare // len(ids)
+    weight[0] += (1 << MIX_BITS) - int(weight.sum())
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(weight)])
+
+
+def _steps(n: int) -> Iterator[tuple[int, int]]:
+    """First id and number of ids between two updates of the order-0 counts."""
+    at = 0
+    while at < n:
+        size = min(max(16, min(LONGEST_STEP, at // 2)), n - at)
+        yield at, max(16, min(LONGEST_STEP, at // 2))
+        at += size
 
 
 class _Model:
-    """The predictions of all lanes. Both directions call `propose`, then `learn` with what was found."""
+    """What all lanes have counted. `count` takes up what came since its last call; between two calls nothing changes."""
 
-    def __init__(self, lanes: int, steps: int):
-        self.steps = steps
-        self.one, self.two = (np.zeros(lanes * s, np.int64) for s in _SLOTS)
+    def __init__(self, lanes: int, slots: bool):
+        self.lanes, self.with_slots = lanes, slots
         self.lane = np.arange(lanes)
-        self.base = [self.lane * s for s in _SLOTS]
-        self.last = [np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)]
-        self.counters = [np.full(lanes * n, _ONE // 2, np.int64) for n in (5, 10, 8)]
-        self.second = np.full(lanes * 5, _ONE // 4, np.int64)
-        self.weights = np.full((3, lanes), 24 << 8, np.int64)
-        self.history = np.zeros(lanes, np.int64)
-        self.tree = [np.tile(_FLAT, (lanes * n, 1)) for n in (1, 16, 256, *[_THIRD] * (steps - 3))]
-
-    def propose(self, n: int) -> None:
-        c1, c2 = self.last[0][:n], self.last[1][:n]
-        h = (c1 * 40503 + 7) & 0xFFFFFF
-        self.i1 = self.base[0][:n] + ((h >> 7) & (_SLOTS[0] - 1))
-        self.check1 = (h & 0x7F) + 1
-        h = ((c2 * 2654435761 + c1 * 40503 * 613 + 13) >> 3) & 0xFFFFFF
-        self.i2 = self.base[1][:n] + ((h >> 9) & (_SLOTS[1] - 1))
-        self.check2 = (h & 0x7F) + 1
-        # an entry: id in the low 24 bits, confidence in two, check above
-        e1, e2 = self.one[self.i1], self.two[self.i2]
-        self.has1, self.has2 = (e1 >> 26) == self.check1, (e2 >> 26) == self.check2
-        self.id1, self.id2 = e1 & 0xFFFFFF, e2 & 0xFFFFFF
-        self.sure1, self.sure2 = (e1 >> 24) & 3, (e2 >> 24) & 3
-        self.first = np.where(self.has2, self.id2, self.id1)
-        self.any = self.has1 | self.has2
-        s1 = np.where(self.has1, self.sure1 + 1, 0)
-        agree = self.id1 == self.first
-        lane = self.lane[:n]
-        self.at = [lane * 5 + np.where(self.has2, self.sure2 + 1, 0), lane * 10 + s1 * 2 + agree, lane * 8 + self.history[:n]]
-        self.stretched = [_STRETCH[c[a]] for c, a in zip(self.counters, self.at, strict=True)]
-        w = self.weights
-        mixed = (w[0, :n] * self.stretched[0] + w[1, :n] * self.stretched[1] + w[2, :n] * self.stretched[2]) >> 14
-        p = _SQUASH[np.clip(mixed, -3072, 3072) + 3072]
-        self.p_mixed = p
-        self.p1 = np.where(self.any, p, 0)  # nothing proposed: certainly not hit
-        self.other = self.has1 & self.has2 & ~agree
-        self.at_second = lane * 5 + s1
-        self.p2 = np.where(self.other, np.clip(self.second[self.at_second], 24, _ONE - 24), 0)
-
-    def learn(self, n: int, ids: np.ndarray, hit: np.ndarray, hit2: np.ndarray) -> None:
-        bit = np.where(hit, _ONE - 1, 0)
-        error = np.where(self.any, bit - self.p_mixed, 0)
-        for k in range(3):
-            a = self.at[k]
-            c = self.counters[k]
-            old = c[a]
-            c[a] = old + np.where(self.any, (bit - old) >> _RATE, 0)
-            self.weights[k, :n] += (self.stretched[k] * error) >> 10
-        o = self.other & ~hit
-        old = self.second[self.at_second]
-        self.second[self.at_second] = old + np.where(o, (np.where(hit2, _ONE - 1, 0) - old) >> _RATE, 0)
-        self.history[:n] = ((self.history[:n] << 1) | hit) & 7
-        for table, at, check, has, guess, sure in ((self.one, self.i1, self.check1, self.has1, self.id1, self.sure1), (self.two, self.i2, self.check2, self.has2, self.id2, self.sure2)):
-            same = has & (guess == ids)
-            keep = has & ~same & (sure > 0)
-            table[at] = np.where(keep, guess, ids) | (np.where(same, np.minimum(sure + 1, 3), np.where(keep, sure - 1, 0)) << 24) | (check << 26)
-        self.last[1][:n] = self.last[0][:n]
-        self.last[0][:n] = ids
-
-    def step_rows(self, k: int, lanes: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Rows of the counts of the k-th four-bit step, in the context of the bits above."""
-        size = (1, 16, 256)[k] if k < 3 else _THIRD
-        context = high if k < 3 else ((high * 40503) >> 4) & (_THIRD - 1)
-        return lanes * size + context
+        self.room = 0
+        self.listed = np.zeros(lanes, np.int64)  # numbers that `count` has taken up
+        self.states = np.zeros((3, lanes * 128), np.int64)  # ids in each state, and hits of orders 2 and 1
+        self.tables: dict[str, np.ndarray] = {"counts": np.zeros(0, np.int32)}
+
+    def _grow(self, room: int) -> None:
+        """Makes place for `room` numbers in each lane; the last place stands for no prediction."""
+        old, self.room, self.none, self.base = self.room, room, room - 1, self.lane * room
+        for name, table in self.tables.items():
+            new = np.full((self.lanes, room), self.none if name == "followers" else 0, np.int32)
+            if old:
+                new[:, : old - 1] = table.reshape(self.lanes, old)[:, :-1]
+                if name == "followers":
+                    new[new == old - 1] = self.none
+            self.tables[name] = new.reshape(-1)
+        self.spread = np.zeros(self.lanes * room, np.int32)
+
+    def take_up(self, x: np.ndarray, states: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, lane: np.ndarray) -> None:
+        """Counts numbers and what held in which state; all arrays have the shape of `x`, or are spread to it."""
+        self.tables["counts"] += np.bincount((self.base[lane] + x).ravel(), minlength=self.lanes * self.room).astype(np.int32)
+        at = (lane * 128 + states).ravel()
+        for i, some in enumerate((at, at[hit2.ravel()], at[hit1.ravel()])):
+            self.states[i] += np.bincount(some, minlength=self.lanes * 128)
+
+    def count(self, known: np.ndarray, seen: int, next_: int, last: int) -> None:
+        """Makes the predictions for the next `next_` ids from `seen` ids, of which `last` came since the last call."""
+        most = int(known.max())
+        if most + next_ + 2 > self.room:
+            self._grow(most + next_ + 2 + (most + next_) // 2)
+        n, hits2, hits1 = (x.reshape(self.lanes, 128) for x in self.states)
+        v2 = (POINTS * hits2 + FIRST_IDS * _FIRST[0]) // (n + FIRST_IDS)
+        v1 = np.minimum((POINTS * hits1 + FIRST_IDS * _FIRST[1]) // (n + FIRST_IDS), POINTS - v2)
+        self.shares = (v2 << 8 | v1).astype(np.int32).reshape(-1)
+        fresh = known - self.listed
+        self.listed = known.copy()
+        counts, spread = (x.reshape(self.lanes, self.room) for x in (self.tables["counts"], self.spread))
+        unseen = np.minimum(np.clip(SLOTS * (fresh + 1) // (last + 2), next_ + 64, SLOTS // 2), SLOTS - known)
+        share = np.zeros((self.lanes, most), np.int32)
+        first = np.zeros(self.lanes, np.int64)
+        if most:
+            room = (SLOTS - unseen - known).astype(np.int32)[:, None]
+            share = counts[:, :most] * room // np.int32(seen) + (np.arange(most) < known[:, None]).astype(np.int32)
+            ends = np.cumsum(share, axis=1, dtype=np.int32)
+            spread[:, :most] = (ends - share) << 15 | share
+            first = ends[:, -1].astype(np.int64)
+        # The first of the numbers to come get `wide` slots each, others one; what is left is for the one that comes next.
+        left = SLOTS - first
+        some = np.minimum(2 * fresh * next_ // max(last, 1) + 4, next_)
+        wide = np.maximum(1, np.minimum((left - next_ - 1) // (2 * some), SLOTS // max(seen, 1) + 1))
+        nth = np.arange(next_ + 1)
+        width = np.where(nth < some[:, None], wide[:, None], 1)
+        place = known[:, None] + nth
+        self.spread[self.base[:, None] + place] = (first[:, None] + np.cumsum(width, axis=1) - width) << 15 | width
+        self.spread[self.base + self.none] = SLOTS << 15
+        if self.with_slots:
+            reps = np.concatenate([share, width, (left - width.sum(1))[:, None]], 1)
+            names = np.empty(reps.shape, np.uint16)
+            names[:, :most], names[:, most:-1], names[:, -1] = np.arange(most), place, _LOCAL
+            self.slots = np.repeat(names.reshape(-1), reps.reshape(-1))
+
+
+def _numbered(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The ids of a block, numbered as they appear. `first` is scratch, one place for each possible id."""
+    n = np.arange(len(ids), dtype=np.int32)
+    first[ids[::-1]] = n[::-1]
+    place = first[ids]
+    return (np.cumsum(place == n) - 1)[place]
+
+
+def _hash(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return last * np.int32(40503) + before * np.int32(25717)
+
+
+def _chain(x: np.ndarray, key: np.ndarray, check: np.ndarray | None) -> np.ndarray:
+    """What the last row with the same key (and check) had as `x`, with the confidence above its 16 bits; by lane."""
+    order = np.argsort(key, axis=1, kind="stable")
+    by_key = lambda a: np.take_along_axis(a, order, 1)
+    key, xs = by_key(key), by_key(x)
+    ok = np.zeros(key.shape, bool)
+    ok[:, 1:] = key[:, 1:] == key[:, :-1]
+    if check is not None:
+        check = by_key(check)
+        ok[:, 1:] &= check[:, 1:] == check[:, :-1]
+    held = np.zeros(key.shape, bool)
+    held[:, 1:] = ok[:, 1:] & (xs[:, 1:] == xs[:, :-1])
+    n = np.arange(key.shape[1], dtype=np.int32)
+    run = n - np.maximum.accumulate(np.where(held, np.int32(-1), n), axis=1)
+    out = np.full(key.shape, _LOCAL, np.int32)
+    out[:, 1:] = np.where(ok[:, 1:], xs[:, :-1] | (np.minimum(run[:, :-1], 2) + 1) << 16, _LOCAL)
+    found = np.empty_like(out)
+    np.put_along_axis(found, order, out, 1)
+    return found
+
+
+def _state(two: np.ndarray, one: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """The state of two predictions with their confidences, of which the numbers are the lower 16 bits."""
+    return (((two >> 16) << 2 | one >> 16) << 1 | ((two ^ one) & _LOCAL == 0)) << 2 | hits
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """The coded blocks of a run of ids (below 2**20), each with its length and checksum."""
-    n_lanes = -(-len(ids) // block)
-    steps = 4 if not len(ids) or int(ids.max()) < 1 << 16 else 5
-    sizes = np.minimum(block, len(ids) - np.arange(n_lanes) * block)
-    padded = np.zeros(n_lanes * block, np.int64)
-    padded[: len(ids)] = ids
-    by_step = padded.reshape(n_lanes, block).T.copy()
-    m = _Model(n_lanes, steps)
-    low, width, pos = np.zeros(n_lanes, np.int64), np.full(n_lanes, 1 << 32, np.int64), np.zeros(n_lanes, np.int64)
-    out = np.zeros((n_lanes, block * 2 + 16), np.int32)
-
-    def shift(lanes: np.ndarray | slice, lo: np.ndarray, wi: np.ndarray) -> None:
-        """Carries what overflowed into the digit before, and shifts a digit out of lanes that got narrow."""
-        over = lo >> 32
-        if over.any():
-            some = np.flatnonzero(over)
-            at = m.lane[lanes][some]
-            out[at, pos[at] - 1] += 1
-            lo &= 0xFFFFFFFF
-        some = np.flatnonzero(wi < 1 << 16)
-        if len(some):
-            at = m.lane[lanes][some]
-            out[at, pos[at]] = lo[some] >> 16
-            pos[at] += 1
-            lo[some] = (lo[some] & 0xFFFF) << 16
-            wi[some] <<= 16
-
-    for t in range(int(sizes.max()) if n_lanes else 0):
-        n = n_lanes if t < sizes[-1] else n_lanes - 1
-        x = by_step[t, :n]
-        m.propose(n)
-        hit = m.any & (x == m.first)
-        hit2 = m.other & ~hit & (x == m.id1)
-        now = slice(0, n)
-        lo, wi = low[now], width[now]
-        for p, yes, used in ((m.p1, hit, None), (m.p2, hit2, ~hit)):
-            part = (wi >> _BITS) * p if used is None else np.where(used, (wi >> _BITS) * p, 0)
-            lo = np.where(yes, lo, lo + part)
-            wi = np.where(yes, part, wi - part)
-            shift(now, lo, wi)
-        low[now], width[now] = lo, wi
-        rest = np.flatnonzero(~(hit | hit2))
-        if len(rest):
-            value, lo, wi = x[rest], low[rest], width[rest]
-            at = np.arange(len(rest)) * 16
-            for k in range(steps):
-                s = (value >> (4 * (steps - 1 - k))) & 15
-                rows = m.step_rows(k, rest, value >> (4 * (steps - k)))
-                cum = m.tree[k].take(rows, axis=0)
-                flat = cum.reshape(-1)
-                a = flat.take(at + s).astype(np.int64)
-                b = np.where(s == 15, _ONE, flat.take(at + np.minimum(s + 1, 15)))
-                r = wi >> _BITS
-                lo, wi = lo + r * a, r * (b - a)
-                shift(rest, lo, wi)
-                m.tree[k][rows] = cum + ((_TARGET.take(s, axis=0) - cum) >> _RATE)
-            low[rest], width[rest] = lo, wi
-        m.learn(n, x, hit, hit2)
-    for _ in range(2):
-        out[m.lane, pos] = low >> 16
+    """The coded blocks of a run of ids (below 2**20), each with its header."""
+    ids = np.asarray(ids)
+    if len(ids) and int(ids.max()) >= 1 << 20:
+        raise ValueError("ids must be below 2**20")
+    some = LANES * block
+    return [b for i in range(0, len(ids), some) for b in _encoded(ids[i : i + some].astype(np.int32), block)]
+
+
+def _encoded(ids: np.ndarray, block: int) -> list[bytes]:
+    bits = max(8, int(ids.max()).bit_length())
+    lanes = -(-len(ids) // block)
+    sizes = np.minimum(block, len(ids) - np.arange(lanes) * block)
+    longest = int(sizes[0])
+    numbers, one, two = (np.zeros((lanes, longest), np.uint16) for _ in range(3))
+    states, known = np.zeros((lanes, longest), np.uint8), np.zeros((lanes, longest), np.uint16)
+    new, hit2, hit1 = (np.zeros((lanes, longest), bool) for _ in range(3))
+    scratch = np.zeros(1 << bits, np.int32)
+    for i in range(lanes):
+        numbers[i, : sizes[i]] = _numbered(ids[i * block : i * block + sizes[i]], scratch)
+    for i in range(0, lanes, GROUP):  # the sorts of a few lanes at a time stay small
+        some = slice(i, i + GROUP)
+        x = numbers[some].astype(np.int32)
+        last, before, hits = (np.zeros(x.shape, np.int32) for _ in range(3))
+        last[:, 1:], before[:, 2:] = x[:, :-1], x[:, :-2]
+        h = _hash(before, last)
+        a = _chain(x, last.astype(np.uint16), None)
+        b = _chain(x, (h & (1 << PAIRS_BITS) - 1).astype(np.uint16), ((h >> PAIRS_BITS) & 0xFF).astype(np.uint8))
+        one[some], two[some] = a, b
+        hit2[some] = two[some] == numbers[some]
+        hit1[some] = (one[some] == numbers[some]) & ~(one[some] == two[some])
+        hits[:, 1:] |= hit2[some][:, :-1]
+        hits[:, 2:] |= hit2[some][:, :-2].astype(np.int32) << 1
+        states[some] = _state(b, a, hits)
+        known[some] = np.maximum.accumulate(numbers[some], axis=1) + 1  # numbers given after each id
+        new[some, 0] = True
+        new[some, 1:] = known[some][:, 1:] > known[some][:, :-1]
+    # The steps of the coder: an id's interval, and after it, if the id is new, that of its prior.
+    at = np.arange(longest, dtype=np.int32) + (known - new)
+    n_steps = at[np.arange(lanes), sizes - 1] + 1 + new[np.arange(lanes), sizes - 1]
+    start, wide = (np.zeros((lanes, int(at[:, -1].max()) + 2), np.int32) for _ in range(2))
+    prior = _prior(bits).astype(np.int32)
+    row, column = np.nonzero(new)
+    inside = column < sizes[row]
+    row, column = row[inside], column[inside]
+    name, to = ids[row * block + column], at[row, column] + 1
+    start[row, to], wide[row, to] = prior[name], prior[name + 1] - prior[name]
+    m = _Model(lanes, False)
+    lane, since = m.lane[:, None], 0
+    for begin, size in _steps(longest):
+        m.count(known[:, begin - 1].astype(np.int64) if begin else np.zeros(lanes, np.int64), begin, size, since)
+        since = size
+        now = slice(begin, begin + size)
+        x, state = numbers[:, now], states[:, now]
+        v = m.shares.take(lane * 128 + state)
+        v2, v1 = v >> 8, v & 0xFF
+        v0 = 256 - v2 - v1
+        s = m.spread.take(m.base[:, None] + x)
+        first = s >> 15
+        own = np.where(new[:, now], SLOTS - first, s & 0x7FFF)
+        a = v0 * first + ((v2 * (two[:, now] < x) + v1 * (one[:, now] < x)) << SLOT_BITS)
+        b = v0 * own + ((v2 * hit2[:, now] + v1 * hit1[:, now]) << SLOT_BITS)
+        np.put_along_axis(start, at[:, now], a, 1)
+        np.put_along_axis(wide, at[:, now], b, 1)
+        m.take_up(x, state, hit2[:, now], hit1[:, now], lane)
+    return _written(ids.astype("<u4"), block, bits, sizes, start, wide, n_steps)
+
+
+def _written(raw: np.ndarray, block: int, bits: int, sizes: np.ndarray, start: np.ndarray, wide: np.ndarray, n_steps: np.ndarray) -> list[bytes]:
+    """The range coder: the blocks whose lanes take `n_steps` steps with these intervals."""
+    lanes = len(sizes)
+    order = np.argsort(-n_steps, kind="stable")  # lanes end one after another, the last first
+    start, wide, n_steps = start[order].T, wide[order].T, n_steps[order]
+    low, width, pos = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64), np.zeros(lanes, np.int64)
+    digits = 3 * int(n_steps[0]) // 2 + 16
+    out, row = np.zeros(lanes * digits, np.int32), np.arange(lanes) * digits
+    live = np.searchsorted(-n_steps, -np.arange(int(n_steps[0])), "left").tolist()
+    n = -1
+    for t, now in enumerate(live):
+        if now != n:
+            n = now
+            lo, wi, po, ro = low[:n], width[:n], pos[:n], row[:n]
+        r = wi >> MIX_BITS
+        lo += r * start[t, :n]
+        np.multiply(r, wide[t, :n], out=wi)
+        while True:  # digits may have a 17th bit; it is carried to the left in the end
+            narrow = (wi < 1 << 32).astype(np.int64)
+            digit = lo >> 32
+            out[ro + po] = digit
+            po += narrow
+            lo -= (digit * narrow) << 32
+            narrow <<= 4
+            lo <<= narrow
+            wi <<= narrow
+            if wi.min() >= 1 << 32:
+                break
+    for _ in range(3):
+        out[row + pos] = low >> 32
         pos += 1
-        low = (low & 0xFFFF) << 16
-    for i in range(int(pos.max()) - 1 if n_lanes else -1, 0, -1):  # carries go to the left
-        over = out[:, i] >> 16
-        if over.any():
-            out[:, i - 1] += over
-            out[:, i] &= 0xFFFF
-    blocks = []
-    raw = ids.astype("<u4")
-    for i in range(n_lanes):
-        body = out[i, : pos[i]].astype("<u2").tobytes()
-        own = raw[i * block : i * block + int(sizes[i])].tobytes()
-        blocks.append(MAGIC + struct.pack("<BIII", steps, int(sizes[i]), zlib.crc32(own), len(body)) + body)
+        low = (low & 0xFFFFFFFF) << 16
+    blocks = [b""] * lanes
+    for at, i in enumerate(order.tolist()):
+        body = out[row[at] : row[at] + pos[at]]
+        carried = int.from_bytes((body & 0xFFFF).astype(">u2").tobytes(), "big") + (int.from_bytes((body >> 16).astype(">u2").tobytes(), "big") << 16)
+        body = carried.to_bytes(2 * len(body), "big")
+        head = HEADER.pack(MAGIC, bits, int(sizes[i]), zlib.crc32(raw[i * block : i * block + int(sizes[i])].tobytes()), len(body), 0)[:-4]
+        blocks[i] = head + struct.pack("<I", zlib.crc32(head)) + body
     return blocks
 
 
 class DamagedBlock(ValueError):
-    """A block whose content is not what its header says."""
+    """A block or segment whose content is not what its header or checksum says."""
 
 
-def decode_blocks(blocks: list[bytes]) -> np.ndarray:
-    """The ids of coded blocks, one after another. Only the last block may be shorter than the others."""
+def _heads(blocks: list[bytes]) -> list[tuple[int, int, int]]:
+    """Bits, size and checksum of each block; headers are checked before anything is decoded."""
     heads = []
     for b in blocks:
-        if b[:4] != MAGIC or len(b) < 17:
+        if len(b) < HEADER.size or b[:4] != MAGIC:
             raise DamagedBlock("no block begins here")
-        heads.append(struct.unpack("<BIII", b[4:17]))
-        if len(b) != 17 + heads[-1][3]:
+        _, bits, size, crc, length, own = HEADER.unpack(b[: HEADER.size])
+        if zlib.crc32(b[: HEADER.size - 4]) != own:
+            raise DamagedBlock("the checksum of a header does not hold")
+        if len(b) != HEADER.size + length or length % 2 or not 8 <= bits <= 20:
             raise DamagedBlock("a block has another length than its header says")
-    n_lanes = len(blocks)
-    if not n_lanes:
-        return np.zeros(0, np.uint32)
-    steps, sizes = heads[0][0], np.array([h[1] for h in heads])
-    digits = np.zeros((n_lanes, max(len(b) - 17 for b in blocks) // 2 + 4), np.int64)
-    for i, b in enumerate(blocks):
-        body = np.frombuffer(b, "<u2", offset=17)
-        digits[i, : len(body)] = body
-    m = _Model(n_lanes, steps)
-    code, width, pos = (digits[:, 0] << 16) | digits[:, 1], np.full(n_lanes, 1 << 32, np.int64), np.full(n_lanes, 2, np.int64)
-    by_step = np.zeros((int(sizes.max()), n_lanes), np.uint32)
-
-    def shift(lanes: np.ndarray | slice, co: np.ndarray, wi: np.ndarray) -> None:
-        some = np.flatnonzero(wi < 1 << 16)
-        if len(some):
-            at = m.lane[lanes][some]
-            co[some] = (co[some] << 16) | digits[at, np.minimum(pos[at], digits.shape[1] - 1)]
-            pos[at] += 1
-            wi[some] <<= 16
-
-    for t in range(int(sizes.max())):
-        n = n_lanes if t < sizes[-1] else n_lanes - 1
-        m.propose(n)
-        now = slice(0, n)
-        found, co, wi = [], code[now], width[now]
-        for p in (m.p1, m.p2):
-            part = (wi >> _BITS) * p
-            if found:
-                part = np.where(found[0], 0, part)
-            yes = co < part
-            found.append(yes)
-            co, wi = np.where(yes, co, co - part), np.where(yes, part, wi - part)
-            shift(now, co, wi)
-        code[now], width[now] = co, wi
-        hit, hit2 = found
-        x = np.where(hit, m.first, m.id1)
-        rest = np.flatnonzero(~(hit | hit2))
-        if len(rest):
-            high, co, wi = np.zeros(len(rest), np.int64), code[rest], width[rest]
-            at = np.arange(len(rest)) * 16
-            for k in range(steps):
-                rows = m.step_rows(k, rest, high)
-                cum = m.tree[k].take(rows, axis=0)
-                r = wi >> _BITS
-                slot = np.minimum(co // r, _ONE - 1).astype(np.int16)
-                s = np.count_nonzero(cum <= slot[:, None], axis=1) - 1
-                flat = cum.reshape(-1)
-                a = flat.take(at + s).astype(np.int64)
-                b = np.where(s == 15, _ONE, flat.take(at + np.minimum(s + 1, 15)))
-                co, wi = co - r * a, r * (b - a)
-                shift(rest, co, wi)
-                m.tree[k][rows] = cum + ((_TARGET.take(s, axis=0) - cum) >> _RATE)
-                high = (high << 4) | s
-            code[rest], width[rest] = co, wi
-            x[rest] = high
-        m.learn(n, x, hit, hit2)
-        by_step[t, :n] = x
-    ids = by_step.T
-    out = [ids[i, : sizes[i]] for i in range(n_lanes)]
-    for i, one in enumerate(out):
+        heads.append((bits, size, crc))
+    return heads
+
+
+def decode_blocks(blocks: list[bytes]) -> np.ndarray:
+    """The ids of coded blocks, one after another. All headers are checked first."""
+    heads = _heads(blocks)
+    parts = [_decoded(blocks[i : i + MOST_LANES], heads[i : i + MOST_LANES]) for i in range(0, len(blocks), MOST_LANES)]
+    return np.concatenate([np.zeros(0, np.uint32), *parts])
+
+
+def _decoded(blocks: list[bytes], heads: list[tuple[int, int, int]]) -> np.ndarray:
+    order = sorted(range(len(blocks)), key=lambda i: -heads[i][1])  # lanes end one after another, the last first
+    lanes, sizes = len(blocks), np.array([heads[i][1] for i in order])
+    longest = int(sizes[0])
+    n_digits = max(len(b) for b in blocks) // 2 + 4
+    digits, row = np.zeros((lanes, n_digits), np.int32), np.arange(lanes) * n_digits
+    for at, i in enumerate(order):
+        body = np.frombuffer(blocks[i], ">u2", offset=HEADER.size)
+        digits[at, : len(body)] = body
+    digits = digits.reshape(-1)
+    priors = {b: _prior(b) for b in {h[0] for h in heads}}
+    bits = np.array([heads[i][0] for i in order])
+    m = _Model(lanes, True)
+    m.tables |= {"followers": np.zeros(0, np.int32), "names": np.zeros(0, np.int32)}
+    pairs = np.full(lanes << PAIRS_BITS, -1 << 20, np.int32)
+    at_pairs, at_slots, at_shares = m.lane << PAIRS_BITS, m.lane << SLOT_BITS, m.lane * 128
+    code = digits[row].astype(np.int64) << 32 | digits[row + 1].astype(np.int64) << 16 | digits[row + 2]
+    width, pos = np.full(lanes, 1 << 48, np.int64), np.full(lanes, 3, np.int64)
+    known = np.zeros(lanes, np.int32)
+    last, before, hits = (np.zeros(lanes, np.int32) for _ in range(3))
+    by_step = np.zeros((longest, lanes), np.uint16)
+    top = np.int32((1 << MIX_BITS) - 1)
+
+    def shift(some: np.ndarray | slice, co: np.ndarray, wi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        while True:
+            narrow = (wi < 1 << 32).astype(np.int64)
+            next_ = digits.take(row[some] + pos[some])
+            pos[some] = np.minimum(pos[some] + narrow, n_digits - 1)
+            next_ = next_ * narrow
+            narrow <<= 4
+            co, wi = (co << narrow) | next_, wi << narrow
+            if not len(wi) or wi.min() >= 1 << 32:
+                return co, wi
+            wi = np.maximum(wi, 1)  # a damaged block may lead anywhere
+
+    live = np.searchsorted(-sizes, -np.arange(longest), "left").tolist()
+    since = 0
+    for begin, size in _steps(longest):
+        m.count(known.astype(np.int64), begin, size, since)
+        since = size
+        followers, names = m.tables["followers"], m.tables["names"]
+        ones, twos, states = (np.zeros((size, lanes), np.int32) for _ in range(3))
+        n = -1
+        for t in range(begin, min(begin + size, longest)):
+            now = live[t]
+            if now != n:
+                n = now
+                base, own_pairs, own_slots, own_shares = m.base[:n], at_pairs[:n], at_slots[:n], at_shares[:n]
+            # what orders 1 and 2 predict, and the shares of all orders
+            c1, c2 = last[:n], before[:n]
+            i1 = base + c1
+            one = followers.take(i1)
+            h = _hash(c2, c1)
+            i2 = own_pairs + (h & (1 << PAIRS_BITS) - 1)
+            check = (h << 20 - PAIRS_BITS) & 0xFF << 20
+            two = pairs.take(i2) ^ check
+            two = np.where(two.view(np.uint32) < 1 << 20, two, m.none)
+            state = _state(two, one, hits[:n])
+            ones[t - begin, :n], twos[t - begin, :n], states[t - begin, :n] = one, two, state
+            v = m.shares.take(own_shares + state)
+            v2, v1 = v >> 8, v & 0xFF
+            v0 = 256 - v2 - v1
+            v2, v1 = v2 << SLOT_BITS, v1 << SLOT_BITS
+            k1, k2, one, two = one >> 16, two >> 16, one & _LOCAL, two & _LOCAL
+            # the number whose interval holds the code
+            r = width[:n] >> MIX_BITS
+            at = np.minimum((code[:n] / r).astype(np.int32), top)
+            s = m.spread.take(base + two)
+            low2 = v0 * (s >> 15) + v1 * (one < two)
+            past2 = at >= low2 + v0 * (s & 0x7FFF) + v2
+            s = m.spread.take(base + one)
+            low1 = v0 * (s >> 15) + v2 * (two < one)
+            past1 = at >= low1 + v0 * (s & 0x7FFF) + v1
+            slot = np.minimum(((at - v2 * past2 - v1 * past1) / v0).astype(np.int32), SLOTS - 1)
+            x = np.minimum(m.slots.take(own_slots + slot), known[:n])
+            x = np.where((at >= low1) > past1, one, x)
+            x = np.where((at >= low2) > past2, two, x)
+            # its interval
+            s = m.spread.take(base + x)
+            first = s >> 15
+            hit2, hit1, new = x == two, x == one, x == known[:n]
+            start = v0 * first + v2 * (two < x) + v1 * (one < x)
+            wide = v0 * np.where(new, SLOTS - first, s & 0x7FFF) + v2 * hit2 + v1 * hit1
+            code[:n], width[:n] = shift(slice(0, n), code[:n] - r * start, r * wide)
+            some = np.flatnonzero(new)
+            if len(some):
+                r = width[some] >> MIX_BITS
+                at = np.minimum((code[some] / r).astype(np.int64), top)
+                name, start, end = (np.zeros(len(some), np.int64) for _ in range(3))
+                for b, prior in priors.items():
+                    own = slice(None) if len(priors) == 1 else bits[some] == b
+                    name[own] = np.searchsorted(prior, at[own], "right") - 1
+                    start[own], end[own] = prior.take(name[own]), prior.take(name[own] + 1)
+                code[some], width[some] = shift(some, code[some] - r * start, r * (end - start))
+                names[base[some] + x[some]] = name
+                known[:n] += new
+            followers[i1] = x | _SURER.take(k1 << 1 | hit1)
+            pairs[i2] = x | _SURER.take(k2 << 1 | hit2) | check
+            hits[:n] = (hits[:n] << 1 | hit2) & 3
+            before[:n] = c1
+            last[:n] = x
+            by_step[t, :n] = x
+        x = by_step[begin : begin + size].astype(np.int32)
+        ones, twos = ones[: len(x)] & _LOCAL, twos[: len(x)] & _LOCAL
+        m.take_up(x, states[: len(x)], x == twos, (x == ones) & (ones != twos), m.lane)
+    names = m.tables["names"].reshape(lanes, m.room)
+    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes
+    del digits, pairs, followers, m
+    for at, i in enumerate(order):
+        one = names[at].take(by_step[: sizes[at], at]).astype(np.uint32)
         if zlib.crc32(one.astype("<u4").tobytes()) != heads[i][2]:
             raise DamagedBlock(f"the checksum of block {i} does not hold")
+        out[i] = one
     return np.concatenate(out)
 
 
-FILES = "file int, segment int, n_ids long, doc_ids binary, n_nulls int, sizes binary, blocks array<binary>"
+FILES = "file int, segment int, n_ids long, doc_ids binary, n_nulls int, sizes binary, blocks array<binary>, crc32 long"
+
+
+def _checksum(file: int, segment: int, n_ids: int, doc_ids: bytes, n_nulls: int, sizes: bytes, blocks: list[bytes]) -> int:
+    """CRC-32 of all fields of a segment, of its blocks the headers: these hold the checksums of the ids."""
+    crc = zlib.crc32(struct.pack("<iiqiqqq", file, segment, n_ids, n_nulls, len(doc_ids), len(sizes), len(blocks)))
+    for x in (doc_ids, sizes, *(b[: HEADER.size] for b in blocks)):
+        crc = zlib.crc32(x, crc)
+    return crc
 
 
 def write(docs: DataFrame, path: str, vocabulary: str = BYTE_BPE, end: int = END) -> None:
@@ -295,8 +479,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = BYTE_BPE, end: int = END
             tokens[own] = ids
             values = np.asarray(doc_ids.fill_null(0)).astype("<i8")
             row = [file, segment, len(tokens), values.tobytes(), doc_ids.null_count, sizes.astype("<i8").tobytes(), encode_blocks(tokens)]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["file", "segment", "n_ids", "doc_ids", "n_nulls", "sizes", "blocks"])
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*row, _checksum(*row)), kinds, strict=True)], names=["file", "segment", "n_ids", "doc_ids", "n_nulls", "sizes", "blocks", "crc32"])
 
         held, size = [], 0
         for batch in batches:
@@ -312,7 +496,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = BYTE_BPE, end: int = END
             yield coded(held)
 
     tie = F.xxhash64("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    n_files = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SEGMENT_BYTES))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n_files, "doc_id", tie).sortWithinPartitions("doc_id", tie)
     rows.mapInArrow(run, FILES).write.parquet(path)
 
 
@@ -325,20 +510,36 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     inside = F.sum("n_ids").over(Window.partitionBy("file").orderBy("segment").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_ids")
     starts = files.select("file", "segment", "n_ids").withColumn("inside", inside).join(before, "file").select("file", "segment", (F.col("before_file") + F.col("inside")).alias("before"))
 
+    def decoded(segments: list[dict]) -> Iterator[pa.RecordBatch]:
+        tokens, at = decode_blocks([b for s in segments for b in s["blocks"]]).astype("<u4"), 0
+        for s in segments:
+            n = np.frombuffer(s["sizes"], "<i8")
+            ends = np.cumsum(n)
+            if (ends[-1] if len(n) else 0) != s["n_ids"] or len(s["doc_ids"]) != len(s["sizes"]):
+                raise DamagedBlock("a segment has other sizes than its fields say")
+            texts = [tokens[at + b - a : at + b].tobytes() for a, b in zip(n.tolist(), ends.tolist(), strict=True)]
+            at += s["n_ids"]
+            ids = pa.array(np.frombuffer(s["doc_ids"], "<i8"), mask=np.arange(len(n)) < s["n_nulls"])
+            columns = [pa.array(np.full(len(n), s[k], np.int32)) for k in ("file", "segment")]
+            texts = pa.array(texts, pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, ids, pa.array(ends - n), pa.array(n), texts], names=["file", "segment", "doc_id", "inside", "n_tokens", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
             for i in range(batch.num_rows):
-                doc_ids, nulls, sizes, blocks = (batch.column(j)[i].as_py() for j in range(2, 6))
-                key = [batch.column(j)[i].as_py() for j in (0, 1)]
-                tokens, n = decode_blocks(blocks).astype("<u4"), np.frombuffer(sizes, "<i8")
-                ends = np.cumsum(n)
-                own = np.arange(len(n))
-                texts = [tokens[b - a : b].tobytes() for a, b in zip(n.tolist(), ends.tolist(), strict=True)]
-                ids = pa.array(np.frombuffer(doc_ids, "<i8"), mask=own < nulls)
-                columns = [pa.array(np.full(len(n), key[0], np.int32)), pa.array(np.full(len(n), key[1], np.int32)), ids, pa.array(ends - n), pa.array(n), pa.array(texts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["file", "segment", "doc_id", "inside", "n_tokens", "ids"])
-
-    rows = files.select("file", "segment", "doc_ids", "n_nulls", "sizes", "blocks").mapInArrow(run, "file int, segment int, doc_id long, inside long, n_tokens long, ids binary")
+                s = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
+                crc = s.pop("crc32")
+                if _checksum(**s) != crc:
+                    raise DamagedBlock("the checksum of a segment does not hold")
+                if held and sum(len(h["blocks"]) for h in held) + len(s["blocks"]) > MOST_LANES // 2:
+                    yield from decoded(held)
+                    held = []
+                held.append(s)
+        if held:
+            yield from decoded(held)
+
+    rows = files.mapInArrow(run, "file int, segment int, doc_id long, inside long, n_tokens long, ids binary")
     return rows.join(F.broadcast(starts) if starts.count() <= 100_000 else starts, ["file", "segment"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids")
 
 

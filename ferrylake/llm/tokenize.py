@@ -9,6 +9,7 @@ Python worker loads it once and keeps a bounded cache of chunks.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,15 @@ import pyarrow.compute as pc
 from ferrylake.llm.common import text_bytes, text_slices, tokenizer_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-#: Chunks that either of the two generations of a worker's cache holds, and the longest chunk it holds.
-CACHE_CHUNKS, CACHE_BYTES = 300_000, 64
+#: Chunks, words or parts that a worker's table may hold before those that the last texts didn't use go, and the longest that stays.
+CACHE_CHUNKS, CACHE_BYTES = 600_000, 64
 #: Bytes of text that are cut and encoded at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
-#: A plain word (letters below U+0250 but for the one whose lower case is two characters), and punctuation after it.
-_PLAIN = r"^(?P<word>[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+)(?P<end>[.,;:!?*$%&#|]*)$"
+#: A plain word (letters below U+0250 but for the one whose lower case is two characters), and punctuation after it; and the
+#: same on the next line.
+_LETTERS, _MARKS = "[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+", "[.,;:!?*$%&#|]*"
+_PLAIN = rf"^(?P<word>{_LETTERS})(?P<end>{_MARKS})(?:(?P<line>\n)(?P<word2>{_LETTERS})(?P<end2>{_MARKS}))?$"
 
 _workers: dict[str, "Encoder"] = {}
 
@@ -35,6 +38,51 @@ def encoder(vocabulary: str) -> "Encoder":
     return _workers[vocabulary]
 
 
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of `flat`, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])] if len(ends) else flat[:0]
+
+
+class _Table:
+    """Strings and their ids. Strings are found by Arrow, all at once, and compared whole."""
+
+    def __init__(self, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+        self.make = make  # different strings to their ids, one after another, and how many each has
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.flat = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.starts, self.sizes, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _shrink(self) -> None:
+        stay = self.used & (np.asarray(pc.binary_length(self.keys)) <= CACHE_BYTES)
+        if 2 * stay.sum() > CACHE_CHUNKS:
+            self.clear()
+            return
+        self.keys, self.flat = self.keys.filter(pa.array(stay)), _gathered(self.flat, self.starts[stay], self.sizes[stay])
+        self.sizes = self.sizes[stay]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def find(self, values: pa.Array) -> np.ndarray:
+        """The place of each value in the table; `starts`, `sizes` and `flat` hold its ids until the next call."""
+        if len(self.keys) > CACHE_CHUNKS:
+            self._shrink()
+        values = values.fill_null("") if values.null_count else values
+        found = pc.index_in(values, value_set=self.keys)
+        out = np.asarray(found.fill_null(-1)).astype(np.int64)
+        if found.null_count:
+            missing = values.filter(pc.is_null(found)).dictionary_encode()
+            flat, sizes = self.make(missing.dictionary)
+            out[out < 0] = np.asarray(missing.indices).astype(np.int64) + len(self.keys)
+            self.keys = pa.concat_arrays([self.keys, missing.dictionary.cast(pa.string())])
+            self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+        self.used = np.zeros(len(self.keys), bool)
+        self.used[out] = True
+        return out
+
+
 class Encoder:
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,8 +90,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
         self.spaced = vocabulary != WORD_BPE  # chunks keep the space before them
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.after_space, self.first = _Table(lambda x: self._chunks(x, self.spaced)), _Table(lambda x: self._chunks(x, False))
+        self.words = {s: _Table(lambda x, s=s: self._words(x, " " if s else "")) for s in (True, False)}
+        self.parts = _Table(lambda x: self._wholes(x.to_pylist()))
         # A token that begins a word with its space, or one that ends a word: it tells words apart in a longer text.
         edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -54,57 +103,57 @@ class Encoder:
         """Ids of each text, encoded whole."""
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def chunks(self, names: pa.Array, spaced: bool) -> list[bytes]:
-        """Ids of different chunks; `spaced`: a space stands before each. Plain words are found, and counted once, by Arrow."""
-        split = pc.extract_regex(names, _PLAIN)
-        word, end = pc.struct_field(split, "word"), pc.struct_field(split, "end")
-        plain = np.asarray(pc.is_valid(split))
-        word, end = word.filter(pa.array(plain)), end.filter(pa.array(plain))
-        if not self.spaced:
-            word = pc.utf8_lower(word)
-        if spaced:
-            word = pc.binary_join_element_wise("", word, " ")
-        word, end = word.dictionary_encode(), end.dictionary_encode()
-        words, ends = self._known(word.dictionary.to_pylist(), True), self._known(end.dictionary.to_pylist(), False)
-        out: list[bytes] = [b""] * len(names)
-        at = np.flatnonzero(plain).tolist()
-        for i, a, b in zip(at, np.asarray(word.indices).tolist(), np.asarray(end.indices).tolist(), strict=True):
-            out[i] = words[a] + ends[b] if ends[b] else words[a]
-        others = names.filter(pa.array(~plain)).to_pylist()
-        parts = [self._parts(" " + t if spaced else t) for t in others]
-        keys = list({k for p in parts for k in p})
-        known = dict(zip(keys, self._known(keys, False), strict=True))
-        for i, p in zip(np.flatnonzero(~plain).tolist(), parts, strict=True):
-            out[i] = known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p])
-        return out
+    def _wholes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out = self.whole(texts)
+        return np.concatenate([np.zeros(0, np.uint32), *out]), np.array([len(x) for x in out], np.int64)
 
-    def _known(self, keys: list[str], plain: bool) -> list[bytes]:
-        """Ids of keys from the cache, or from the library; `plain`: all are single words."""
-        new, old = self.new, self.old
-        out = [new.get(k) or old.get(k) for k in keys]
-        missing = [i for i, x in enumerate(out) if x is None]
-        wanted = [keys[i] for i in missing]
-        for i, x in zip(missing, self._words(wanted) if plain else [ids.tobytes() for ids in self.whole(wanted)], strict=True):
-            out[i] = x
-        for k, x in zip(keys, out, strict=True):
-            if x and len(k) <= CACHE_BYTES:
-                new[k] = x
-        if len(new) > CACHE_CHUNKS:
-            self.old, self.new = new, {}
-        return out
-
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _chunks(self, names: pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different chunks; `spaced`: a space stands before each. Plain words are encoded once, whatever follows them."""
+        split = pc.extract_regex(names, _PLAIN)
+        is_plain = pc.is_valid(split)
+        plain = np.asarray(is_plain)
+        word, end, line, word2, end2 = (pc.struct_field(split, x).filter(is_plain) for x in ("word", "end", "line", "word2", "end2"))
+        lower = pc.utf8_lower if not self.spaced else lambda x: x
+        starts, sizes, flats, total = [], [], [], 0
+        for table, column in ((self.words[spaced], lower(word)), (self.parts, end), (self.parts, line), (self.words[False], lower(word2)), (self.parts, end2)):
+            at = table.find(column)  # what a table holds may be another thing after its next call
+            starts.append(table.starts[at] + total)
+            sizes.append(table.sizes[at])
+            flats.append(table.flat)
+            total += len(table.flat)
+        sizes = np.column_stack(sizes)
+        flat = _gathered(np.concatenate(flats), np.column_stack(starts).ravel(), sizes.ravel())
+        n = np.zeros(len(names), np.int64)
+        n[plain] = sizes.sum(1)
+        if plain.all():
+            return flat, n
+        others = [self._parts(" " + t if spaced else t) for t in names.filter(pc.invert(is_plain)).to_pylist()]
+        at = self.parts.find(pa.array([x for p in others for x in p], pa.string()))
+        owner = np.repeat(np.arange(len(others)), [len(p) for p in others])
+        n[~plain] = np.bincount(owner, self.parts.sizes[at], len(others)).astype(np.int64)
+        flat = np.concatenate([flat, _gathered(self.parts.flat, self.parts.starts[at], self.parts.sizes[at])])
+        # plain chunks come first in `flat`; the caller wants them in the order of `names`
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        starts = np.zeros(len(names), np.int64)
+        starts[order] = np.cumsum(n[order]) - n[order]
+        return _gathered(flat, starts, n), n
+
+    def _words(self, words: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain words, encoded side by side: many short calls cost more than a few longer ones."""
-        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
-        out: list[bytes] = []
-        for group, ids in zip(groups, self.whole([("" if self.spaced else " ").join(g) for g in groups]), strict=True):
+        if self.spaced and not before:  # such words can't stand side by side; each text has few
+            return self._wholes(words.to_pylist())
+        bounds = [*range(0, len(words), 64), len(words)]
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words), " ").to_pylist()
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i, ids in enumerate(self.whole([before + g for g in groups])):
             at = np.flatnonzero(self.edge[ids])
-            if len(at) != len(group):  # a word that isn't one after all
-                out += [x.tobytes() for x in self.whole(group)]
-                continue
-            bounds = [*at.tolist(), len(ids)] if self.spaced else [0, *(at + 1).tolist()]
-            out += [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return out
+            if len(at) == bounds[i + 1] - bounds[i]:
+                n = np.diff(np.append(at, len(ids)) if self.spaced else np.append(-1, at))
+            else:  # a word that isn't one after all
+                ids, n = self._wholes([before + w for w in words.slice(bounds[i], bounds[i + 1] - bounds[i]).to_pylist()])
+            flat.append(ids)
+            sizes.append(n)
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _parts(self, chunk: str) -> list[str]:
         """Parts of a chunk that never share a token: plain words, the punctuation after them, line ends between words."""
@@ -147,24 +196,21 @@ class Encoder:
         values = parts.flatten()
         bounds = np.asarray(parts.offsets).astype(np.int64)
         bounds -= bounds[0]
+        is_first = np.zeros(len(values), bool)
         if self.spaced:
-            first = np.zeros(len(values), bool)
-            first[bounds[:-1]] = True
-            head, rest = values.filter(pa.array(first)).dictionary_encode(), values.filter(pa.array(~first)).dictionary_encode()
-            codes = np.empty(len(values), np.int64)
-            codes[first] = np.asarray(head.indices) + len(rest.dictionary)
-            codes[~first] = np.asarray(rest.indices)
-            known = self.chunks(rest.dictionary, True) + self.chunks(head.dictionary, False)
-        else:
-            coded = values.dictionary_encode()
-            codes, known = np.asarray(coded.indices).astype(np.int64), self.chunks(coded.dictionary, False)
-        sizes = np.fromiter((len(x) >> 2 for x in known), np.int64, len(known))
-        flat = np.frombuffer(b"".join(known), np.uint32)
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[codes]
-        after = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(n, out=after[1:])
-        ids = flat[np.repeat(starts[codes] - after[:-1], n) + np.arange(after[-1])] if len(n) else flat[:0]
+            is_first[bounds[:-1]] = True
+        sizes = np.zeros(len(values), np.int64)
+        starts = np.zeros(len(values), np.int64)
+        flats, total = [], 0
+        for table, own in ((self.after_space, ~is_first), (self.first, is_first)):
+            if own.any():
+                codes = table.find(values if own.all() else values.filter(pa.array(own)))
+                sizes[own], starts[own] = table.sizes[codes], table.starts[codes] + total
+                flats.append(table.flat)
+                total += len(table.flat)
+        ids = _gathered(np.concatenate(flats) if len(flats) > 1 else flats[0], starts, sizes) if flats else np.zeros(0, np.uint32)
+        after = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=after[1:])
         offsets = after[bounds]
         if unsafe.any():
             pieces = [wholes.get(i, ids[offsets[i] : offsets[i + 1]]) for i in range(len(column))]

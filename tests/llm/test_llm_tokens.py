@@ -108,3 +108,42 @@ def test_empty_tables(spark):
 def test_query_columns(spark, small):
     assert queries.op10_token_files(spark, small).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert queries.op7_best_fit_packing(spark, small).columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_blocks_mix_three_orders_and_stay_small():
+    rng = np.random.default_rng(6)
+    skewed = np.minimum(rng.zipf(1.3, 40_000), 50_000).astype(np.uint32)  # order 0 alone helps
+    size = lambda x: sum(map(len, range_coder.encode_blocks(x)))
+    counts = np.bincount(skewed)
+    p = counts[counts > 0] / len(skewed)
+    assert size(skewed) < 1.15 * -(p * np.log2(p)).sum() / 8 * len(skewed)
+    follows = np.arange(40_000, dtype=np.uint32) % 997  # order 1 tells the next id
+    assert size(follows) < 0.2 * len(follows)
+    pairs = np.resize(np.concatenate([[a, b, (a * b) % 89] for a in range(20) for b in range(20)]).astype(np.uint32), 40_000)
+    assert size(pairs) < 0.6 * len(pairs)
+    for x in (skewed, follows, pairs, np.arange(20_000, dtype=np.uint32), np.zeros(9000, np.uint32)):
+        assert (range_coder.decode_blocks(range_coder.encode_blocks(x)) == x).all()
+    mixed = range_coder.encode_blocks(skewed[:300]) + range_coder.encode_blocks(follows[:9000]) + range_coder.encode_blocks(pairs[:7])
+    assert (range_coder.decode_blocks(mixed) == np.concatenate([skewed[:300], follows[:9000], pairs[:7]])).all()
+
+
+def test_any_damaged_bit_is_found_at_once_or_by_checksum():
+    blocks = range_coder.encode_blocks(np.random.default_rng(7).integers(0, 5000, 600).astype(np.uint32))
+    for bit in [*range(8 * range_coder.HEADER.size), 8 * range_coder.HEADER.size + 5, 8 * len(blocks[0]) - 200]:
+        broken = bytearray(blocks[0])
+        broken[bit // 8] ^= 1 << bit % 8
+        with pytest.raises(range_coder.DamagedBlock):
+            range_coder.decode_blocks([bytes(broken)])
+    with pytest.raises(range_coder.DamagedBlock):
+        range_coder.decode_blocks([blocks[0][:-2]])
+
+
+def test_damaged_segment_fields_are_found(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(50)], "doc_id long, text string")
+    range_coder.write(docs, f"file://{tmp_path}/good")
+    good = spark.read.schema(range_coder.FILES).parquet(f"file://{tmp_path}/good")
+    for column, new in (("n_ids", "n_ids + 1"), ("doc_ids", "concat(substring(doc_ids, 1, 8), substring(doc_ids, 1, 8), substring(doc_ids, 17))"), ("sizes", "concat(X'0900000000000000', substring(sizes, 9))"), ("segment", "segment + 1")):
+        path = f"file://{tmp_path}/{column}"
+        good.selectExpr(*(f"cast({new} as {t}) as {c}" if c == column else c for c, t in good.dtypes)).write.parquet(path)
+        with pytest.raises(Exception, match="DamagedBlock"):
+            range_coder.read(spark, path).collect()
