@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrylake.llm.common import _BYTES, _power, text_bytes, text_slices
+from ferrylake.llm.common import _BYTES, _power, exact, text_bytes, text_slices
 from ferrylake.llm.tokenize import BYTE_BPE, Encoder, encoder, white_edges
 
 WINDOW, CUT_BITS = 16, 9
@@ -207,7 +207,7 @@ def encode(docs: DataFrame, vocabulary: str = BYTE_BPE) -> DataFrame:
                 decoded = [x.decode() for x in chunks.decode(ids, offsets)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(packed, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return exact(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

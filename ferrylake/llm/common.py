@@ -16,9 +16,11 @@ HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one of our own where it is unset."""
+    """Folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where it is unset and all runs in one process."""
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not at:
         at = f"file://{tempfile.mkdtemp(prefix='ferrylake-')}"
         spark.conf.set("spark.checkpoint.dir", at)
@@ -37,6 +39,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exact(df: DataFrame, *names: str) -> DataFrame:
+    """Only these columns, found by their exact names, even where others differ from them in case alone."""
+    at = [df.columns.index(n) for n in names]
+    return df.toDF(*(f"own{i}" for i in range(len(df.columns)))).select(*(F.col(f"own{i}").alias(n) for i, n in zip(at, names, strict=True)))
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file; resolved where it is called, so tasks find their own copy."""
     import public_tokenizers

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrylake.llm.common import HOT_SHARE, connected_components, mix, shingle_sets, skew_join, staged, text_slices, with_ids
+from ferrylake.llm.common import BROADCAST_IDS, HOT_SHARE, connected_components, exact, mix, shingle_sets, skew_join, staged, text_slices, with_ids
 
 BUCKETS, MANTISSA = 128, 10
 ROWS = 4
@@ -226,7 +226,7 @@ def _meet(percent: int):
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """`docs` (doc_id, text): returns doc_id, n_shingles and component_id, one row for each row of `docs`."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = exact(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = staged(texts.mapInArrow(_features(k, False), "doc_id long, n long, set1 long, set2 long, sketch binary"), "sketches")
 
     # Classes of equal sets: most have one document, whose node is its own id. One shuffle of the sketches at any size.
@@ -263,7 +263,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # A node that is a pivot and has another home may lead a home that it is not of itself.
     of_home = homes.select("home").distinct().join(known.select(F.col("node").alias("home"), F.col("component").alias("main")), "home", "left").select("home", F.coalesce("main", "home").alias("main"))
     flagged = skew_join(known, of_home, "home", "inner").withColumn("stray", F.col("component") != F.col("main")).drop("main")
-    groups = flagged.groupBy("home").agg(F.count("*").alias("many"), F.sum(F.col("stray").cast("long")).alias("strays"), F.min("component").alias("low"), F.max("component").alias("high")).where("many > 2 AND strays > 0 AND low < high")
+    groups = flagged.groupBy("home").agg(F.count("*").alias("many"), F.sum(F.col("stray").cast("long")).alias("strays"), F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.col("node") == F.col("home")).alias("led"))
+    # Two that have only each other were compared, but for two whose home is neither of them.
+    groups = groups.where("(many > 2 OR many = 2 AND NOT led) AND strays > 0 AND low < high")
     open_ = staged(skew_join(flagged, groups.select("home", "many", "strays"), "home", "inner"), "open")
     if open_.take(1):
         sets = staged(with_ids(texts, open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id").mapInArrow(_features(k, True), "node long, n long, sketch binary, hashes binary").drop("sketch", "n"), "sets")
@@ -301,8 +303,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Keeps one document of each component, the one with the smallest doc_id, with all columns.
 
-    Rows without doc_id all stay. Of rows that repeat a doc_id one stays.
+    Rows without doc_id all stay. Rows that repeat a doc_id with another text are documents of their own: one text keeps the
+    id, the others stand under a number made from id and text. Of rows that repeat both, one stays.
     """
-    kept = near_duplicates(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    mine = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return mine.unionByName(docs.where("doc_id IS NULL"))
+    columns = docs.columns
+    plain = docs.toDF(*(c if c in ("doc_id", "text") else f"own{i}" for i, c in enumerate(columns)))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    again = plain.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("doc_id", "first")
+    again = staged(again, "again")
+    n = again.limit(BROADCAST_IDS + 1).count()
+    if not n:
+        kept = near_duplicates(plain, k, percent).where("doc_id = component_id").select("doc_id")
+        return plain.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").unionByName(plain.where("doc_id IS NULL")).select(*plain.columns).toDF(*columns)
+    number = F.when(F.col("first") != text, F.xxhash64("doc_id", text, F.lit("again"))).otherwise(F.col("doc_id").cast("long"))
+    known = plain.join(F.broadcast(again) if n <= BROADCAST_IDS else again, "doc_id", "left").withColumn("number", number)
+    found = near_duplicates(known.select(F.col("number").alias("doc_id"), "text"), k, percent)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("number")).distinct()
+    mine = known.where("doc_id IS NOT NULL").join(kept, "number", "left_semi")
+    single, many = mine.where("first IS NULL"), mine.where("first IS NOT NULL").dropDuplicates(["number"])
+    return single.unionByName(many).unionByName(known.where("doc_id IS NULL")).select(*plain.columns).toDF(*columns)

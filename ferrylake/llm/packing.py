@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrylake.llm.common import staged
-from ferrylake.llm.tokenize import WORD_BPE, encoder
+from ferrylake.llm.common import exact, staged, text_slices
+from ferrylake.llm.tokenize import BATCH_BYTES, WORD_BPE, encoder
 
 CAPACITY = 2048
 END = 0
@@ -38,8 +38,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD_BPE
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for a, b in text_slices(batch.column(1), BATCH_BYTES):
+                some = batch.slice(a, b - a)
                 ids, offsets = encoder(vocabulary).encode(some.column(1))
                 sizes = np.diff(offsets) + 1
                 tokens = np.full(len(ids) + len(sizes), end, "<u4")
@@ -67,7 +67,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = WORD_BPE
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return exact(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:

@@ -366,3 +366,9 @@ def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
 
     schema = T.StructType([*given.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
     return plain.mapInArrow(run, schema)
+
+
+def kept_only(docs: DataFrame, model: CoTrained | None, at_least: float = THRESHOLD) -> DataFrame:
+    """The documents that score `at_least` so much, with their own columns, whatever the names of those."""
+    plain = docs.toDF(*(c if c in VIEW else f"own{i}" for i, c in enumerate(docs.columns)))
+    return score(plain, model).where(F.col("quality_score") >= at_least).select(*plain.columns).toDF(*docs.columns)

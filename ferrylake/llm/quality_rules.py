@@ -1,8 +1,8 @@
 """Quality rules: a threshold table compiled into one Spark projection, without user functions.
 
 Every rule is `100 * numerator (<= or >=) bound * denominator` over integer counts of a document, so the verdict is exact
-and any SQL engine reproduces it. Null texts count as empty. Extra columns of the input pass through untouched; a column
-of the input that has the name of a result column is replaced.
+and any SQL engine reproduces it. Null texts count as empty. Extra columns of the input pass through untouched, whatever
+their names; in `quality_rules`, a column of the input that has the name of a result column is replaced.
 """
 
 from __future__ import annotations
@@ -77,11 +77,21 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[
     """Adds the counts, base_failed and kept to each document; nothing is shuffled and no row is dropped.
 
     Empty and null texts have no words and fail the length rule. Repeated rows are judged alike.
+    """
+    judged = _judged(docs, rules, base, text)
+    stay = [i for i, c in enumerate(docs.columns) if c.lower() not in {*COUNTS, "base_failed", "kept"}]
+    added = judged.columns[len(docs.columns) :]
+    return judged.select(*(f"own{i}" for i in stay), *added).toDF(*(docs.columns[i] for i in stay), *added)
+
+
+def _judged(docs: DataFrame, rules: tuple[Rule, ...], base: tuple[Rule, ...], text: str) -> DataFrame:
+    """The columns of `docs` as own0, own1 and so on, so that no name of theirs clashes, then the counts and verdicts.
+
     Windows of three words are found twice by sorting one long for each: hash bits above, position below. Where two
     different windows of a text share the hash bits, that text's windows are sorted again with their words.
     """
-    old = {c for c in docs.columns if c.lower() in {*COUNTS, "base_failed", "kept"}}
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in old]
+    own = [f"own{i}" for i in range(len(docs.columns))]
+    docs, text = docs.toDF(*own), f"own{docs.columns.index(text)}"
     low = (1 << POSITION_BITS) - 1
     windows = _bound("w", "_w", "transform(sequence(0, size(w) - 3), i -> {})")
     key = "xxhash64(w[i], w[i + 1], w[i + 2])"
@@ -129,9 +139,9 @@ def kept_only(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule
     The verdict passes a generator of one row, which no filter is pushed through: else the optimizer would put the whole
     table into the filter, where the lists of words are made anew for every rule.
     """
-    judged = quality_rules(docs, rules, base, text)
-    rows = judged.select("*", F.explode(F.array("kept")).alias("_verdict")).where("_verdict")
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    judged = _judged(docs, rules, base, text)
+    rows = judged.select("*", F.explode(F.array("kept")).alias("verdict")).where("verdict")
+    return rows.select(*judged.columns[: len(docs.columns)]).toDF(*docs.columns)
 
 
 RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

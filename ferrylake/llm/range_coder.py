@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ferrylake.llm.common import shared_dir, text_slices
+from ferrylake.llm.common import exact, shared_dir, text_slices
 from ferrylake.llm.tokenize import BYTE_BPE, encoder
 
 MAGIC = b"FLT2"
@@ -495,6 +495,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = BYTE_BPE, end: int = END
         if held:
             yield coded(held)
 
+    docs = exact(docs, "doc_id", "text")
     tie = F.xxhash64("text")
     n_files = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SEGMENT_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n_files, "doc_id", tie).sortWithinPartitions("doc_id", tie)

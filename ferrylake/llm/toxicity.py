@@ -14,6 +14,7 @@ Null and empty texts have no hits and score like a text without hits. Repeated r
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -44,17 +45,24 @@ FOLDS = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
     "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ո": "n",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o", "đ": "d",
+    "ᴀ": "a", "ʙ": "b", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ꜰ": "f", "ɢ": "g", "ʜ": "h", "ɪ": "i", "ᴊ": "j", "ᴋ": "k", "ʟ": "l", "ᴍ": "m", "ɴ": "n", "ᴏ": "o", "ᴘ": "p", "ʀ": "r", "ꜱ": "s", "ᴛ": "t", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ʏ": "y", "ᴢ": "z",
 }
 _TABLE = str.maketrans(FOLDS)
 #: Harmless phrases that contain words of common lexicons.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clownfish", "idiot proof", "stupid simple", "pond scum")
 
 
+#: Strokes that stand for a letter where one follows them directly.
+_STROKE = re.compile(r"[|!¡](?=[^\W\d_])")
+
+
 def fold(text: str) -> str:
-    """Lower-cased Latin reading of a text."""
+    """Lower-cased Latin reading of a text, without characters that are not seen."""
     text = text.lower()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) not in ("Mn", "Me", "Cf"))
+    if "|" in text or "!" in text or "¡" in text:
+        text = _STROKE.sub("i", text)
     return text.translate(_TABLE)
 
 
@@ -190,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label: st
     rows = labels.where(F.col(id_column).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_column).agg(F.max(label).alias("toxic"))
     order = F.xxhash64(id_column)
     some = rows.where("toxic = 1").orderBy(order, id_column).limit(FIT_TOXIC).union(rows.where("toxic = 0").orderBy(order, id_column).limit(FIT_CLEAN))
-    sample = staged(docs.select(id_column, "text").where(F.col("text").isNotNull()).join(F.broadcast(some), id_column).select("text", "toxic").dropDuplicates(["text"]), "toxic-sample")
+    sample = staged(docs.select(id_column, "text").where(F.col("text").isNotNull()).join(F.broadcast(some), id_column).groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-sample")
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
@@ -229,9 +237,11 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "tox
         found = [machine.value.density(x) for x in texts]
         return pd.DataFrame({out: [machine.value.probability(d) for d, _, _ in found], f"{out}_hits": [n for _, n, _ in found], f"{out}_words": [w for _, _, w in found]})
 
-    names = {out, f"{out}_hits", f"{out}_words"}
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return docs.select(*own, run(F.col(f"`{text}`")).alias("_score")).select(*own, *(F.col(f"_score.{n}").alias(n) for n in (out, f"{out}_hits", f"{out}_words")))
+    names = [out, f"{out}_hits", f"{out}_words"]
+    stay = [i for i, c in enumerate(docs.columns) if c not in names]
+    own = docs.toDF(*(f"own{i}" for i in range(len(docs.columns))))  # no name of theirs clashes then
+    scored = own.select(*(f"own{i}" for i in stay), run(F.col(f"own{docs.columns.index(text)}")).alias("found"))
+    return scored.select(*(f"own{i}" for i in stay), *(F.col(f"found.{n}") for n in names)).toDF(*(docs.columns[i] for i in stay), *names)
 
 
 def held_out(id_column: str = "doc_id") -> F.Column:

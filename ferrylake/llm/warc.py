@@ -6,16 +6,17 @@ to the response (WARC-Refers-To, its target and date), name each other (WARC-Con
 blocks beside the digests of the response. Record ids are made from the response's id, so a repeated run gives the same.
 
 Digests are `sha1:` in base 32, as in WARC files. Dates are those of the responses. Null pages are responses with an empty
-payload; a null url becomes an empty target. Records that are damaged, or no responses, give no derivatives, and
-`read_warc` ends a file at the first bytes that are no record.
+payload; a null url becomes an empty target, and white space and controls in a url are percent-encoded. Rows that repeat id and
+url with another page have record ids of their own; rows that are alike in all three are one response, and give equal records.
+Records that are damaged, or no responses, give no derivatives. `read_warc` goes on after damage with the next record or gzip
+member that it finds; it holds one file at a time in memory, unpacked member by member.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -81,6 +82,11 @@ def parse(data: bytes, at: int = 0) -> tuple[Fields, bytes, int] | None:
     return fields, block, after
 
 
+def encoded_url(url: str | None) -> str:
+    """A url that stays on its header line."""
+    return re.sub(r"[\x00-\x20\x7f-\xa0\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "")
+
+
 def responses(pages: DataFrame, id_column: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """WARC response records of fetched pages, with the source row's id as source_id."""
 
@@ -90,9 +96,10 @@ def responses(pages: DataFrame, id_column: str = "page_id", url: str = "url", pa
             for key, target, text in zip(b.source_id, b.target, b.page, strict=True):
                 payload = text.encode() if isinstance(text, str) else b""
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-                name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {target}')}>"
-                fields = [("WARC-Type", "response"), ("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", target or ""), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(head + payload))]
-                out.append((key, name, "response", target or "", DATE, record(fields, head + payload)))
+                target, of_payload = encoded_url(target), digest(payload)
+                name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {target} {of_payload}')}>"
+                fields = [("WARC-Type", "response"), ("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", of_payload), ("WARC-Block-Digest", digest(head + payload))]
+                out.append((key, name, "response", target, DATE, record(fields, head + payload)))
             yield pd.DataFrame(out, columns=["source_id", "record_id", "record_type", "target_uri", "date", "content"])
 
     rows = pages.select(F.col(id_column).cast("string").alias("source_id"), F.col(url).alias("target"), F.col(page).alias("page"))
@@ -158,26 +165,56 @@ def write_warc(derived: DataFrame, path: str, compress: bool = True) -> None:
     lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip" if compress else "none").text(path)
 
 
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """The content of a plain file, or of each gzip member. A damaged member gives what can be unpacked of it."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at = 0
+    while at >= 0:
+        member, out = zlib.decompressobj(31), []
+        try:
+            for i in range(at, len(data), 1 << 20):
+                out.append(member.decompress(data[i : i + (1 << 20)]))
+                if member.eof:
+                    break
+        except zlib.error:
+            pass
+        if out:
+            yield b"".join(out)
+        if member.eof:
+            at = min(i + (1 << 20), len(data)) - len(member.unused_data)
+            at = data.find(b"\x1f\x8b\x08", at)
+        else:
+            at = data.find(b"\x1f\x8b\x08", at + 1)
+
+
+def _records(data: bytes) -> Iterator[tuple[Fields, bytes]]:
+    """The records in some bytes; what lies between two of them is skipped."""
+    at = data.find(b"WARC/")
+    while at >= 0:
+        if found := parse(data, at):
+            yield found[0], data[at : found[2]]
+            at = data.find(b"WARC/", found[2])
+        else:
+            at = data.find(b"\nWARC/", at + 1)
+            at += at >= 0
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of WARC files, plain or in gzip members."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["record_id", "record_type", "target_uri", "date", "content"]
         for b in batches:
             for data in b.content:
-                data = bytes(data)
-                if data[:2] == b"\x1f\x8b":
-                    try:
-                        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
-                    except (OSError, EOFError, zlib.error):
-                        continue
-                at, out = 0, []
-                while found := parse(data, at):
-                    fields, _, end = found
-                    out.append((*(value(fields, n) for n in ("WARC-Record-ID", "WARC-Type", "WARC-Target-URI", "WARC-Date")), data[at:end]))
-                    at = end
-                    if len(out) == 500:
-                        yield pd.DataFrame(out, columns=["record_id", "record_type", "target_uri", "date", "content"])
-                        out = []
-                yield pd.DataFrame(out, columns=["record_id", "record_type", "target_uri", "date", "content"])
+                out = []
+                for part in _unpacked(bytes(data)):
+                    for fields, whole in _records(part):
+                        out.append((*(value(fields, n) for n in ("WARC-Record-ID", "WARC-Type", "WARC-Target-URI", "WARC-Date")), whole))
+                        if len(out) == 500:
+                            yield pd.DataFrame(out, columns=columns)
+                            out = []
+                yield pd.DataFrame(out, columns=columns)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz,txt,txt.gz}").option("recursiveFileLookup", "true").load(path).select("content").mapInPandas(run, RECORD)

@@ -23,7 +23,36 @@ def test_odd_rows(spark):
     assert got(near_dedup.near_duplicates(docs, 2)) == near_reference([(r[0], r[1]) for r in rows], 2, 80)
     kept = near_dedup.deduplicate(docs, 2)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted({x for x, n, c in near_reference([(r[0], r[1]) for r in rows], 2, 80) if x is not None and x == c})
+    # rows that repeat an id with another text are documents of their own
+    texts = sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=repr)
+    stay = [c for _, _, c in near_reference([(i, t) for i, (_, t) in enumerate(texts)], 2, 80)]
+    groups = {}
+    for i, c in enumerate(c for _, c in sorted((d, c) for d, _, c in near_reference([(i, t) for i, (_, t) in enumerate(texts)], 2, 80))):
+        groups.setdefault(c, []).append(texts[i])
+    mine = [(r.doc_id, r.text) for r in kept.where("doc_id IS NOT NULL").collect()]
+    assert len(mine) == len(groups) == len(set(stay)) and all(sum(m in g for m in mine) == 1 for g in groups.values())
+
+
+def test_repeated_ids_with_other_texts_all_stay(spark):
+    rows = [(5, "a b c d"), (5, "p q r s"), (5, "p q r s"), (6, "p q r s"), (7, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for _ in range(2):
+        assert sorted(t for _, t in near_dedup.deduplicate(docs, 2).collect()) == ["a b c d", "p q r s", "x y z"]
+
+
+def test_two_in_a_home_that_neither_leads(spark):
+    """Pivots that live in other homes: groups around drifting originals, all links against brute force."""
+    rng = random.Random(9)
+    rows = []
+    for g in range(12):
+        w = [f"g{g}x{rng.randrange(400)}" for _ in range(60)]
+        for _ in range(14):
+            w = list(w)
+            for _ in range(rng.randrange(1, 5)):
+                w[rng.randrange(60)] = f"g{g}y{rng.randrange(400)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near_dedup.near_duplicates(docs, 2)) == near_reference(rows, 2, 80)
 
 
 def test_empty_table(spark):

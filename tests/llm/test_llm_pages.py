@@ -104,3 +104,25 @@ def test_files_round_trip(spark, small, tmp_path):
         assert gzip.open(p).read(5) in (b"WARC/", b"")
     back = warc.read_warc(spark, f"{tmp_path}/w").collect()
     assert sorted((r.record_id, bytes(r.content)) for r in back) == sorted((r.record_id, r.content.encode()) for r in made.collect())
+
+
+def test_records_of_odd_rows_are_unique_and_readable(spark):
+    rows = [(1, "http://a/", "<p>x"), (1, "http://a/", "<p>y"), (2, "http://a/\r\nX-Evil: 1\n", "<p>z"), (2, None, None), (None, "", "<p>\u00e9")]
+    made = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert len(made) == 10 and len({r.record_id for r in made}) == 10
+    for r in made:
+        fields, block, end = warc.parse(r.content.encode())
+        assert end == len(r.content.encode()) and not any(k == "X-Evil" for k, _ in fields)
+        assert warc.digest(block) == r.block_digest == warc.value(fields, "WARC-Block-Digest")
+
+
+def test_reading_goes_on_after_damage(spark, tmp_path):
+    one, two, three = (warc.record([("WARC-Type", "metadata"), ("WARC-Record-ID", f"<{i}>")], f"block {i}".encode() * 50) for i in (1, 2, 3))
+    (tmp_path / "plain.warc").write_bytes(one + two.replace(b"Content-Length: 3", b"Content-Length: x") + b"garbage\r\n" + three)
+    members = [gzip.compress(x) for x in (one, two, three)]
+    broken = bytearray(members[1])
+    broken[15:25] = b"\xff" * 10
+    (tmp_path / "packed.warc.gz").write_bytes(members[0] + bytes(broken) + members[2])
+    (tmp_path / "cut.warc.gz").write_bytes(members[0] + members[1] + members[2][:-30])
+    found = [(r.record_id, bytes(r.content)) for r in warc.read_warc(spark, f"file://{tmp_path}").collect()]
+    assert sorted(found) == sorted([("<1>", one)] * 3 + [("<3>", three)] * 2 + [("<2>", two)])
