@@ -8,21 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ferrylake.llm import near_dedup, packing, quality_classifier, quality_rules
 from ferrylake.llm.common import read_table, staged
 
 
-def _own(docs: DataFrame) -> list[Column]:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the co-trained views reject."""
     model = quality_classifier.fit(docs, read_table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model).where(f"quality_score >= {quality_classifier.THRESHOLD}").select(*_own(docs))
+    return quality_classifier.kept_only(docs, model)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +27,12 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group whose five-word shingles have a similarity of 0.8 or more."""
-    return near_dedup.deduplicate(docs, k=5, percent=80).select(*_own(docs))
+    return near_dedup.deduplicate(docs, k=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the tokens of what is left into sequences of 2048."""
-    return packing.packed(docs.select("doc_id", "text"))
+    return packing.packed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
