@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`, or a temporary folder of our own where it is unset."""
+    """`spark.checkpoint.dir`, or a temporary folder where it is unset and all runs in one process."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not at:
         at = f"file://{tempfile.mkdtemp(prefix='ferrylake-')}"
         spark.conf.set("spark.checkpoint.dir", at)
