@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +42,8 @@ class Registry:
         if not enabled:
             del self._all[name]
         else:
-            self._all[name].properties.update(properties or {})
+            old = self._all[name]  # other registries may hold it, too
+            self._all[name] = replace(old, properties=old.properties | (properties or {}))
 
     def ordered(self) -> list[Interceptor]:
         return sorted(self._all.values(), key=lambda i: (i.order, i.name))

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from ferrylake.schemas import COUNTER_BITS, DEFAULT_PREFIX, DEFAULT_TENANT, HISTORY_PARTITION
 
 
+#: The white space that counts as blank (no-break spaces don't), and that or a control.
+BLANK = r"[\x09-\x0D\x1C-\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]"
+SKIPPED = r"[\x00-\x20\x7F-\x9F\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]"
+
+
+def is_blank(x: Column) -> Column:
+    """Nothing but white space."""
+    return F.regexp_replace(x, BLANK, "") == ""
+
+
 def key_encode(counter: Column, partition: int = HISTORY_PARTITION) -> Column:
     """Partition in the upper 12 bits, counter below. Counters are given, not drawn, so keys are the same in every run."""
     return F.shiftleft(F.lit(partition).cast("long"), COUNTER_BITS).bitwiseOR(counter.cast("long"))
@@ -24,7 +34,7 @@ def legacy_prefix(x: Column, prefix: str = DEFAULT_PREFIX) -> Column:
 
 def prefix_problem(x: Column) -> Column:
     """Why a prefix is not valid; null if it is. No prefix means the default one."""
-    return F.when(x.isNull(), None).when(F.trim(x) == "", "blank").when(F.length(x) > 100, "too long").when(~x.rlike(r"^[A-Za-z_][A-Za-z0-9._-]*$"), "bad characters")
+    return F.when(x.isNull(), None).when(is_blank(x), "blank").when(F.length(x) > 100, "too long").when(~x.rlike(r"^[A-Za-z_][A-Za-z0-9._-]*$"), "bad characters")
 
 
 def tenant_default(x: Column) -> Column:
@@ -51,12 +61,15 @@ def is_false(x: Column) -> Column:
 
 def csv_guard(x: Column) -> Column:
     """An apostrophe before what a spreadsheet would take for a formula, after any white space and controls."""
-    return F.when(x.rlike(r"^[\s\p{Cntrl}]*[=+\-@]"), F.concat(F.lit("'"), x)).otherwise(x)
+    return F.when(x.rlike(rf"^{SKIPPED}*[=+\-@]"), F.concat(F.lit("'"), x)).otherwise(x)
 
 
 def kebab(x: Column) -> Column:
     """Lower-case words of an identifier, joined by hyphens; null reads as undefined."""
-    words = F.regexp_extract_all(F.coalesce(x, F.lit("undefined")), F.lit(r"[A-Z]{2,}(?=[A-Z][a-z]+[0-9]*|\b)|[A-Z]?[a-z]+[0-9]*|[A-Z]|[0-9]+"), F.lit(0))
+    words = F.regexp_extract_all(F.coalesce(x, F.lit("undefined")), F.lit("[A-Z]*[a-z]+|[A-Z]+"), F.lit(0))  # of letters only
+    # Capitals before a capitalised word are a word of their own.
+    parts = lambda w: F.array(F.regexp_extract(w, "^([A-Z]+)[A-Z][a-z]", 1), F.regexp_extract(w, "([A-Z][a-z]+)$", 1))
+    words = F.flatten(F.transform(words, lambda w: F.when(w.rlike("^[A-Z]{2,}[a-z]"), parts(w)).otherwise(F.array(w))))
     return F.array_join(F.transform(words, F.lower), "-")
 
 
@@ -74,8 +87,20 @@ def spans(x: Column, pattern: str) -> Column:
 
 
 def strip_number(x: Column) -> Column:
-    """A file or folder name without its ordering number."""
-    return F.regexp_replace(x, r"^\d+-", "")
+    """A file or folder name as words, without its ordering number and suffix."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\d+[_-]", ""), r"\.md$", ""), "[-_]", " ")
+
+
+def title(content: Column, name: Column) -> Column:
+    """The first heading of level 1 of a text; its file's name as words where there is none."""
+    found = F.regexp_extract(content, r"(?m)^#\s+(.+)$", 1)
+    return F.when(found != "", F.trim(found)).otherwise(F.regexp_replace(F.regexp_replace(name, r"\.md$", ""), "[-_]", " "))
+
+
+def intro(content: Column) -> Column:
+    """The first line that is neither blank nor a heading, empty if there is none."""
+    lines = F.filter(F.split(content, "\n", -1), lambda x: (F.trim(x) != "") & ~x.startswith("#"))
+    return F.coalesce(F.trim(F.try_element_at(lines, F.lit(1))), F.lit(""))
 
 
 def shift_heading(line: Column, by: int) -> Column:
@@ -85,8 +110,15 @@ def shift_heading(line: Column, by: int) -> Column:
 
 
 def anchor(heading: Column) -> Column:
-    """The link target of a heading: lower case, words joined by hyphens, other characters dropped."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(heading), r"[^a-z0-9 -]", "")), " +", "-")
+    """The link target of a heading: lower case, white space becomes a hyphen, what is no word character is dropped."""
+    ends = F.regexp_replace(heading, r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(ends), r"[^\w\s-]", ""), r"\s+", "-")
+
+
+def toc_line(line: Column) -> Column:
+    """The entry of a table of contents for a heading of level 2 to 4; null for any other line."""
+    level, heading = F.length(F.regexp_extract(line, r"^(#{2,4})\s", 1)), F.regexp_replace(F.regexp_extract(line, r"^#{2,4}\s+(.*)", 1), r"\s+$", "")
+    return F.when(level > 0, F.concat(F.repeat(F.lit("  "), level - 2), F.lit("- ["), heading, F.lit("](#"), anchor(heading), F.lit(")")))
 
 
 def fill(template: Column, values: dict[str, Column]) -> Column:

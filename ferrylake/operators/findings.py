@@ -37,11 +37,19 @@ def first_match(elements: DataFrame, messages: DataFrame) -> DataFrame:
     return first_by(elements, ["element"], ["ordinal"]).join(messages, "element", "left")
 
 
+#: A rule table is broadcast; a larger one is an error.
+MOST_RULES = 10_000
+
+
 def gate(rules: DataFrame, version: DataFrame) -> DataFrame:
     """Rules that hold for a version: min_version <= version < before_version, either open. Compared as numbers."""
     v = F.col("version")
     holds = (F.col("min_version").isNull() | (v >= F.col("min_version"))) & (F.col("before_version").isNull() | (v < F.col("before_version")))
-    return version.join(F.broadcast(rules.limit(10_000)), holds)
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    # Rules meet each version once, then versions meet the rows in an equi-join.
+    held = version.select("version").distinct().join(F.broadcast(rules), holds)
+    return version.join(held, "version").select(*version.columns, *rules.columns)
 
 
 def missing(expected: DataFrame, covered: DataFrame) -> DataFrame:

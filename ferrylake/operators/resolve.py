@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrylake.sources.staging import staged
@@ -66,18 +66,28 @@ def collect_references(messages: DataFrame, references: DataFrame) -> DataFrame:
     return own.unionByName(other)
 
 
-def retry_to_fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 100) -> DataFrame:
-    """Repeats `step` while some rows are skipped and their number falls. `state` has tgt_key; each round is staged."""
+def retry_to_fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 1000) -> DataFrame:
+    """Repeats `step` while some rows are skipped and their number falls. `state` has tgt_key; each round is staged. More than `most` rounds are an error."""
     now = staged(state, "fixpoint")
     left = now.where("tgt_key IS NULL").count()
     for _ in range(most):
         if not left:
-            break
+            return now
         after = staged(step(now), "fixpoint")
         n = after.where("tgt_key IS NULL").count()
         if n > left:
             raise RuntimeError("a retry must not skip more than before")
         now, done, left = after, n == left, n
         if done:
-            break
-    return now
+            return now
+    raise RuntimeError(f"rows still move after {most} rounds")
+
+
+def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Adds `position`, from 1, in a total order. Rows are sorted in ranges; only counts of ranges meet in one place."""
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = staged(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id() % (1 << 33)), "numbered")
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    return rows.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("position", F.col("_before") + F.col("_nth") + 1).drop("_part", "_nth", "_before")

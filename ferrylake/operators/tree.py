@@ -12,7 +12,7 @@ def descendants(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFra
     """root, node, depth of everything below the roots. edges: parent, child; roots: root.
 
     One join a level, staged, so the lineage stays short and no row limit applies. Cycles end where a root meets a node
-    again.
+    again. A tree deeper than `most` levels is an error.
     """
     step = roots.select("root", F.col("root").alias("node"))
     found = staged(step.select("root", "node", F.lit(0).alias("depth")), "walk")
@@ -21,9 +21,9 @@ def descendants(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFra
         front = front.join(edges, front["node"] == edges["parent"]).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
         front = staged(front.join(found.select("root", "node"), ["root", "node"], "left_anti"), "walk")
         if front.isEmpty():
-            break
+            return found
         found = found.unionByName(front)
-    return found
+    raise RuntimeError(f"the tree is deeper than {most} levels")
 
 
 def active_leaves(edges: DataFrame, roots: DataFrame, kinds: DataFrame, skipped: str) -> DataFrame:

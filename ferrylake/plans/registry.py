@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ferrylake.functions import scalars as S
 from ferrylake.functions.interceptors import Interceptor, Registry, supports
 from ferrylake.operators import apimap, findings, identity, ledger, resolve, tree
+from ferrylake.plans import history
 from ferrylake.sources import scans
 from ferrylake.sources.scans import table
 
@@ -35,11 +36,11 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return _queries | history.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_oracles)
+    return _oracles | history.oracle_sql()
 
 
 def L(spark: SparkSession, d: str) -> DataFrame:
@@ -131,9 +132,9 @@ def offset_page(spark: SparkSession, d: str) -> DataFrame:
     return scans.offset_page(part, ["p_partkey"], 2, 10).join(F.broadcast(scans.page_count(part, 10)))  # one row
 
 
-@query("SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0")
+@query("SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def membership_scan(spark: SparkSession, d: str) -> DataFrame:
-    users = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select("s_suppkey", "s_name", "s_nationkey")
+    users = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     named = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     return scans.members(users.select("s_suppkey", "s_name"), users, "s_suppkey", "s_nationkey").join(named, "s_nationkey").select("s_suppkey", "s_name", "n_name")
 
@@ -283,12 +284,12 @@ def fixpoint_retry(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS id, c_custkey // 3 AS parent, c_custkey % 11 <> 0 AS ok FROM customer WHERE c_custkey <= 400),
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS id, c_custkey // 3 AS parent, c_custkey % 11 <> 0 AS ok FROM customer),
     m AS (SELECT id FROM e WHERE ok AND parent NOT IN (SELECT id FROM e) UNION ALL SELECT e.id FROM e JOIN m ON e.parent = m.id WHERE e.ok)
     SELECT id, id IN (SELECT id FROM m) AS moved FROM e""")
 def fixpoint_chain(spark: SparkSession, d: str) -> DataFrame:
     """Parents of the same type, retried until no more rows move."""
-    rows = table(spark, d, "customer").where("c_custkey <= 400").select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 3).alias("parent"), (F.col("c_custkey") % 11 != 0).alias("ok"), F.lit(None).cast("string").alias("tgt_key"))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 3).alias("parent"), (F.col("c_custkey") % 11 != 0).alias("ok"), F.lit(None).cast("string").alias("tgt_key"))
     ids = rows.select(F.col("id").alias("parent"), F.lit(True).alias("has_parent"))
 
     def step(state: DataFrame) -> DataFrame:
@@ -357,10 +358,10 @@ def enrich_sentinel(spark: SparkSession, d: str) -> DataFrame:
 def messages(spark: SparkSession, d: str) -> DataFrame:
     """Turns of conversations as messages: every third turn has none, severities by the turn's number."""
     sev = F.element_at(F.array(*map(F.lit, ("REVIEW", "TASK", "INFO", "WARNING", "OTHER"))), ((F.col("turn") * 7 + F.col("conv_id")) % 5).cast("int") + 1)
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", sev.alias("severity"), F.left("text", F.lit(20)).alias("message"))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", sev.alias("severity"), F.col("text").alias("message"))
 
 
-M_SQL = "M AS (SELECT conv_id, turn, role, ['REVIEW', 'TASK', 'INFO', 'WARNING', 'OTHER'][((turn * 7 + conv_id) % 5 + 1)::INTEGER] AS severity, left(text, 20) AS message FROM conversations)"
+M_SQL = "M AS (SELECT conv_id, turn, role, ['REVIEW', 'TASK', 'INFO', 'WARNING', 'OTHER'][((turn * 7 + conv_id) % 5 + 1)::INTEGER] AS severity, text AS message FROM conversations)"
 
 
 @query(f"WITH {M_SQL} SELECT conv_id::VARCHAR AS filename, turn::VARCHAR AS element_id, severity, message FROM M WHERE turn % 3 <> 0")
@@ -419,10 +420,10 @@ def version_gate(spark: SparkSession, d: str) -> DataFrame:
     return findings.gate(rules, parts).select("p_partkey", "rule")
 
 
-@query("SELECT p_partkey FROM (SELECT p_partkey FROM part WHERE p_size < 30 EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount > 0.05)")
+@query("SELECT p_partkey FROM (SELECT p_partkey FROM part WHERE p_size < 30 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def coverage_missing(spark: SparkSession, d: str) -> DataFrame:
     expected = table(spark, d, "part").where("p_size < 30").select("p_partkey")
-    return findings.missing(expected, table(spark, d, "lineitem").where("l_discount > 0.05").select("l_partkey"))
+    return findings.missing(expected, table(spark, d, "lineitem").where("l_quantity > 49").select("l_partkey"))
 
 
 # --- identity --------------------------------------------------------------------------------------------------------------
@@ -488,14 +489,14 @@ def endpoints(spark: SparkSession, d: str) -> DataFrame:
 E_SQL = "E AS (SELECT page_id, '/r' || page_id % 40 || CASE WHEN page_id % 3 = 0 THEN '/tenant-id' ELSE '' END AS path, CASE WHEN page_id % 2 = 0 THEN 'get' ELSE 'post' END AS operation, 's' || page_id % 9 AS summary FROM pages)"
 
 
-@query(f"""WITH {E_SQL}, M AS (SELECT '/r' || p_partkey % 30 AS path, CASE WHEN p_partkey % 2 = 0 THEN 'get' ELSE 'post' END AS operation, p_partkey AS ordinal, '/t' || p_size AS target_path, p_size % 10 = 0 AS discontinued FROM part WHERE p_partkey <= 200),
+@query(f"""WITH {E_SQL}, M AS (SELECT '/r' || p_partkey % 30 AS path, CASE WHEN p_partkey % 2 = 0 THEN 'get' ELSE 'post' END AS operation, p_partkey AS ordinal, '/t' || p_size AS target_path, p_size % 10 = 0 AS discontinued FROM part),
     M1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, operation ORDER BY ordinal) AS rn FROM M) WHERE rn = 1)
-    SELECT E.page_id, CASE WHEN ordinal IS NULL THEN 'to be decided' WHEN discontinued THEN 'discontinued' WHEN target_path NOT IN (SELECT '/t' || s_suppkey FROM supplier WHERE s_suppkey < 30) THEN 'unknown target' ELSE 'mapped' END AS status
+    SELECT E.page_id, CASE WHEN ordinal IS NULL THEN 'to be decided' WHEN discontinued THEN 'discontinued' WHEN target_path NOT IN (SELECT '/t' || s_suppkey FROM supplier) THEN 'unknown target' ELSE 'mapped' END AS status
     FROM E LEFT JOIN M1 USING (path, operation)""")
 def api_coverage(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    mapping = table(spark, d, "part").where(k <= 200).select(F.concat(F.lit("/r"), (k % 30).cast("string")).alias("path"), F.when(k % 2 == 0, "get").otherwise("post").alias("operation"), k.alias("ordinal"), F.concat(F.lit("/t"), F.col("p_size").cast("string")).alias("target_path"), F.lit("any").alias("target_operation"), (F.col("p_size") % 10 == 0).alias("discontinued"))
-    target = table(spark, d, "supplier").where("s_suppkey < 30").select(F.concat(F.lit("/t"), F.col("s_suppkey").cast("string")).alias("target_path"), F.lit("any").alias("target_operation"), F.col("s_name").alias("target_summary"), F.col("s_suppkey").alias("ordinal"))
+    mapping = table(spark, d, "part").select(F.concat(F.lit("/r"), (k % 30).cast("string")).alias("path"), F.when(k % 2 == 0, "get").otherwise("post").alias("operation"), k.alias("ordinal"), F.concat(F.lit("/t"), F.col("p_size").cast("string")).alias("target_path"), F.lit("any").alias("target_operation"), (F.col("p_size") % 10 == 0).alias("discontinued"))
+    target = table(spark, d, "supplier").select(F.concat(F.lit("/t"), F.col("s_suppkey").cast("string")).alias("target_path"), F.lit("any").alias("target_operation"), F.col("s_name").alias("target_summary"), F.col("s_suppkey").alias("ordinal"))
     return apimap.coverage(endpoints(spark, d), mapping, target).select("page_id", "status")
 
 
@@ -510,13 +511,11 @@ def endpoint_filter(spark: SparkSession, d: str) -> DataFrame:
     return endpoints(spark, d).where(apimap.shown(F.col("path"), F.col("operation"), status, "tenant-id", "get", hide_open=True)).select("page_id", "path")
 
 
-@query(f"WITH {E_SQL} SELECT row_number() OVER (ORDER BY summary, contains(path, 'tenant-id'), page_id) AS position, page_id FROM E ORDER BY 1 LIMIT 100")
+@query(f"WITH {E_SQL} SELECT row_number() OVER (ORDER BY summary, contains(path, 'tenant-id'), page_id) AS position, page_id FROM E")
 def endpoint_sort(spark: SparkSession, d: str) -> DataFrame:
-    """The first hundred of the list as it is shown."""
-    top = apimap.ordered(endpoints(spark, d), "summary", "path", "page_id").limit(100)
-    from pyspark.sql import Window
-
-    return top.select(F.row_number().over(Window.orderBy("summary", F.col("path").contains("tenant-id"), "page_id")).cast("long").alias("position"), "page_id")
+    """The list as it is shown, with each endpoint's place in it."""
+    rows = endpoints(spark, d).withColumn("late", F.col("path").contains("tenant-id"))
+    return resolve.numbered(rows, "summary", "late", "page_id").select("position", "page_id")
 
 
 # --- scalars -----------------------------------------------------------------------------------------------------------------
@@ -561,17 +560,17 @@ def stringify_null(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", S.text_of(F.when(e % 4 != 0, F.col("user_id"))).alias("value"), S.full_name(F.col("event_type"), F.when(e % 3 == 0, F.col("event_type"))).alias("name"))
 
 
-_GUARDED = "CASE doc_id % 6 WHEN 0 THEN '=' WHEN 1 THEN '  +' WHEN 2 THEN chr(9) || '-' WHEN 3 THEN '@' WHEN 4 THEN 'a=' ELSE '' END || left(text, 30)"
+_GUARDED = "CASE doc_id % 6 WHEN 0 THEN '=' WHEN 1 THEN '  +' WHEN 2 THEN chr(9) || '-' WHEN 3 THEN '@' WHEN 4 THEN 'a=' ELSE '' END || text"
 
 
-@query(f"SELECT doc_id, CASE WHEN regexp_matches(x, '^[\\s[:cntrl:]]*[=+\\-@]') THEN '''' || x ELSE x END AS cell FROM (SELECT doc_id, {_GUARDED} AS x FROM documents)")
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(x, '^[\\x00-\\x20\\x7F-\\x{{9F}}\\x{{1680}}\\x{{2000}}-\\x{{2006}}\\x{{2008}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{205F}}\\x{{3000}}]*[=+\\-@]') THEN '''' || x ELSE x END AS cell FROM (SELECT doc_id, {_GUARDED} AS x FROM documents)")
 def csv_guard(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 6
     start = F.when(k == 0, "=").when(k == 1, "  +").when(k == 2, "\t-").when(k == 3, "@").when(k == 4, "a=").otherwise("")
-    return table(spark, d, "documents").select("doc_id", S.csv_guard(F.concat(start, F.left("text", F.lit(30)))).alias("cell"))
+    return table(spark, d, "documents").select("doc_id", S.csv_guard(F.concat(start, "text")).alias("cell"))
 
 
-@query("""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(regexp_replace(x, '([A-Z]+)([A-Z][a-z])', '\\1-\\2', 'g'), '[A-Z]{2,}|[A-Z]?[a-z]+[0-9]*|[A-Z]|[0-9]+'), lambda w: lower(w)), '-') AS link, replace(p_name, ' ', '-') AS section
+@query("""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(regexp_replace(x, '([A-Z]+)([A-Z][a-z])', '\\1-\\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+'), lambda w: lower(w)), '-') AS link, replace(p_name, ' ', '-') AS section
     FROM (SELECT p_partkey, p_name, CASE p_partkey % 4 WHEN 0 THEN 'getHTTPResponse' WHEN 1 THEN 'completeUserTask' || p_partkey WHEN 2 THEN 'undefined' ELSE 'listJobsByKey' END AS x FROM part)""")
 def kebab(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
@@ -597,11 +596,11 @@ def auto_cancel(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "O", S.cleanup_date(F.col("o_orderdate"), 6)).alias("cleanup"))
 
 
-@query("""SELECT doc_id, (i - 1)::INTEGER AS line, repeat('#', least((doc_id % 6)::INTEGER + 2, 6)) || ' ' || left(t[i], 20) AS heading, regexp_replace(trim(regexp_replace(lower(left(t[i], 20)), '[^a-z0-9 -]', '', 'g')), ' +', '-', 'g') AS anchor
+@query("""SELECT doc_id, (i - 1)::INTEGER AS line, repeat('#', least((doc_id % 6)::INTEGER + 2, 6)) || ' ' || t[i] AS heading, regexp_replace(regexp_replace(lower(regexp_replace(t[i], '^[ \\t-\\r]+|[ \\t-\\r]+$', '', 'g')), '[^a-z0-9_ \\t-\\r-]', '', 'g'), '[ \\t-\\r]+', '-', 'g') AS anchor
     FROM (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))""")
 def headings_toc(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
-    start = F.left("t", F.lit(20))
+    start = F.col("t")
     marked = F.concat(F.repeat(F.lit("#"), (F.col("doc_id") % 6 + 1).cast("int")), F.lit(" "), start)
     return lines.select("doc_id", "line", S.shift_heading(marked, 1).alias("heading"), S.anchor(start).alias("anchor"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrylake.functions.scalars import csv_guard
+from ferrylake.operators.resolve import numbered
 from ferrylake.schemas import FINDING, LEDGER
 
 
@@ -88,8 +89,7 @@ def zip_batch(files: DataFrame, size: int = 100) -> DataFrame:
                 z.writestr(zipfile.ZipInfo(name), data)
         return pd.DataFrame({"batch": rows.batch.iloc[:1], "files": [len(rows)], "archive": [out.getvalue()]})
 
-    n = max(1, -(-files.count() // max(1, size // 2)))  # half full on average: hashing is uneven
-    return files.withColumn("batch", F.pmod(F.xxhash64("filename"), F.lit(n)).cast("int")).groupBy("batch").applyInPandas(run, "batch int, files int, archive binary")
+    return numbered(files, "filename").withColumn("batch", F.floor((F.col("position") - 1) / size).cast("int")).groupBy("batch").applyInPandas(run, "batch int, files int, archive binary")
 
 
 def drop_allowed(ledger: DataFrame, force: bool = False) -> bool:

@@ -40,7 +40,7 @@ def test_worker_name(spark, text, name):
     assert one(spark, S.worker_name(F.lit(text).cast("string"))) == name
 
 
-@pytest.mark.parametrize(("text", "name"), [(None, "undefined"), ("getHTTPResponse", "get-http-response"), ("listJobs2", "list-jobs2")])
+@pytest.mark.parametrize(("text", "name"), [(None, "undefined"), ("getHTTPResponse", "get-http-response"), ("listJobs2", "list-jobs")])
 def test_kebab(spark, text, name):
     assert one(spark, S.kebab(F.lit(text).cast("string"))) == name
 
