@@ -19,9 +19,9 @@ from ferrylake.llm.common import text_bytes, text_slices, tokenizer_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Chunks, words or parts that a worker's table may hold before those that the last texts didn't use go, and the longest that stays.
-CACHE_CHUNKS, CACHE_BYTES = 600_000, 64
+CACHE_CHUNKS, CACHE_BYTES = 250_000, 64
 #: Bytes of text that are cut and encoded at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 #: A plain word (letters below U+0250 but for the one whose lower case is two characters), and punctuation after it; and the
 #: same on the next line.
@@ -101,7 +101,8 @@ class Encoder:
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, encoded whole."""
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        few = (texts[i : i + 256] for i in range(0, len(texts), 256))  # the library's own results are much larger than the ids
+        return [np.array(e.ids, np.uint32) for some in few for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
     def _wholes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out = self.whole(texts)
