@@ -19,7 +19,7 @@ from ferrylake.llm.common import text_bytes, text_slices, tokenizer_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Chunks, words or parts that a worker's table may hold before those that the last texts didn't use go, and the longest that stays.
-CACHE_CHUNKS, CACHE_BYTES = 250_000, 64
+CACHE_CHUNKS, CACHE_BYTES = 500_000, 64
 #: Bytes of text that are cut and encoded at a time.
 BATCH_BYTES = 2 << 20
 
@@ -69,17 +69,23 @@ class _Table:
         if len(self.keys) > CACHE_CHUNKS:
             self._shrink()
         values = values.fill_null("") if values.null_count else values
-        found = pc.index_in(values, value_set=self.keys)
-        out = np.asarray(found.fill_null(-1)).astype(np.int64)
-        if found.null_count:
-            missing = values.filter(pc.is_null(found)).dictionary_encode()
-            flat, sizes = self.make(missing.dictionary)
-            out[out < 0] = np.asarray(missing.indices).astype(np.int64) + len(self.keys)
-            self.keys = pa.concat_arrays([self.keys, missing.dictionary.cast(pa.string())])
+        coded = values.dictionary_encode()
+        # The table's strings are looked up among those of the texts: these are fewer, so what Arrow hashes is smaller.
+        found = pc.index_in(self.keys, value_set=coded.dictionary)
+        held = np.flatnonzero(np.asarray(found.is_valid()))
+        place = np.full(len(coded.dictionary), -1, np.int64)
+        place[np.asarray(found.drop_null())] = held
+        new = place < 0
+        if new.any():
+            missing = coded.dictionary.filter(pa.array(new))
+            flat, sizes = self.make(missing)
+            place[new] = np.arange(len(missing)) + len(self.keys)
+            self.keys = pa.concat_arrays([self.keys, missing.cast(pa.string())])
             self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
             self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+        out = place[np.asarray(coded.indices)]
         self.used = np.zeros(len(self.keys), bool)
-        self.used[out] = True
+        self.used[place] = True
         return out
 
 
