@@ -19,7 +19,7 @@ from ferrylake.llm.common import text_bytes, text_slices, tokenizer_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Chunks, words or parts that a worker's table may hold before those that the last texts didn't use go, and the longest that stays.
-CACHE_CHUNKS, CACHE_BYTES = 500_000, 64
+CACHE_CHUNKS, CACHE_BYTES = 300_000, 64
 #: Bytes of text that are cut and encoded at a time.
 BATCH_BYTES = 2 << 20
 
@@ -189,6 +189,7 @@ class Encoder:
         total = 0
         for a, b in text_slices(column, BATCH_BYTES):
             some, offsets = self._encode(column.slice(a, b - a))
+            pa.default_memory_pool().release_unused()  # workers stay, with what Arrow keeps for them
             ids.append(some)
             ends.append(offsets[1:] + total)
             total += len(some)
