@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylake.llm import chunk_reuse, exact_topk, html_text, near_dedup, packing, range_coder, warc
+from ferrylake.llm import chunk_reuse, exact_topk, filter_audit, html_text, near_dedup, packing, range_coder, repeats, vector_codes, warc
 from ferrylake.llm import quality_classifier as classifier
 from ferrylake.llm import quality_rules as rules
 from ferrylake.llm import toxicity
@@ -64,9 +64,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_exact_topk, op4_warc_derivatives, op5_quality_classifier, op6_chunk_reuse, op7_best_fit_packing, op8_quality_rules, op9_html_text, op10_token_files)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_exact_topk, op4_warc_derivatives, op5_quality_classifier, op6_chunk_reuse, op7_best_fit_packing, op8_quality_rules, op9_html_text, op10_token_files, op11_vector_codes, op12_suffix_dedup, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": exact_topk.ORACLE, "op8_quality_rules": rules.oracle()}
+    return {"op3_exact_topk": exact_topk.ORACLE, "op8_quality_rules": rules.oracle(), "op11_vector_codes": vector_codes.oracle(), "op13_filter_audit": filter_audit.ORACLE}
