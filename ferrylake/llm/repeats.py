@@ -43,7 +43,7 @@ REACH = LENGTH - GRAM + 1
 #: A gram in so many chunks is very frequent.
 MANY_CHUNKS = 512
 #: Bytes of text in a chunk, in the text that one owner of grams answers for, and in a pass over starts.
-CHUNK, OWNED, STRETCH = 1 << 21, 6 << 20, 1 << 20
+CHUNK, OWNED, STRETCH = 1 << 21, 3 << 20, 1 << 20
 _POSITION = np.uint64((1 << 21) - 1)
 _BITS = 48
 
