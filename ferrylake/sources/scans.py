@@ -89,32 +89,51 @@ def markdown_files(spark: SparkSession, path: str, ignored: tuple[str, ...] = ()
     return rows
 
 
-XML_NODE = "doc_id string, node int, parent int, depth int, tag string, name string, attrs map<string,string>, text string, error string"
+XML_NODE = (
+    "doc_id string, node int, parent int, depth int, tag string, name string, attrs map<string,string>, text string, error string, "
+    "last int, kids array<string>, parent_tag string, owner int, owner_tag string, owner_attrs map<string,string>"
+)
+#: Elements that only hold extensions of the element that they stand in.
+CONTAINERS = ("extensionElements", "inputOutput", "properties")
 
 
 def xml_nodes(docs: DataFrame, id_column: str, column: str) -> DataFrame:
-    """Elements of each XML document in pre-order. A document that cannot be parsed gives one row with its error."""
+    """Elements of each XML document in pre-order. A document that cannot be parsed gives one row with its error.
+
+    `last` is the last node below an element, so (node, last) is its interval: x lies in y when y.node <= x.node <= y.last.
+    `kids` are its children's tags, `owner` is the nearest ancestor that is no container of extensions.
+    """
 
     def walk(key: str, text: str | None) -> Iterator[tuple]:
         import xml.etree.ElementTree as ET
 
+        local = lambda x: x.rsplit("}", 1)[-1]
         try:
             root = ET.fromstring(text or "")
         except ET.ParseError as e:
-            yield key, None, None, None, None, None, None, None, f"not well-formed: {e}"
+            yield key, *[None] * 7, f"not well-formed: {e}", *[None] * 6
             return
-        work, n = [(root, -1, 0)], 0
+        work, order = [(root, -1, 0, -1)], []
         while work:
-            x, parent, depth = work.pop()
-            yield key, n, parent, depth, x.tag.rsplit("}", 1)[-1], x.get("name"), {k.rsplit("}", 1)[-1]: v for k, v in x.attrib.items()}, (x.text or "").strip() or None, None
-            work.extend((c, n, depth + 1) for c in reversed(x))
-            n += 1
+            x, parent, depth, owner = work.pop()
+            n, tag = len(order), local(x.tag)
+            order.append((x, parent, depth, tag, owner, {local(k): v for k, v in x.attrib.items()}))
+            below = owner if tag in CONTAINERS and owner >= 0 else n
+            work.extend((c, n, depth + 1, below) for c in reversed(x))
+        last = list(range(len(order)))
+        for n in range(len(order) - 1, 0, -1):
+            parent = order[n][1]
+            last[parent] = max(last[parent], last[n])
+        for n, (x, parent, depth, tag, owner, attrs) in enumerate(order):
+            of = (order[owner][3], order[owner][5]) if owner >= 0 else (None, None)
+            yield key, n, parent, depth, tag, x.get("name"), attrs, (x.text or "").strip() or None, None, last[n], [local(c.tag) for c in x], order[parent][3] if parent >= 0 else None, owner if owner >= 0 else None, *of
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [p.split()[0] for p in XML_NODE.replace("map<string,string>", "map").split(", ")]
+        numbers = dict.fromkeys(("node", "parent", "depth", "last", "owner"), "Int32")
         for b in batches:
             for at in range(0, len(b), 200):
                 some = b.iloc[at : at + 200]
-                yield pd.DataFrame([r for k, t in zip(some.iloc[:, 0], some.iloc[:, 1], strict=True) for r in walk(k, t)], columns=names).astype({"node": "Int32", "parent": "Int32", "depth": "Int32"})
+                yield pd.DataFrame([r for k, t in zip(some.iloc[:, 0], some.iloc[:, 1], strict=True) for r in walk(k, t)], columns=names).astype(numbers)
 
     return docs.select(F.col(id_column).cast("string"), F.col(column).cast("string")).mapInPandas(run, XML_NODE)
