@@ -6,6 +6,7 @@ fourth decision instance as moved, and returns the ledger's rows of its type.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 from ferrylake.functions.scalars import key_encode
 from ferrylake.operators import pipeline as P
 from ferrylake.operators.pipeline import Parent, Pipeline, Rule
+from ferrylake.operators.ledger_table import LedgerTable
 from ferrylake.operators.resolve import find_one
 from ferrylake.schemas import HISTORY_TYPES, LEDGER
 from ferrylake.sources.scans import table
+from ferrylake.sources.staging import shared_dir
 
 INSTANCE = Parent("instance", "instance", "process instance", "instance missing")
 DEFINITION = Parent("definition", "definition", "process definition", "definition missing")
@@ -104,8 +107,9 @@ def wanted(kind: str) -> list[str]:
 def history(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, d: str) -> DataFrame:
         kinds, made = wanted(kind), sources(spark, d)
-        ledger = P.run({k: made[k]() for k in kinds}, first_ledger(spark, d), [SPECS[k] for k in kinds], counter=lambda x: x.cast("long"), drawn=F.pmod(F.col("id"), F.lit(3)) + 1)
-        return ledger.where(F.col("type") == kind).select("src_id", "tgt_key", "skip_reason", "partition_id")
+        ledger = LedgerTable.of(first_ledger(spark, d), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+        P.run({k: made[k]() for k in kinds}, ledger, [SPECS[k] for k in kinds], counter=lambda x: x.cast("long"), drawn=F.pmod(F.col("id"), F.lit(3)) + 1)
+        return ledger.read(kind).select("src_id", "tgt_key", "skip_reason", "partition_id")
 
     query.__name__ = "history_" + kind.replace(" ", "_")
     return query
@@ -116,8 +120,9 @@ _SQL = (
     "SELECT p_partkey AS id, NULL AS r, NULL AS p FROM part",
     "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 AND M1.id IS NULL THEN 'form missing' END AS r, NULL AS p FROM supplier LEFT JOIN M1 ON M1.id = s_suppkey * 40",
     """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 3 THEN NULL WHEN M2.id IS NULL THEN 'definition missing' WHEN o_orderkey % 4 = 0 AND B.k IS NULL THEN 'parent instance missing' END AS r,
-      CASE WHEN o_orderkey % 5 = 3 OR (o_orderkey % 4 = 0 AND B.k IS NOT NULL) THEN 7 END AS p
-      FROM orders LEFT JOIN M2 ON M2.id = o_custkey % 150 + 1 LEFT JOIN (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 = 3) AS B ON B.k = o_orderkey - 1""",
+      CASE WHEN o_orderkey % 5 = 3 THEN 7 WHEN o_orderkey % 4 = 0 THEN B.p END AS p
+      FROM orders LEFT JOIN M2 ON M2.id = o_custkey % 150 + 1 LEFT JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 3 THEN 7 ELSE o_orderkey % 3 + 1 END AS p
+        FROM orders LEFT JOIN M2 ON M2.id = o_custkey % 150 + 1 WHERE o_orderkey % 5 = 3 OR M2.id IS NOT NULL) AS B ON B.k = o_orderkey - 1""",
     "SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, CASE WHEN M3.id IS NULL THEN 'instance missing' END AS r, M3.p FROM lineitem LEFT JOIN M3 ON M3.id = l_orderkey",
     """SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'standalone tasks are not supported' WHEN event_type = 'signup' THEN 'case tasks are not supported' WHEN M3.id IS NULL THEN 'instance missing'
       WHEN M4.id IS NULL THEN 'flow node missing' WHEN value > 50 AND M1.id IS NULL THEN 'form missing' END AS r, M3.p
@@ -133,7 +138,7 @@ _SQL = (
     "SELECT n_nationkey AS id, NULL AS r, NULL AS p FROM nation",
     "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 <> 0 AND M10.id IS NULL THEN 'requirements missing' END AS r, NULL AS p FROM customer LEFT JOIN M10 ON M10.id = c_nationkey + c_custkey % 2 * 20",
     """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN M11.id IS NULL THEN 'decision definition missing' WHEN o_orderkey % 2 = 1 AND B.k IS NULL THEN 'root decision missing' END AS r, CASE WHEN o_orderkey % 4 = 0 THEN 7 END AS p
-      FROM orders LEFT JOIN M11 ON M11.id = o_custkey LEFT JOIN (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 4 = 0) AS B ON B.k = o_orderkey - 1""",
+      FROM orders LEFT JOIN M11 ON M11.id = o_custkey LEFT JOIN (SELECT o_orderkey AS k FROM orders LEFT JOIN M11 ON M11.id = o_custkey WHERE o_orderkey % 4 = 0 OR (o_orderkey % 2 = 0 AND M11.id IS NOT NULL)) AS B ON B.k = o_orderkey - 1""",
     "SELECT conv_id * 1000 + turn AS id, CASE WHEN role = 'assistant' THEN 'operation is not supported' WHEN M3.id IS NULL THEN 'instance missing' END AS r, M3.p FROM conversations LEFT JOIN M3 ON M3.id = conv_id",
 )
 
@@ -148,9 +153,38 @@ def oracle(kind: str) -> str:
       CASE WHEN r IS NULL THEN coalesce(p, id % 3 + 1)::INTEGER END AS partition_id FROM H{i}"""
 
 
+#: Instances whose parents and roots are of their own type: chains of 40 orders, of which some have no definition.
+CHAIN = Pipeline(
+    "process instance", "id", "started", (
+        Rule("status = 'P'", "is still pending"), Parent("parent", "parent", "process instance", "parent instance missing", "parent IS NOT NULL"), Parent("root", "root", "process instance", "root instance missing", "root IS NOT NULL"),
+    ), partition_of="parent",
+)
+
+
+def chain_source(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(k.alias("id"), F.col("o_orderdate").alias("started"), F.col("o_orderstatus").alias("status"), F.when(k % 40 != 1, k - 1).alias("parent"), F.when(k % 40 != 1, k - F.pmod(k - 1, F.lit(40))).alias("root"))
+
+
+def history_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of parents of one type, moved in one run: each row with its reason, partition, and its parents' keys."""
+    how = {"counter": lambda x: x.cast("long"), "drawn": F.pmod(F.col("id"), F.lit(3)) + 1}
+    rows = P.tried(chain_source(spark, d), first_ledger(spark, d).where("false"), CHAIN, **how)
+    return rows.select("src_id", "tgt_key", "skip_reason", "partition_id", F.col("parents.parent").alias("parent_key"), F.col("parents.root").alias("root_key"))
+
+
+HISTORY_CHAIN = """
+WITH RECURSIVE o AS (SELECT o_orderkey AS id, o_orderstatus AS s, CASE WHEN o_orderkey % 40 <> 1 THEN o_orderkey - 1 END AS parent, CASE WHEN o_orderkey % 40 <> 1 THEN o_orderkey - ((o_orderkey - 1) % 40 + 40) % 40 END AS root FROM orders),
+up AS (SELECT id, id AS root, id % 3 + 1 AS p FROM o WHERE s <> 'P' AND parent IS NULL UNION ALL SELECT o.id, up.root, up.p FROM up JOIN o ON o.parent = up.id WHERE o.s <> 'P'),
+k AS (SELECT id, p, (4095::BIGINT * 2251799813685248 + id)::VARCHAR AS key FROM up)
+SELECT o.id::VARCHAR AS src_id, CASE WHEN m.id IS NOT NULL THEN m.key END AS tgt_key, CASE WHEN s = 'P' THEN 'is still pending' WHEN parent IS NOT NULL AND pk.id IS NULL THEN 'parent instance missing' WHEN root IS NOT NULL AND rk.id IS NULL THEN 'root instance missing' END AS skip_reason,
+  m.p::INTEGER AS partition_id, pk.key AS parent_key, rk.key AS root_key
+FROM o LEFT JOIN k AS m ON m.id = o.id LEFT JOIN k AS pk ON pk.id = o.parent LEFT JOIN k AS rk ON rk.id = o.root"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in map(history, HISTORY_TYPES)}
+    return {f.__name__: f for f in map(history, HISTORY_TYPES)} | {"history_chain": history_chain}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"history_" + k.replace(" ", "_"): oracle(k) for k in HISTORY_TYPES}
+    return {"history_" + k.replace(" ", "_"): oracle(k) for k in HISTORY_TYPES} | {"history_chain": HISTORY_CHAIN}

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +25,10 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_count(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
+    """`staged`, and how many rows it has: counted while they are written, without another pass."""
+    seen = Observation()
+    done = staged(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return done, int(seen.get["n"])
