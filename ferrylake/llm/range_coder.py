@@ -401,14 +401,14 @@ def _decoded(blocks: list[bytes], heads: list[tuple[int, int, int]]) -> np.ndarr
             k1, k2, one, two = one >> 16, two >> 16, one & _LOCAL, two & _LOCAL
             # the number whose interval holds the code
             r = width[:n] >> MIX_BITS
-            at = np.minimum((code[:n] / r).astype(np.int32), top)
+            at = np.minimum(np.maximum(code[:n] / r, 0), top).astype(np.int32)  # bounded before the cast: a damaged block may lead anywhere
             s = m.spread.take(base + two)
             low2 = v0 * (s >> 15) + v1 * (one < two)
             past2 = at >= low2 + v0 * (s & 0x7FFF) + v2
             s = m.spread.take(base + one)
             low1 = v0 * (s >> 15) + v2 * (two < one)
             past1 = at >= low1 + v0 * (s & 0x7FFF) + v1
-            slot = np.minimum(((at - v2 * past2 - v1 * past1) / v0).astype(np.int32), SLOTS - 1)
+            slot = np.minimum((np.maximum(at - v2 * past2 - v1 * past1, 0) / v0).astype(np.int32), SLOTS - 1)
             x = np.minimum(m.slots.take(own_slots + slot), known[:n])
             x = np.where((at >= low1) > past1, one, x)
             x = np.where((at >= low2) > past2, two, x)
@@ -422,7 +422,7 @@ def _decoded(blocks: list[bytes], heads: list[tuple[int, int, int]]) -> np.ndarr
             some = np.flatnonzero(new)
             if len(some):
                 r = width[some] >> MIX_BITS
-                at = np.minimum((code[some] / r).astype(np.int64), top)
+                at = np.minimum(np.maximum(code[some] / r, 0), top).astype(np.int64)
                 name, start, end = (np.zeros(len(some), np.int64) for _ in range(3))
                 for b, prior in priors.items():
                     own = slice(None) if len(priors) == 1 else bits[some] == b

@@ -138,6 +138,23 @@ def test_any_damaged_bit_is_found_at_once_or_by_checksum():
         range_coder.decode_blocks([blocks[0][:-2]])
 
 
+def test_every_damaged_byte_of_a_block_is_found():
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([rng.integers(0, 50257, 150), np.tile(rng.integers(0, 300, 10), 15)]).astype(np.uint32)
+    block = range_coder.encode_blocks(ids)[0]
+    with np.errstate(all="raise"):
+        assert (range_coder.decode_blocks([block]) == ids).all()
+    for at in range(len(block)):
+        for flip in (0x80, 0xFF):
+            broken = bytearray(block)
+            broken[at] ^= flip
+            try:
+                assert (range_coder.decode_blocks([bytes(broken)]) == ids).all()  # only where no id depends on the byte
+                assert at >= len(block) - 8
+            except range_coder.DamagedBlock:
+                pass
+
+
 def test_damaged_segment_fields_are_found(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"some words {i}") for i in range(50)], "doc_id long, text string")
     range_coder.write(docs, f"file://{tmp_path}/good")
