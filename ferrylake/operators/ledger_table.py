@@ -27,20 +27,26 @@ class LedgerTable:
     def read(self, kind: str) -> DataFrame:
         """The type's rows; none where it was never written."""
         if self._last.get(kind) is None:
-            jpath = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder(kind)}/pointers")
-            there = jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jpath)
-            self._last[kind] = published(self.spark, self.folder(kind)) if there else self.spark.createDataFrame([], LEDGER)
+            self._last[kind] = published(self.spark, self.folder(kind)) if self._there(kind) else self.spark.createDataFrame([], LEDGER)
         return self._last[kind]
 
-    def write(self, kind: str, rows: DataFrame) -> None:
-        name = publish(rows, self.folder(kind))
+    def _there(self, kind: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder(kind)}/pointers")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def has(self, kind: str, name: str) -> bool:
+        """Was a snapshot of this name published?"""
+        return self._there(kind) and not self.spark.read.parquet(f"{self.folder(kind)}/pointers").where(F.col("name") == name).isEmpty()
+
+    def write(self, kind: str, rows: DataFrame, name: str | None = None) -> None:
+        name = publish(rows, self.folder(kind), name)
         self._last[kind] = self.spark.read.schema(LEDGER).parquet(f"{self.folder(kind)}/{name}")
 
-    def upsert(self, kind: str, delta: DataFrame, save_reason: bool = True) -> None:
-        """The type's next snapshot. `delta`: what was tried of this type."""
+    def upsert(self, kind: str, delta: DataFrame, save_reason: bool = True, name: str | None = None) -> None:
+        """The type's next snapshot, under a name where one is given. `delta`: what was tried of this type."""
         if not delta.groupBy("src_id").count().where("count > 1").isEmpty():
             raise ValueError(f"a {kind} is there twice")
-        self.write(kind, L.upsert(self.read(kind), delta, save_reason))
+        self.write(kind, L.upsert(self.read(kind), delta, save_reason), name)
 
     def all(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [self.read(k) for k in ENTITY_TYPES])

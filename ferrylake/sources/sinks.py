@@ -13,10 +13,13 @@ from ferrylake.operators.resolve import numbered
 from ferrylake.schemas import FINDING, LEDGER
 
 
-def publish(df: DataFrame, path: str) -> str:
-    """Writes a new snapshot folder and then its pointer; readers see the old snapshot or the new one, never a part."""
-    name = f"snapshot-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{name}")
+def publish(df: DataFrame, path: str, name: str | None = None) -> str:
+    """Writes a new snapshot folder and then its pointer; readers see the old snapshot or the new one, never a part.
+
+    A `name` that was begun and never published is written anew.
+    """
+    mode, name = "overwrite" if name else "errorifexists", name or f"snapshot-{uuid.uuid4().hex}"
+    df.write.mode(mode).parquet(f"{path}/{name}")
     df.sparkSession.range(1).select(F.lit(name).alias("name"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{path}/pointers")
     return name
 
@@ -78,15 +81,18 @@ def pretty_xml(docs: DataFrame, column: str = "xml") -> DataFrame:
 
 
 def zip_batch(files: DataFrame, size: int = 100) -> DataFrame:
-    """Batches of (filename, content) as ZIP archives of `size` files at most, one row each."""
+    """Batches of (filename, content) as ZIP archives of `size` files at most, one row each. Names that repeat in a batch are numbered."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         import io
         import zipfile
 
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, data in sorted(zip(rows.filename, rows.content, strict=True)):
-                z.writestr(zipfile.ZipInfo(name), data)
+            used: dict[str, int] = {}
+            for name, data in sorted(((n or "unnamed", d or b"") for n, d in zip(rows.filename, rows.content, strict=True)), key=lambda x: x[0]):
+                used[name] = used.get(name, 0) + 1
+                stem, dot, end = name.rpartition(".")
+                z.writestr(zipfile.ZipInfo(name if used[name] == 1 else f"{stem or end}-{used[name]}{dot if stem else ''}{end if stem else ''}"), data)
         return pd.DataFrame({"batch": rows.batch.iloc[:1], "files": [len(rows)], "archive": [out.getvalue()]})
 
     return numbered(files, "filename").withColumn("batch", F.floor((F.col("position") - 1) / size).cast("int")).groupBy("batch").applyInPandas(run, "batch int, files int, archive binary")
