@@ -8,6 +8,8 @@ Hidden are scripts, styles, templates, head matter, comments, `hidden` elements,
 (`tag`, `.class`, `#id`) with `display:none` or `visibility:hidden` that hold on any screen (not those for print or for some
 widths only), closed `details` and `dialog`, and fallbacks.
 Null and empty pages give empty text. Broken markup gives the text that is there. Extra columns pass through.
+Layout has two bounds, which lose no text: tables nested deeper than DEEPEST_TABLE are written as plain blocks, and a cell
+spans 100 columns at most (a span of more than four digits counts as one).
 """
 
 from __future__ import annotations
@@ -421,5 +423,6 @@ def extract(pages: DataFrame, column: str = "html", out: str = "text") -> DataFr
         for p in pages:
             yield p.map(render)
 
-    own = [F.col(f"`{c}`") for c in pages.columns if c != out]
-    return pages.select(*own, run(F.col(f"`{column}`")).alias(out))
+    stay = [i for i, c in enumerate(pages.columns) if c != out]
+    own = pages.toDF(*(f"own{i}" for i in range(len(pages.columns))))  # no name of theirs clashes then
+    return own.select(*(f"own{i}" for i in stay), run(F.col(f"own{pages.columns.index(column)}"))).toDF(*(pages.columns[i] for i in stay), out)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrylake.llm.common import staged, text_bytes, text_slices, word_hashes
+from ferrylake.llm.common import exact, staged, text_bytes, text_slices, word_hashes
 from ferrylake.llm.common import mix as mixed
 
 FIT_ROWS = 8000
@@ -308,6 +308,7 @@ VIEW = ("text", "lang", "source", "n_chars")
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label: str = "quality") -> CoTrained | None:
     """Learns from the given labelled rows and all other rows of `docs` (id, text, lang, source, n_chars)."""
+    docs, labels = exact(docs, id_column, *VIEW), exact(labels, id_column, label)
     order = F.xxhash64(id_column)
     known = labels.where(F.col(id_column).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_column).agg(F.max(label).cast("int").alias("quality")).orderBy(order, id_column).limit(FIT_ROWS)
     chosen = staged(known, "quality-rows")
@@ -345,10 +346,10 @@ def _pool(docs: DataFrame, labels: DataFrame, id_column: str) -> DataFrame:
 def score(docs: DataFrame, model: CoTrained | None) -> DataFrame:
     """Adds quality_score, quality_text and quality_meta (0 to 1) to `docs` (text, lang, source, n_chars and any others)."""
     names = ("quality_score", "quality_text", "quality_meta")
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    stay = [i for i, c in enumerate(docs.columns) if c not in names]
+    given = docs.toDF(*(f"own{i}" for i in range(len(docs.columns)))).select(*(f"own{i}" for i in stay)).toDF(*(docs.columns[i] for i in stay))
     if model is None:
-        return docs.select(*own, *(F.lit(1.0).alias(n) for n in names))
-    given = docs.select(*own)
+        return given.withColumns({n: F.lit(1.0) for n in names})
     plain = given.toDF(*(c if c in VIEW else f"_{i}" for i, c in enumerate(given.columns)))  # Arrow maps take no dots in names
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given_names = given.columns

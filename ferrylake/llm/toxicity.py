@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrylake.llm.common import staged
+from ferrylake.llm.common import exact, staged
 
 FIT_TOXIC, FIT_CLEAN = 3000, 9000
 MAX_ENTRIES = 2048
@@ -194,11 +194,16 @@ def _calibrate(rows: list[tuple[float, int]]) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label: str = "toxic", exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Learns a lexicon from the given labelled rows. Rows without id, text or label take no part; no rows give no entries."""
+    """Learns a lexicon from the given labelled rows. Rows without id, text or label take no part; no rows give no entries.
+
+    Bounds: at most FIT_TOXIC and FIT_CLEAN labelled ids, of each the row with the smallest hash of its text, and of what they
+    show at most the MAX_ENTRIES entries with the most evidence, chosen among the 8 * MAX_ENTRIES strongest.
+    """
+    docs, labels = exact(docs, id_column, "text"), exact(labels, id_column, label)
     rows = labels.where(F.col(id_column).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_column).agg(F.max(label).alias("toxic"))
     order = F.xxhash64(id_column)
     some = rows.where("toxic = 1").orderBy(order, id_column).limit(FIT_TOXIC).union(rows.where("toxic = 0").orderBy(order, id_column).limit(FIT_CLEAN))
-    sample = staged(docs.select(id_column, "text").where(F.col("text").isNotNull()).join(F.broadcast(some), id_column).groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-sample")
+    sample = staged(docs.select(id_column, "text").where(F.col("text").isNotNull()).join(F.broadcast(some), id_column).groupBy(id_column).agg(F.min_by(F.struct("text", "toxic"), F.struct(F.xxhash64("text"), "text")).alias("x")).select("x.*").groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-sample")
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrylake.llm.common import exact
 from ferrylake.llm import html_text
 
 DATE = "2024-01-01T00:00:00Z"
@@ -102,7 +103,7 @@ def responses(pages: DataFrame, id_column: str = "page_id", url: str = "url", pa
                 out.append((key, name, "response", target, DATE, record(fields, head + payload)))
             yield pd.DataFrame(out, columns=["source_id", "record_id", "record_type", "target_uri", "date", "content"])
 
-    rows = pages.select(F.col(id_column).cast("string").alias("source_id"), F.col(url).alias("target"), F.col(page).alias("page"))
+    rows = exact(pages, id_column, url, page).select(F.col(id_column).cast("string").alias("source_id"), F.col(url).alias("target"), F.col(page).alias("page"))
     return rows.mapInPandas(run, f"source_id string, {RECORD}")
 
 

@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from llm_cases import odd_rows
 
-from ferrylake.llm import chunk_reuse, near_dedup, packing, quality_classifier, quality_rules, range_coder, toxicity
+from ferrylake.llm import chunk_reuse, html_text, near_dedup, packing, quality_classifier, quality_rules, range_coder, toxicity, warc
 
 NAMES = ["_t", "_w", "_l", "_s", "_f", "_e", "_p", "_verdict", "_score", "found", "own0", "own3", "verdict", "number", "first", "n_words", "kept", "quality_score", "quality_text", "toxicity", "a.b", "n", "key", "node", "part", "nth"]
 
@@ -49,3 +49,20 @@ def test_disguised_words_are_read():
     for word in ("|diot", "!diot", "id¡ot", "\u026a\u1d05\u026a\u1d0f\u1d1b", "id\u200biot", "i\u00addiot"):
         assert toxicity.fold(word) == "idiot"
     assert toxicity.fold("stop! now | then") == "stop! now | then"
+
+
+def test_names_that_differ_in_case_only(spark, docs, small):
+    """Learning, scoring, pages and records find their columns by the exact name."""
+    renamed = {"_t": "DOC_ID", "_w": "TEXT", "_l": "Lang", "_s": "SOURCE", "_f": "N_Chars"}
+    clash = docs.toDF(*(renamed.get(c, c) for c in docs.columns))
+    labels = spark.createDataFrame([(100, 1, 0, 7), (101, 1, 0, 7), (102, 1, 0, 7), (0, 0, 1, 7), (4, 0, 1, 7), (5, 0, 1, 7)], "doc_id long, quality int, toxic int, Quality int")
+    n = docs.count()
+    for toxic_labels in (labels, labels.withColumnRenamed("Quality", "TOXIC")):
+        assert toxicity.score(clash, toxicity.fit(clash, toxic_labels.drop("quality") if "TOXIC" in toxic_labels.columns else toxic_labels)).count() == n
+    model = quality_classifier.fit(clash, labels)
+    assert quality_classifier.score(clash, model).count() == n
+    assert quality_classifier.kept_only(clash, model, 0.0).columns == clash.columns
+    assert corpus_pipeline.classify(spark, clash, small).columns == clash.columns
+    pages = spark.read.parquet(f"{small}/pages.parquet").selectExpr("*", "1 AS PAGE_ID", "'x' AS HTML", "'u' AS URL")
+    assert html_text.extract(pages).count() == pages.count() == warc.responses(pages).count()
+    assert html_text.extract(pages).where("text IS NOT NULL").count() == pages.count()
