@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ferrylake.functions.scalars import key_encode
@@ -171,17 +171,22 @@ def moved(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("tgt_key").isNotNull()).select("tgt_key", "partition_id", "create_time", "parents", "own")
 
 
-def run(sources: dict[str, DataFrame], ledger: DataFrame | LedgerTable, specs: list[Pipeline], target: Callable[[Pipeline, DataFrame], None] | None = None, save_reason: bool = True, retry: bool = False, **how: Callable[[Column], Column] | Column) -> DataFrame:
+def run(sources: dict[str, DataFrame], ledger: DataFrame | LedgerTable, specs: list[Pipeline], target: Callable[[Pipeline, DataFrame], None] | None = None, save_reason: bool = True, retry: bool = False, counts: dict[str, tuple[int, int]] | None = None, **how: Callable[[Column], Column] | Column) -> DataFrame:
     """All types in the order of their dependencies, so that children see their parents. Returns the ledger.
 
     A type's step reads its own folder of the ledger and those of its parents, and writes its own. A ledger that is given as
-    rows is made into such a table first, in the shared folder.
+    rows is made into such a table first, in the shared folder. `counts` gets the rows that moved and those that were skipped by
+    type, taken while they are written. `target` gets the rows that moved.
     """
     if not isinstance(ledger, LedgerTable):
         ledger = LedgerTable.of(ledger, f"{shared_dir(ledger.sparkSession)}/ledger-{uuid.uuid4().hex}")
     for spec in sorted(specs, key=lambda s: HISTORY_TYPES.index(s.kind)):
         if spec.kind in sources:
-            rows = staged(tried(sources[spec.kind], ledger, spec, retry=retry, **how), "tried")
+            seen = Observation()
+            rows = tried(sources[spec.kind], ledger, spec, retry=retry, **how)
+            rows = staged(rows.observe(seen, F.count_if(L.has_moved()).alias("moved"), F.count_if(L.is_skipped()).alias("skipped")), "tried")
+            if counts is not None:
+                counts[spec.kind] = (int(seen.get["moved"]), int(seen.get["skipped"]))
             if target:
                 target(spec, moved(rows))
             ledger.upsert(spec.kind, delta(rows, spec), save_reason)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ferrylake.operators.asof import form_versions
 from ferrylake.operators.ledger_table import LedgerTable
-from ferrylake.operators.pipeline import Pipeline, Rule
+from ferrylake.operators.pipeline import Pipeline, Rule, run
 from ferrylake.sources.scans import table
+from ferrylake.sources.sinks import target_tables
 from ferrylake.sources.staging import shared_dir
 from ferrylake.streaming.drain import drain_into
 
@@ -49,9 +50,35 @@ SELECT event_id::VARCHAR AS src_id, CASE WHEN m THEN (4095::BIGINT * 22517998136
   CASE WHEN m THEN (event_id % 3 + 1)::INTEGER END AS partition_id FROM (SELECT event_id, event_type IN ('click', 'purchase') AS m FROM events)"""
 
 
+TAGGED = Pipeline("process instance", "id", "started", (Rule("status = 'P'", "is still pending"),))
+
+
+def target_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What is written to the target for instances with tags: the entity's rows, a row a tag, and the counts of the run."""
+    at, counts, written = f"{shared_dir(spark)}/target-{uuid.uuid4().hex}", {}, {}
+    source = table(spark, d, "orders").selectExpr("o_orderkey AS id", "o_orderdate AS started", "o_orderstatus AS status", "CASE o_orderkey % 3 WHEN 0 THEN split(o_orderpriority, '-') WHEN 1 THEN array() END AS tags")
+    run(
+        {"process instance": source}, LedgerTable(spark, f"{at}/ledger"), [TAGGED], lambda s, rows: written.update(target_tables(rows, f"{at}/{s.kind.replace(' ', '-')}", {"tags": "tags"})), counts=counts, counter=lambda x: x.cast("long")
+    )
+    read = lambda name: spark.read.parquet(f"{at}/process-instance/{name}")
+    moved, skipped = counts["process instance"]
+    sums = spark.createDataFrame([("moved", moved), ("skipped", skipped), *((f"rows of {k}", n) for k, n in written.items())], "part string, position long")
+    entity = read("entity").select(F.lit("entity").alias("part"), "tgt_key", F.col("own.id").alias("position"), F.col("own.status").alias("child"))
+    tags = read("tags").select(F.lit("tags").alias("part"), "tgt_key", F.col("position").cast("long").alias("position"), "child")
+    return entity.unionByName(tags).unionByName(sums.select("part", F.lit(None).cast("string").alias("tgt_key"), "position", F.lit(None).cast("string").alias("child")))
+
+
+TARGET_ROWS = """
+WITH m AS (SELECT *, (4095::BIGINT * 2251799813685248 + o_orderkey)::VARCHAR AS key FROM orders WHERE o_orderstatus <> 'P'),
+t AS (SELECT key, unnest(string_split(o_orderpriority, '-')) AS child, generate_subscripts(string_split(o_orderpriority, '-'), 1) - 1 AS position FROM m WHERE o_orderkey % 3 = 0)
+SELECT 'entity' AS part, key AS tgt_key, o_orderkey AS position, o_orderstatus AS child FROM m UNION ALL SELECT 'tags', key, position, child FROM t
+UNION ALL SELECT 'moved', NULL, count(*), NULL FROM m UNION ALL SELECT 'skipped', NULL, count(*), NULL FROM orders WHERE o_orderstatus = 'P'
+UNION ALL SELECT 'rows of entity', NULL, count(*), NULL FROM m UNION ALL SELECT 'rows of tags', NULL, count(*), NULL FROM t"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (form_bindings, drain_ledger)}
+    return {f.__name__: f for f in (form_bindings, drain_ledger, target_rows)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"form_bindings": FORM_BINDINGS, "drain_ledger": DRAIN_LEDGER}
+    return {"form_bindings": FORM_BINDINGS, "drain_ledger": DRAIN_LEDGER, "target_rows": TARGET_ROWS}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ferrylake.functions.scalars import csv_guard
@@ -34,11 +34,23 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LEDGER)
 
 
-def target_tables(rows: DataFrame, path: str, children: dict[str, str]) -> None:
-    """One table for the entity, one for each array of children that is not empty, keyed by tgt_key."""
-    rows.drop(*children.values()).write.mode("errorifexists").parquet(f"{path}/entity")
+def target_tables(rows: DataFrame, path: str, children: dict[str, str]) -> dict[str, int]:
+    """One table for the entity, without its arrays of children, and one for each of these, keyed by tgt_key; rows of each.
+
+    rows: tgt_key, partition_id, create_time, parents, own; children: name of the table to the array's column in own. An
+    empty or null array gives no rows. Rows are counted as they are written.
+    """
+    counts: dict[str, int] = {}
+
+    def put(df: DataFrame, name: str) -> None:
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(f"{path}/{name}")
+        counts[name] = int(seen.get["n"])
+
+    put(rows.withColumn("own", F.col("own").dropFields(*children.values())) if children else rows, "entity")
     for name, column in children.items():
-        rows.select("tgt_key", F.posexplode(column).alias("position", "child")).write.parquet(f"{path}/{name}")
+        put(rows.select("tgt_key", F.posexplode(F.col(f"own.`{column}`")).alias("position", "child")), name)
+    return counts
 
 
 def commands(rows: DataFrame, verb: str, payload: list[str]) -> DataFrame:

@@ -122,7 +122,7 @@ def test_a_run_that_dies_before_its_pointer_changes_nothing(spark, tmp_path, mon
     P.run({"process instance": source("a")}, LedgerTable(spark, path), [INSTANCE])
     real = sinks.publish
 
-    def dies(df, at):
+    def dies(df, at, name=None):
         df.write.parquet(f"{at}/snapshot-lost")
         raise RuntimeError("lost")
 
