@@ -36,7 +36,7 @@ SPECS = {
             Parent("node", "node", "flow node", "flow node missing"), Parent("form", "form", "form definition", "form missing", "value > 50"),
         ), partition_of="instance"),
         Pipeline("variable", "id", "started", (
-            INSTANCE, Parent("task", "task", "user task", "belongs to a skipped task", "task IS NOT NULL"), Parent("node", "node", "flow node", "scope key missing", "task IS NULL"),
+            INSTANCE, Parent("task", "task", "user task", "its task did not move", "task IS NOT NULL"), Parent("node", "node", "flow node", "scope key missing", "task IS NULL"),
         ), partition_of="instance"),
         Pipeline("job", "id", "at", (
             Rule("kind NOT IN ('click', 'purchase')", "only asynchronous jobs move"), DEFINITION, INSTANCE, Parent("root", "root", "process instance", "root instance missing"),
@@ -127,7 +127,7 @@ _SQL = (
     """SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'standalone tasks are not supported' WHEN event_type = 'signup' THEN 'case tasks are not supported' WHEN M3.id IS NULL THEN 'instance missing'
       WHEN M4.id IS NULL THEN 'flow node missing' WHEN value > 50 AND M1.id IS NULL THEN 'form missing' END AS r, M3.p
       FROM events LEFT JOIN M3 ON M3.id = event_id LEFT JOIN M4 ON M4.id = event_id * 10 + 1 LEFT JOIN M1 ON M1.id = user_id""",
-    """SELECT event_id AS id, CASE WHEN M3.id IS NULL THEN 'instance missing' WHEN event_id % 2 = 0 AND M5.id IS NULL THEN 'belongs to a skipped task' WHEN event_id % 2 = 1 AND M4.id IS NULL THEN 'scope key missing' END AS r, M3.p
+    """SELECT event_id AS id, CASE WHEN M3.id IS NULL THEN 'instance missing' WHEN event_id % 2 = 0 AND M5.id IS NULL THEN 'its task did not move' WHEN event_id % 2 = 1 AND M4.id IS NULL THEN 'scope key missing' END AS r, M3.p
       FROM events LEFT JOIN M3 ON M3.id = event_id LEFT JOIN M5 ON M5.id = event_id LEFT JOIN M4 ON M4.id = event_id * 10 + 2""",
     """SELECT user_id AS id, CASE WHEN kind NOT IN ('click', 'purchase') THEN 'only asynchronous jobs move' WHEN M2.id IS NULL THEN 'definition missing' WHEN I.id IS NULL THEN 'instance missing' WHEN R.id IS NULL THEN 'root instance missing'
       WHEN n > 1 THEN 'flow node is ambiguous' WHEN M4.id IS NULL THEN 'flow node missing' END AS r, R.p
