@@ -91,3 +91,16 @@ def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
     return rows.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("position", F.col("_before") + F.col("_nth") + 1).drop("_part", "_nth", "_before")
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "left", shares: int = 16) -> DataFrame:
+    """Joins many rows with few, where some keys have a large part of the left rows.
+
+    Left rows of a key are dealt to `shares` tasks by a hash of `by`, right rows are there once for each share. `how` is
+    inner or left. Shares that are still too large are split by adaptive execution.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"{how}: right rows are repeated, so only inner and left joins are right")
+    dealt = left.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(shares)).cast("int"))
+    copies = right.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return dealt.join(copies, [*on, "_share"], how).drop("_share")

@@ -94,7 +94,7 @@ XML_NODE = (
     "last int, kids array<string>, parent_tag string, owner int, owner_tag string, owner_attrs map<string,string>"
 )
 #: Elements that only hold extensions of the element that they stand in.
-CONTAINERS = ("extensionElements", "inputOutput", "properties")
+CONTAINERS = ("extensionElements", "inputOutput", "properties", "executionListeners", "ioMapping")
 
 
 def xml_nodes(docs: DataFrame, id_column: str, column: str) -> DataFrame:
