@@ -51,6 +51,14 @@ def text_of(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit("null"))
 
 
+def is_json(x: Column) -> Column:
+    """Exactly one JSON value; false for null. The parser stops after a value, whatever follows; within an array and within
+    an object it does not, and no text that is more than one value is right in both.
+    """
+    fits = lambda before, after: F.try_parse_json(F.concat(F.lit(before), x, F.lit(after))).isNotNull()
+    return fits("[", "]") & fits('{"x":', "}")
+
+
 def full_name(first: Column, last: Column) -> Column:
     return F.concat(text_of(first), F.lit(" "), text_of(last))
 
