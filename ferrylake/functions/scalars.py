@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,6 +138,22 @@ def fill(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+def nested(templates: dict[str, str], name: str, prefix: str = "templates.") -> str:
+    """A template with the building blocks that it names (`{{ templates.x }}`) put in, at any depth. A block that is not there
+    or that names itself, directly or through others, is an error.
+    """
+    pattern = re.compile(r"\{\{\s*" + re.escape(prefix) + r"([\w.-]+)\s*\}\}")
+
+    def whole(key: str, above: tuple[str, ...]) -> str:
+        if key in above:
+            raise ValueError(f"templates name each other: {' > '.join((*above, key))}")
+        if key not in templates:
+            raise KeyError(f"no template {key}")
+        return pattern.sub(lambda m: whole(m.group(1), (*above, key)), templates[key])
+
+    return whole(name, ())
+
+
 def cleanup_date(end: Column, months: int | None = 6) -> Column:
     """Calendar months after the end; null where clean-up is off."""
     return F.lit(None).cast("timestamp_ntz") if months is None else end + F.make_ym_interval(F.lit(0), F.lit(months))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrylake.functions.scalars import expression_severity, fill, rewrite_expression, worker_name
-from ferrylake.operators.resolve import first_by
+from ferrylake.operators.resolve import dealt_join, first_by
 from ferrylake.schemas import SEVERITIES
 
 
@@ -32,6 +32,14 @@ def severity_groups(rows: DataFrame, element: str) -> DataFrame:
     return rows.groupBy(element, "severity").agg(F.min("position").alias("first_position"), F.count("*").alias("n"))
 
 
+def severity_messages(rows: DataFrame, element: str) -> DataFrame:
+    """Each message with its group, the messages of one severity on one element: first_position is where the group is first
+    seen, so (element, first_position, position) is the order in which groups and their messages are listed. rows: position,
+    severity, message. Long rows: no group is gathered, however large.
+    """
+    return dealt_join(rows, severity_groups(rows, element).drop("n"), [element, "severity"], "position").select(element, "severity", "first_position", "position", "message")
+
+
 def first_match(elements: DataFrame, messages: DataFrame) -> DataFrame:
     """Messages of the first element of an id; elements that repeat it get none."""
     return first_by(elements, ["element"], ["ordinal"]).join(messages, "element", "left")

@@ -62,6 +62,22 @@ def members(df: DataFrame, memberships: DataFrame, member: str, parent: str) ->
     return memberships.select(member, parent).distinct().join(df, member)
 
 
+def child_decisions(instances: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """root_id, id, evaluated, part, name, value: decisions below a root with their inputs and outputs, a row each.
+
+    instances: id, root_id (null or its own id: a root), evaluated; inputs, outputs: id, name, value. A child with neither is
+    there once, with nulls. (root_id, evaluated, id) is the order of a root's children.
+    """
+    children = instances.where(F.col("root_id") != F.col("id")).select("root_id", "id", "evaluated")
+    values = inputs.select("id", F.lit("input").alias("part"), "name", "value").unionByName(outputs.select("id", F.lit("output").alias("part"), "name", "value"))
+    return children.join(values, "id", "left").select("root_id", "id", "evaluated", "part", "name", "value")
+
+
+def candidate_links(log: DataFrame) -> DataFrame:
+    """Additions and removals of candidates of a task, in (task_id, time, id). log: id, task_id, time, kind, operation, user_id, group_id."""
+    return log.where((F.col("kind") == "candidate") & F.col("task_id").isNotNull()).drop("kind")
+
+
 def topology_partitions(df: DataFrame, partitions: str) -> DataFrame:
     """The distinct partition ids of all brokers, sorted."""
     return df.select(F.explode(partitions).alias("partition_id")).distinct().orderBy("partition_id")
