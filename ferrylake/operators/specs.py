@@ -11,36 +11,40 @@ from ferrylake.functions.scalars import is_json
 NO_OPERATION = ("parameters", "servers", "summary", "description", "$ref")
 
 
-def _inner(x: Column, path: str) -> Column:
-    """A nested object's members as a map, null where it is no object."""
-    return F.when(F.schema_of_variant(F.try_variant_get(x, path, "variant")).startswith("OBJECT"), F.try_variant_get(x, path, "map<string, variant>"))
+def _members(text: Column) -> Column:
+    """The members of an object as a map of JSON texts, null where the text is no object."""
+    return F.when(F.ltrim(text).startswith("{"), F.from_json(text, "map<string, string>"))
 
 
 def operations(specs: DataFrame, key: str, text: str) -> DataFrame:
     """key, path, operation, summary, tags, deprecated, error: one row for each operation of each description.
 
-    The text is parsed once, and paths and operations are read without a schema. A description that is no JSON or has no
-    paths is a row with its error, and so are a path that is no object and an operation that is none; the others of the
-    description are there. No operation is a null tag list: without tags it is empty, tags that are no text are left out.
-    A null text is no JSON. Repeated rows give repeated rows.
+    Paths and operations are cut out as texts, level by level, and only an operation becomes a variant: a variant's parts
+    carry the names of its whole document each, which grows with the square of the paths. A description that is no JSON (or
+    that the variant parser refuses for its size) or has no paths is a row with its error, and so are a path that is no
+    object and an operation that is none; the others of the description are there. Without tags the list is empty; tags
+    that are no text are left out, a summary that is none is given as its JSON. A null text is no JSON. An object given as quoted text counts as that object. Repeated
+    rows give repeated rows.
     """
-    doc = specs.select(F.col(key).alias("key"), F.when(is_json(F.col(text)), F.try_parse_json(F.col(text))).alias("doc"))
-    paths = doc.select("key", F.col("doc").isNull().alias("bad"), _inner(F.col("doc"), "$.paths").alias("paths"))
-    by_path = paths.select("key", "bad", F.col("paths").isNull().alias("none"), F.explode_outer("paths").alias("path", "at"))
-    members = by_path.select("key", "bad", "none", "path", F.map_filter(_inner(F.col("at"), "$"), lambda k, _: ~k.isin(*NO_OPERATION) & ~k.startswith("x-")).alias("members"))
-    by_operation = members.select("key", "bad", "none", "path", F.col("members").isNull().alias("no_object"), F.explode_outer("members").alias("operation", "details"))
-    d = F.col("details")
-    is_object = F.coalesce(F.schema_of_variant(d).startswith("OBJECT"), F.lit(False))
+    c = F.col
+    doc = specs.select(c(key).alias("key"), F.when(is_json(c(text)), c(text)).alias("doc"))
+    paths = doc.select("key", c("doc").isNull().alias("bad"), _members(_members(c("doc"))["paths"]).alias("paths"))
+    # What is asked of a map is asked before it is exploded; else each of its rows would carry it whole.
+    by_path = paths.withColumn("none", c("paths").isNull()).select("key", "bad", "none", F.explode_outer("paths").alias("path", "at"))
+    members = by_path.select("key", "bad", "none", "path", F.map_filter(_members(c("at")), lambda k, _: ~k.isin(*NO_OPERATION) & ~k.startswith("x-")).alias("members"))
+    by_operation = members.withColumn("no_object", c("members").isNull()).select("key", "bad", "none", "path", "no_object", F.explode_outer("members").alias("operation", "details"))
+    is_object = F.coalesce(F.ltrim("details").startswith("{"), F.lit(False))
+    parsed = by_operation.withColumn("is_object", is_object).withColumn("d", F.when(is_object, F.try_parse_json("details")))
     error = (
-        F.when(F.col("bad"), "no JSON").when(F.col("none"), "no paths").when(F.col("path").isNotNull() & F.col("no_object"), "path is no object")
-        .when(F.col("operation").isNotNull() & ~is_object, "operation is no object")
+        F.when(c("bad"), "no JSON").when(c("none"), "no paths").when(c("path").isNotNull() & c("no_object"), "path is no object")
+        .when(c("operation").isNotNull() & ~c("is_object"), "operation is no object")
     )
-    read = lambda path, kind: F.try_variant_get(d, path, kind)
-    tags = F.filter(F.coalesce(F.transform(read("$.tags", "array<variant>"), lambda t: F.when(F.schema_of_variant(t) == "STRING", t.try_cast("string"))), F.array().cast("array<string>")), lambda t: t.isNotNull())
-    return by_operation.select(
-        F.col("key").alias(key), "path", "operation", F.when(is_object, read("$.summary", "string")).alias("summary"), F.when(is_object, tags).alias("tags"),
-        F.when(is_object, F.coalesce(read("$.deprecated", "boolean"), F.lit(False))).alias("deprecated"), error.alias("error"),
-    ).where(F.col("operation").isNotNull() | F.col("error").isNotNull())
+    read = lambda path, kind: F.try_variant_get(c("d"), path, kind)
+    texts = F.transform(F.coalesce(read("$.tags", "array<variant>"), F.array().cast("array<variant>")), lambda t: F.when(F.schema_of_variant(t) == "STRING", F.try_variant_get(t, "$", "string")))
+    return parsed.select(
+        c("key").alias(key), "path", "operation", read("$.summary", "string").alias("summary"), F.when(c("is_object"), F.filter(texts, lambda t: t.isNotNull())).alias("tags"),
+        F.when(c("is_object"), F.coalesce(F.schema_of_variant(read("$.deprecated", "variant")) == "BOOLEAN", F.lit(False)) & F.coalesce(read("$.deprecated", "boolean"), F.lit(False))).alias("deprecated"), error.alias("error"),
+    ).where(c("operation").isNotNull() | c("error").isNotNull())
 
 
 def shown_sections(operations: DataFrame, names: DataFrame, status: str, text: str = "", method: str = "all", hide_open: bool = False) -> DataFrame:

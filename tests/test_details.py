@@ -16,7 +16,7 @@ def test_descriptions(spark):
     got = sorted((tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in specs.operations(spark.createDataFrame(rows, "k int, text string"), "k", "text").collect()), key=str)
     assert got == [
         (1, "/a", "get", "s", ("t", "u"), False, None), (2, None, None, None, None, None, "no JSON"), (3, None, None, None, None, None, "no JSON"), (4, None, None, None, None, None, "no paths"), (5, None, None, None, None, None, "no paths"),
-        (7, "/a", None, None, None, None, "path is no object"), (7, "/c", "get", None, None, None, "operation is no object"), (7, "/c", "put", None, (), False, None), (8, None, None, None, None, None, "no JSON"),
+        (7, "/a", None, None, None, None, "path is no object"), (7, "/c", "get", None, None, None, "operation is no object"), (7, "/c", "put", '{"x":1}', (), False, None), (8, None, None, None, None, None, "no JSON"),
     ]
 
 
