@@ -91,7 +91,11 @@ def validate(instances: DataFrame, active: DataFrame, source: DataFrame, target:
     facts = model_facts(theirs).select(F.col("doc_id"), F.lit(True).alias("modelled"), "none_start", "unheard", "has_unheard", "error")
     ours = _by_id(elements(source, None), {"doc_id": "source", "id": "node", "tag": "tag", "multi": "multi"})
     other = _by_id(theirs, {"doc_id": "doc_id", "id": "node", "tag": "their_tag", "closed": "closed", "maps_id": "maps_id"})
-    cases = rows.select(*keys).distinct().join(last, ["target", "tenant"], "left").join(facts, "doc_id", "left").join(ours, ["source", "node"], "left").join(other, ["doc_id", "node"], "left")
+    # Cases that are not deployed have no model; they go by their target, so that they don't meet in one place. What they
+    # find there counts for nothing, as the rules on deployment come first.
+    at = F.coalesce("doc_id", "target")
+    cases = rows.select(*keys).distinct().join(last, ["target", "tenant"], "left").withColumn("at", at).join(facts.withColumnRenamed("doc_id", "at"), "at", "left")
+    cases = cases.join(ours, ["source", "node"], "left").join(other.withColumnRenamed("doc_id", "at"), ["at", "node"], "left")
 
     c = F.col
     allowed = (c("tenant") == "") | c("tenant").isin(*tenants)
