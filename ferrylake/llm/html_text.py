@@ -4,12 +4,13 @@ A small tree builder reads the tags of a page with the implied ones (head, parag
 visibility rules show, and a renderer writes all visible text: a blank line between paragraphs, headings, lists and
 tables, a new line between other blocks, markers and indents for list items, and table cells in aligned columns.
 
-Hidden are scripts, styles, templates, head matter, comments, `hidden` elements, inline styles and simple style-sheet rules
-(`tag`, `.class`, `#id`) with `display:none` or `visibility:hidden` that hold on any screen (not those for print or for some
-widths only), closed `details` and `dialog`, and fallbacks.
+Hidden are scripts, styles, templates, head matter, comments, closed `details` and `dialog`, fallbacks, and what the cascade of
+`page_styles` doesn't show. Text fields show their value, or else their placeholder; passwords don't.
+List items count from `start`, by `value`, downwards in `reversed` lists, and in the `type` of their list. Rows of the first
+`thead` come first and those of the first `tfoot` last; a cell over several rows or columns leaves its further places empty.
 Null and empty pages give empty text. Broken markup gives the text that is there. Extra columns pass through.
-Layout has two bounds, which lose no text: tables nested deeper than DEEPEST_TABLE are written as plain blocks, and a cell
-spans 100 columns at most (a span of more than four digits counts as one).
+Layout has three bounds, which lose no text: tables nested deeper than DEEPEST_TABLE are written as plain blocks; a cell spans
+100 columns at most (a span of more than four digits counts as one); cells after the first 100 columns span one row.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrylake.llm import page_styles
+
 # Element names by their behaviour in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -53,23 +56,23 @@ _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+)*+)>")
 #: A tag up to the first ">", even in quotes.
 _CUT_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_HIDES = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-#: Comments, strings and addresses of a style sheet; its parts and their marks; queries of media that a screen meets always.
-_OPAQUE = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|url\([^)\"']*+\)?", re.S | re.I)
-_PART = re.compile(r"([^{};]*+)([{};]|\Z)")
-_AT = re.compile(r"@([\w-]*)\s*(.*)", re.S)
-_SCREEN = re.compile(r"(?:(?:only\s+)?(?:all|screen)|not\s+(?:print|speech))?")
-_SIMPLE = re.compile(r"[.#]?[\w-]+$")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Tables nested deeper than this are written as plain blocks.
 DEEPEST_TABLE = 12
+#: Columns that a cell may span, and first columns in which cells may span rows.
+WIDEST_SPAN = 100
+# Inputs that show no text of their own, and buttons, whose value is all they show.
+WITHOUT_TEXT = frozenset("hidden password checkbox radio file range color".split())
+BUTTONS = frozenset("button submit reset".split())
+LISTS = frozenset("ul ol menu dir".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "display", "visible")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.display = self.visible = True
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -80,12 +83,12 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def build(page: str) -> tuple[Node, frozenset[str]]:
-    """The tree of a page, and the simple selectors that its style sheets hide."""
+def build(page: str) -> tuple[Node, list[page_styles.Rule]]:
+    """The tree of a page, and the rules of its style sheets."""
     root = Node("html", {})
     stack = [root]
     inside: Counter[str] = Counter()  # open elements by tag, so that nothing is looked for in vain
-    hidden: set[str] = set()
+    sheet: list[page_styles.Rule] = []
     at, n = 0, len(page)
     pattern = _TAG
     while at < n:
@@ -140,44 +143,18 @@ def build(page: str) -> tuple[Node, frozenset[str]]:
             text = page[at : end.start() if end else n]
             node.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
             if tag == "style":
-                hidden.update(_hiding(text, node.attrs.get("media", "")))
+                sheet += page_styles.rules(text, node.attrs.get("media", ""))
             at = end.end() if end else n
         elif tag not in VOID and not (rest.endswith("/") and tag in ("svg", "path", "g", "use")):
             stack.append(node)
             inside[tag] += 1
-    return root, frozenset(hidden)
-
-
-def _on_screen(media: str) -> bool:
-    return any(_SCREEN.fullmatch(q.strip().lower()) for q in media.split(","))
-
-
-def _applies(rule: str) -> bool:
-    """Whether the rules in an at-rule hold on any screen; those that depend on its size, say, don't."""
-    name, rest = _AT.match(rule).groups()
-    name = name.lower()
-    return name == "layer" or (name == "media" and _on_screen(rest)) or (name == "supports" and not rest.lower().startswith("not"))
-
-
-def _hiding(sheet: str, media: str) -> set[str]:
-    """The simple selectors that a style sheet hides on the screen."""
-    out: set[str] = set()
-    if not _HIDES.search(sheet) or not _on_screen(media):
-        return out
-    blocks: list[tuple[bool, list[str] | None]] = [(True, None)]  # holds on the screen; selectors, none outside of style rules
-    for part, mark in _PART.findall(_OPAQUE.sub(" ", sheet)):
-        holds, names = blocks[-1]
-        part = part.strip()
-        if mark != "{":
-            if holds and names and _HIDES.search(part):
-                out.update(names)
-            if mark == "}" and len(blocks) > 1:
-                blocks.pop()
-        elif part.startswith("@"):
-            blocks.append((holds and _applies(part), names))
-        else:
-            blocks.append((holds, [s.strip().lower() for s in part.split(",") if _SIMPLE.match(s.strip())] if names is None else []))
-    return out
+    tops = [c for c in root.children if not isinstance(c, str)]
+    if not any(c.tag == "body" for c in tops):  # it is implied, and selectors name it
+        body = Node("body", {})
+        heads = [c for c in tops if c.tag == "head"]
+        body.children = [c for c in root.children if isinstance(c, str) or c.tag != "head"]
+        root.children = [*heads, body]
+    return root, sheet
 
 
 def _cut(stack: list[Node], inside: Counter[str], i: int) -> None:
@@ -205,18 +182,41 @@ def _close(stack: list[Node], inside: Counter[str], tag: str) -> None:
             return
 
 
-def _shown(node: Node, hidden: frozenset[str]) -> bool:
-    a = node.attrs
-    if node.tag in HIDDEN:
-        return False
-    if a:
-        if "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden") or ("style" in a and _HIDES.search(a["style"])):
-            return False
-        if hidden and ((i := a.get("id")) and f"#{i.lower()}" in hidden or any(f".{c}" in hidden for c in a.get("class", "").lower().split())):
-            return False
-    if node.tag == "dialog" and "open" not in a:
-        return False
-    return node.tag not in hidden
+def _shown(node: Node) -> bool:
+    return node.display and node.tag not in HIDDEN
+
+
+def _number(text: str | None, default: int) -> int:
+    """A whole number of an attribute as browsers read it."""
+    found = re.match(r"[ \t\n\r\f]*([+-]?\d{1,9})(?!\d)", text or "")
+    return int(found[1]) if found else default
+
+
+def _numeral(n: int, kind: str) -> str:
+    """A list number in the style 1, a, A, i or I; numbers that have none in the style are written as 1."""
+    if kind.lower() == "a" and n > 0:
+        out = ""
+        while n:
+            n, digit = divmod(n - 1, 26)
+            out = chr(97 + digit) + out
+    elif kind.lower() == "i" and 0 < n < 4000:
+        out = ""
+        for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out += sign * (n // value)
+            n %= value
+    else:
+        return str(n)
+    return out.upper() if kind.isupper() else out
+
+
+def _field(a: dict[str, str]) -> str:
+    """The text that an input shows."""
+    kind = a.get("type", "").strip().lower()
+    if kind == "image":
+        return a.get("alt", "")
+    if kind in BUTTONS:
+        return a.get("value", "")
+    return "" if kind in WITHOUT_TEXT else a.get("value", "") or a.get("placeholder", "")
 
 
 class _Page:
@@ -261,15 +261,16 @@ def render(page: str | None) -> str:
     return text_of(*build(page))
 
 
-def text_of(root: Node, hidden: frozenset[str]) -> str:
+def text_of(root: Node, sheet: list[page_styles.Rule]) -> str:
     """The visible text of a tree."""
-    return "\n".join(_lines(root, hidden, 0)).strip("\n")
+    page_styles.resolve(root, sheet)
+    return "\n".join(_lines(root, 0)).strip("\n")
 
 
-def _lines(top: Node, hidden: frozenset[str], depth: int) -> list[str]:
+def _lines(top: Node, depth: int) -> list[str]:
     out = _Page()
     work: list[tuple] = [("node", top)]
-    lists: list[list] = []
+    lists: list[list] = []  # of each open list: numbered, next number, step, style
     pre = 0
     while work:
         kind, x, *more = work.pop()
@@ -290,8 +291,8 @@ def _lines(top: Node, hidden: frozenset[str], depth: int) -> list[str]:
                 if s := "".join(out.open).rstrip():
                     out.put(s)
                 out.open = []
-            out.line(tag in PARAGRAPH and not (tag in ("ul", "ol", "menu", "dir") and len(lists) > 1))
-            if tag in ("ul", "ol", "menu", "dir"):
+            out.line(tag in PARAGRAPH and not (tag in LISTS and len(lists) > 1))
+            if tag in LISTS:
                 lists.pop()
                 out.indent, out.marker = more[0], ""
             elif tag in ("li", "dd", "blockquote"):
@@ -299,7 +300,7 @@ def _lines(top: Node, hidden: frozenset[str], depth: int) -> list[str]:
                     out.put("")
                 out.indent, out.marker = more[0], ""
             continue
-        if not _shown(x, hidden) and x is not top:
+        if not _shown(x):
             continue
         tag, children = x.tag, x.children
         if tag == "br":
@@ -312,32 +313,35 @@ def _lines(top: Node, hidden: frozenset[str], depth: int) -> list[str]:
             out.line(True)
             continue
         if tag == "img":
-            if x.attrs.get("alt"):
-                out.text(x.attrs["alt"])
+            if x.visible:
+                out.text(x.attrs.get("alt", ""))
             continue
         if tag == "input":
-            if x.attrs.get("type", "").lower() in ("button", "submit", "reset") and x.attrs.get("value"):
-                out.text(x.attrs["value"])
+            if x.visible:
+                out.text(_field(x.attrs))
             continue
         if tag == "table" and x is not top and depth < DEEPEST_TABLE:
             out.line(True)
-            for s in _table(x, hidden, depth + 1):
+            for s in _table(x, depth + 1):
                 out.put(s)
             out.due = True
             continue
         if tag == "details" and "open" not in x.attrs:
             children = [c for c in children if not isinstance(c, str) and c.tag == "summary"][:1]
         if tag in BLOCK:
-            nested = tag in ("ul", "ol", "menu", "dir") and bool(lists)
+            nested = tag in LISTS and bool(lists)
             out.line(tag in PARAGRAPH and not nested)
             before = out.indent
-            if tag in ("ul", "ol", "menu", "dir"):
-                start = x.attrs.get("start", "1")
-                lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+            if tag in LISTS:
+                down = tag == "ol" and "reversed" in x.attrs
+                items = sum(not isinstance(c, str) and c.tag == "li" and _shown(c) for c in children) if down else 1
+                lists.append([tag == "ol", _number(x.attrs.get("start"), items), -1 if down else 1, x.attrs.get("type", "")])
             elif tag == "li":
-                now = lists[-1] if lists else [False, 1]
-                mark = f"{now[1]}. " if now[0] else "- "
-                now[1] += 1
+                now = lists[-1] if lists else [False, 1, 1, ""]
+                now[1] = _number(x.attrs.get("value"), now[1])
+                mark = f"{_numeral(now[1], x.attrs.get('type', now[3]))}. " if now[0] else "- "
+                mark = mark if x.visible else " " * len(mark)
+                now[1] += now[2]
                 out.marker = (out.marker or before) + mark if out.marker else before + mark
                 out.indent = before + " " * len(mark)
             elif tag == "dd":
@@ -350,46 +354,84 @@ def _lines(top: Node, hidden: frozenset[str], depth: int) -> list[str]:
                     children = [children[0].removeprefix("\r").removeprefix("\n"), *children[1:]]
             work.append(("end", tag, before))
         for c in reversed(children):
-            work.append(("text", c) if isinstance(c, str) else ("node", c))
+            if not isinstance(c, str):
+                work.append(("node", c))
+            elif x.visible:
+                work.append(("text", c))
     out.line()
     return out.lines
 
 
-def _table(table: Node, hidden: frozenset[str], depth: int) -> list[str]:
-    """A table's caption and rows; cells of a column begin at the same place."""
-    rows: list[list[str]] = []
-    head: list[str] = []
-    work = list(reversed(table.children))
-    while work:
-        x = work.pop()
+def _groups(table: Node) -> tuple[list[Node | str], list[list[Node]]]:
+    """What of a table stands above its rows, and its groups of rows: the first `thead` comes first, the first `tfoot` last."""
+    above: list[Node | str] = []
+    first: list[list[Node]] = []
+    groups: list[list[Node]] = []
+    last: list[list[Node]] = []
+    loose = False  # the last group holds rows that stand in the table itself
+    for x in table.children:
         if isinstance(x, str):
-            if x.strip():
-                head.append(_SPACE.sub(" ", x).strip())
-        elif not _shown(x, hidden):
+            if x.strip() and table.visible:
+                above.append(x)
             continue
-        elif x.tag in ("thead", "tbody", "tfoot"):
-            work.extend(reversed(x.children))
-        elif x.tag == "tr" or x.tag in ("td", "th"):
+        if not _shown(x) or x.tag in ("col", "colgroup"):
+            continue
+        if x.tag in ("thead", "tbody", "tfoot"):
+            rows = []
+            for c in x.children:
+                if not isinstance(c, str):
+                    if _shown(c):
+                        (rows if c.tag in ("tr", "td", "th") else above).append(c)
+                elif c.strip() and x.visible:
+                    above.append(c)
+            to = first if x.tag == "thead" and not first else last if x.tag == "tfoot" and not last else groups
+            to.append(rows)
+            loose = False
+        elif x.tag in ("tr", "td", "th"):
+            if not loose:
+                groups.append([])
+                loose = True
+            groups[-1].append(x)
+        else:
+            above.append(x)
+    return above, first + groups + last
+
+
+def _table(table: Node, depth: int) -> list[str]:
+    """A table's caption and rows; cells of a column begin at the same place."""
+    above, groups = _groups(table)
+    head: list[str] = []
+    for x in above:
+        head += [_SPACE.sub(" ", x).strip()] if isinstance(x, str) else _lines(x, depth)
+    rows: list[list[str]] = []
+    for group in groups:
+        below: dict[int, int] = {}  # rows of the group that a cell above still takes, by column
+        for n, x in enumerate(group):
             row: list[str] = []
+            taken: dict[int, int] = {}
             for c in x.children if x.tag == "tr" else [x]:
                 if isinstance(c, str):
-                    if c.strip():
+                    if c.strip() and x.visible:
                         head.append(_SPACE.sub(" ", c).strip())
-                elif _shown(c, hidden):
-                    text = " ".join(s.strip() for s in _lines(c, hidden, depth) if s.strip())
-                    span = c.attrs.get("colspan", "1")
-                    row += [text] + [""] * (min(int(span), 100) - 1 if re.fullmatch(r"\d{1,4}", span) else 0)
+                elif _shown(c):
+                    while below.get(len(row)):
+                        row.append("")
+                    span = c.attrs.get("colspan", "1").strip()
+                    wide = max(1, min(int(span), WIDEST_SPAN)) if re.fullmatch(r"\d{1,4}", span) else 1
+                    tall = _number(c.attrs.get("rowspan"), 1)
+                    tall = len(group) - n if tall == 0 else max(1, tall)
+                    if tall > 1:
+                        taken |= {i: tall for i in range(len(row), min(len(row) + wide, WIDEST_SPAN))}
+                    row += [" ".join(s.strip() for s in _lines(c, depth) if s.strip())] + [""] * (wide - 1)
+            below = {i: left - 1 for i, left in (below | taken).items() if left > 1}
             rows.append(row)
-        elif x.tag not in ("col", "colgroup"):
-            head += [s for s in _lines(x, hidden, depth)]
     widths: list[int] = []
     for row in rows:
         for i, s in enumerate(row):
             if i == len(widths):
                 widths.append(0)
             widths[i] = max(widths[i], len(s))
-    out = head + [" | ".join(s.ljust(w) for s, w in zip(row, widths, strict=False)).rstrip() for row in rows if any(row)]
-    return out
+    return head + [" | ".join(s.ljust(w) for s, w in zip(row, widths, strict=False)).rstrip() for row in rows if any(row)]
 
 
 def links(root: Node) -> list[tuple[str, str]]:

@@ -125,8 +125,8 @@ def _derive(key: str | None, data: bytes) -> list[tuple]:
     except LookupError:
         page = payload.decode("utf-8", "replace")
     if "html" in kind.lower() or not kind:
-        root, hidden = html_text.build(page)
-        text, found_links, name = html_text.text_of(root, hidden), html_text.links(root), html_text.title(root)
+        root, sheet = html_text.build(page)
+        text, found_links, name = html_text.text_of(root, sheet), html_text.links(root), html_text.title(root)
     else:
         text, found_links, name = (page if kind.lower().startswith("text/") else ""), [], ""
     code = status.split(b" ")[1].decode("ascii", "replace") if status.count(b" ") else ""

@@ -1,5 +1,7 @@
 import glob
 import gzip
+import re
+from html.parser import HTMLParser
 
 from ferrylake.llm import html_text, queries, warc
 
@@ -62,6 +64,97 @@ def test_style_rules_that_hold_on_the_screen_only():
     assert not shown(".x{display:none}", " media=screen")
 
 
+def test_visibility_is_inherited_and_may_come_back():
+    r = html_text.render
+    assert r("<div style='visibility:hidden'>no<p style='visibility:visible'>yes<b>both</b></div>after") == "yesboth\n\nafter"
+    assert r("<div style='display:none'>no<p style='display:block;visibility:visible'>no</div>after") == "after"
+    assert r("<ol style='visibility:hidden'><li>no<li style='visibility:visible'>b</ol>") == "2. b"
+    assert r("<style>html{visibility:hidden} p{visibility:inherit} b{visibility:visible}</style><p>no<b>b</b>") == "b"
+    assert r("<table style='visibility:hidden'>no<tr><td>no<td style='visibility:visible'>x</table>") == " | x"
+    assert r("<div style='visibility:hidden'><img alt=no><input value=no></div>a") == "a"
+
+
+def test_the_cascade_decides():
+    def shown(style, body="<div class='a c' id=I><p class=x title=t>seen</p></div>"):
+        return html_text.render(f"<style>{style}</style>{body}") == "seen"
+
+    assert shown(".x{display:none} .x{display:block}") and not shown(".x{display:block} .x{display:none}")
+    assert shown("p.x{display:block} .x{display:none}") and shown(".x{display:none;display:block}")
+    assert not shown("#i .x{display:none} p.x{display:block}") and shown("#i .y{display:none}")
+    assert not shown(".x{display:none!important} #I p.x{display:block}")
+    assert not shown("p.x{display:none}") and shown("b.x{display:none}") and not shown(".a.c > p{display:none}")
+    assert not shown(".a .x{display:none}") and not shown("body div>.x{display:none}") and shown("body > .x{display:none}")
+    assert not shown("p[title]{display:none}") and not shown('p[title="t"]{display:none}') and shown("p[title=u]{display:none}") and shown('p[title=""]{display:none}')
+    assert shown(".x:hover{display:none} .a + .x{display:none} .x::before{display:none} :is(p,b){display:none}")
+    assert not shown("<!-- .x{display:none} -->") and not shown("*{visibility:collapse}") and not shown(".x{display:none")
+    assert shown(".x{display:nothing} p{visibility:none}") and shown('p[title="a{b"]{display:none} .y{display:none}')
+    assert shown(".x{display:block}", "<p class=x hidden>seen") and shown(".x{display:revert}", "<p class=x>seen<b hidden>no</b>") and not shown(".x{display:revert}", "<p class=x hidden>seen")
+    assert shown(".x{display:none}", "<p class=x style='display:block'>seen") and not shown(".x{display:none!important}", "<p class=x style='display:block'>seen")
+    assert shown("div > p > b{display:none}", "<div><i><p><b>seen") and not shown("div i > p > b{display:none}", "<div><div><i><p><b>seen")
+    deep = "<div class=a>" * 2000 + "<p class=x>seen"
+    assert not shown(".a .a > .a .x{display:none}", deep) and shown(".b .a > .a .x{display:none}", deep)
+
+
+def test_list_numbers():
+    r = html_text.render
+    assert r("<ol><li>a<li value=5>b<li>c</ol>") == "1. a\n5. b\n6. c"
+    assert r("<ol reversed><li>a<li hidden>no<li>b</ol>") == "2. a\n1. b"
+    assert r("<ol reversed start=10><li>a<li>b<li value=3>c<li>d</ol>") == "10. a\n9. b\n3. c\n2. d"
+    assert r("<ol type=a start=26><li>x<li>y</ol>") == "z. x\naa. y" and r("<ol type=I start=4><li>x<li type=i>y</ol>") == "IV. x\nv. y"
+    assert r("<ol start=x><li value=''>a<li value=' -2x'>b</ol>") == "1. a\n-2. b" and r("<ol type=a start=0><li>x</ol>") == "0. x"
+
+
+def test_row_spans_and_groups_of_rows():
+    lines = lambda page: html_text.render(page).split("\n")
+    assert lines("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>") == ["a | b | c", "  | d | e", "f | g | h"]
+    assert lines("<table><tr><td>a<td colspan=2 rowspan=2>b<td>c<tr><td>d<td>e</table>") == ["a | b |  | c", "d |   |  | e"]
+    assert lines("<table><tfoot><tr><td>foot<tbody><tr><td>one<thead><tr><td>head<tbody><tr><td>two<tfoot><tr><td>more</table>") == ["head", "one", "two", "more", "foot"]
+    assert lines("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>") == ["a | b", "  | c", "d | e"]
+    assert lines("<table><tr><td rowspan=99999999999>a<td rowspan=-3>b<tr><td>c</table>") == ["a | b", "c"]
+    wide = html_text.render("<table><tr>" + "<td rowspan=9999>x" * 500 + "<tr><td>y" * 300 + "</table>")
+    assert wide.count("x") == 500 and wide.count("y") == 300 and len(wide) < 300_000
+
+
+def test_fields_show_their_text():
+    assert html_text.render("<input value=a> <input type=email placeholder=b> <input type=password value=no> <input type=checkbox value=no> <input type=image alt=c> <input type=submit value=d> <input type=hidden value=no> <input>") == "a b c d"
+
+
+class Naive(HTMLParser):
+    """Words of a page in their order, by another parser and the plainest rules; for pages without styles, lists of numbers and tables."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.skip, self.open = [], 0, True
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style", "title", "noscript", "template")
+        self.open |= tag not in ("b", "a", "i", "em", "span")
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style", "title", "noscript", "template")
+        self.open |= tag not in ("b", "a", "i", "em", "span")
+
+    def handle_data(self, data):
+        if self.skip:
+            return
+        words = data.split()
+        if words and self.words and not self.open and not data[0].isspace():
+            self.words[-1] += words.pop(0)
+        self.words += words
+        if data:
+            self.open = data[-1].isspace()
+
+
+def test_words_of_all_pages_by_another_parser(spark, small):
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in queries.op9_html_text(spark, small).collect()}
+    for page_id, text in got.items():
+        plain = Naive()
+        plain.feed(html[page_id])
+        plain.close()
+        assert re.sub(r"(?m)^( *)- ", r"\1", text).split() == plain.words
+
+
 def test_all_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = {r.page_id: r.text for r in queries.op9_html_text(spark, small).collect()}
