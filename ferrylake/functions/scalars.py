@@ -169,10 +169,16 @@ def component_id(x: Column) -> Column:
     return F.when(x == "*", "*").when(x == "cockpit", "operate").when(x.isin("tasklist", "admin"), x)
 
 
-def file_kind(name: Column) -> Column:
-    """process or decision, by the file's suffix; null for any other."""
+def file_kind(name: Column, strict: bool = False) -> Column:
+    """process or decision, by the file's suffix; null for any other, or an error that names the file where `strict`."""
     low = F.lower(name)
-    return F.when(low.rlike(r"\.bpmn(20\.xml)?$"), "process").when(low.rlike(r"\.dmn(11\.xml)?$"), "decision")
+    kind = F.when(low.rlike(r"\.bpmn(20\.xml)?$"), "process").when(low.rlike(r"\.dmn(11\.xml)?$"), "decision")
+    return F.coalesce(kind, F.raise_error(F.concat(F.lit("no diagram: "), F.coalesce(name, F.lit("a file without name"))))) if strict else kind
+
+
+def local_time(instant: Column, zone: Column | None = None) -> Column:
+    """A UTC instant (timestamp without zone) as the clock of a zone shows it, the session's by default. Null stays null."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone() if zone is None else zone, instant.cast("timestamp_ntz"))
 
 
 def unique_id(kind: Column, *of: Column) -> Column:

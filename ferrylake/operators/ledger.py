@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrylake.operators.resolve import numbered
 from ferrylake.schemas import LEDGER
 
 KEY = ["src_id", "type"]
@@ -48,6 +49,19 @@ def latest(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("type").agg(F.max("create_time").alias("latest_time"), F.max("src_id").alias("latest_id"))
 
 
+def listing(ledger: DataFrame, moved: bool = False) -> DataFrame:
+    """position, line: of each type a header with the number of its skipped rows and their ids, or of its moved rows and their ids with keys.
+
+    Types, and ids within a type, are in the order of their text. Types without such rows have a header, too.
+    """
+    is_there = has_moved() if moved else is_skipped()
+    heads = ledger.groupBy("type").agg(F.count_if(is_there).alias("n")).select("type", F.lit("").alias("id"), F.concat("type", F.lit(": "), F.col("n").cast("string"), F.lit(" moved" if moved else " skipped")).alias("line"))
+    line = F.concat(F.lit("  "), "src_id", F.lit(" -> "), "tgt_key") if moved else F.concat(F.lit("  "), "src_id")
+    rows = ledger.where(is_there).select("type", F.col("src_id").alias("id"), line.alias("line"))
+    levels = heads.withColumn("level", F.lit(0)).unionByName(rows.withColumn("level", F.lit(1)))
+    return numbered(levels, "type", "level", "id").select("position", "line")
+
+
 def upsert(ledger: DataFrame, delta: DataFrame, save_reason: bool = False) -> DataFrame:
     """The next snapshot. `delta`: src_id, type, tgt_key, create_time, skip_reason, partition_id of what was tried.
 

@@ -20,6 +20,7 @@ from ferrylake.operators import ledger as L
 from ferrylake.operators.chains import distinct_numbers, resolve_chains
 from ferrylake.operators.ledger_table import LedgerTable
 from ferrylake.operators.resolve import first_reason
+from ferrylake.operators.resume import later
 from ferrylake.schemas import COUNTER_BITS, HISTORY_PARTITION, HISTORY_TYPES, LEDGER
 from ferrylake.sources.staging import shared_dir, staged
 
@@ -47,7 +48,7 @@ class Parent:
 class Pipeline:
     """One entity type. `order` tells which row of a repeated id counts: the first, then the smallest by all columns.
 
-    `partition_of`: the parent whose partition a row takes over.
+    `partition_of`: the parent whose partition a row takes over. `only`: SQL condition of the rows that the type's scan takes.
     """
 
     kind: str
@@ -56,6 +57,7 @@ class Pipeline:
     checks: tuple[Rule | Parent, ...] = ()
     order: tuple[str, ...] = ()
     partition_of: str | None = None
+    only: str | None = None
 
     def parents(self) -> list[Parent]:
         return [c for c in self.checks if isinstance(c, Parent)]
@@ -86,12 +88,17 @@ def one_row_an_id(source: DataFrame, spec: Pipeline, counter: Callable[[Column],
     return one.groupBy("src_id").agg(F.min_by("x", "o").alias("x")).select("src_id", "x.*")
 
 
-def tried(source: DataFrame, ledger: DataFrame | LedgerTable, spec: Pipeline, counter: Callable[[Column], Column] | None = None, drawn: Column | None = None, retry: bool = False) -> DataFrame:
+def tried(source: DataFrame, ledger: DataFrame | LedgerTable, spec: Pipeline, counter: Callable[[Column], Column] | None = None, drawn: Column | None = None, retry: bool = False, resume: bool = False) -> DataFrame:
     """What becomes of the rows of `source` whose turn it is: src_id, tgt_key, skip_reason, partition_id, create_time, parents (their keys by name), own (all columns of the source).
 
     A repeated id is one row. Each parent costs one join with the ledger's rows of its type; hot parents are split by adaptive
-    execution. Keys come from `counter` of the id, which must be unique, or else from hashes that don't collide.
+    execution. Keys come from `counter` of the id, which must be unique, or else from hashes that don't collide. `resume`: a first
+    run reads only rows later than the latest that the ledger knows of the type.
     """
+    if spec.only:
+        source = source.where(spec.only)
+    if resume and spec.time and not retry:
+        source = later(source, spec.time, read(ledger, spec.kind))
     rows = one_row_an_id(source, spec, counter, drawn)
     mine = read(ledger, spec.kind).select("src_id", F.col("tgt_key").isNotNull().alias("_moved"))
     rows = rows.join(mine.where("NOT _moved").select("src_id"), "src_id", "left_semi") if retry else rows.join(mine.select("src_id"), "src_id", "left_anti")
@@ -171,7 +178,7 @@ def moved(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("tgt_key").isNotNull()).select("tgt_key", "partition_id", "create_time", "parents", "own")
 
 
-def run(sources: dict[str, DataFrame], ledger: DataFrame | LedgerTable, specs: list[Pipeline], target: Callable[[Pipeline, DataFrame], None] | None = None, save_reason: bool = True, retry: bool = False, counts: dict[str, tuple[int, int]] | None = None, **how: Callable[[Column], Column] | Column) -> DataFrame:
+def run(sources: dict[str, DataFrame], ledger: DataFrame | LedgerTable, specs: list[Pipeline], target: Callable[[Pipeline, DataFrame], None] | None = None, save_reason: bool = True, retry: bool = False, resume: bool = False, counts: dict[str, tuple[int, int]] | None = None, **how: Callable[[Column], Column] | Column) -> DataFrame:
     """All types in the order of their dependencies, so that children see their parents. Returns the ledger.
 
     A type's step reads its own folder of the ledger and those of its parents, and writes its own. A ledger that is given as
@@ -183,7 +190,7 @@ def run(sources: dict[str, DataFrame], ledger: DataFrame | LedgerTable, specs: l
     for spec in sorted(specs, key=lambda s: HISTORY_TYPES.index(s.kind)):
         if spec.kind in sources:
             seen = Observation()
-            rows = tried(sources[spec.kind], ledger, spec, retry=retry, **how)
+            rows = tried(sources[spec.kind], ledger, spec, retry=retry, resume=resume, **how)
             rows = staged(rows.observe(seen, F.count_if(L.has_moved()).alias("moved"), F.count_if(L.is_skipped()).alias("skipped")), "tried")
             if counts is not None:
                 counts[spec.kind] = (int(seen.get["moved"]), int(seen.get["skipped"]))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ferrylake.functions import scalars as S
 from ferrylake.functions.interceptors import Interceptor, Registry, supports
 from ferrylake.operators import apimap, findings, identity, ledger, resolve, tree
-from ferrylake.plans import details, diagrams, history, plugged, timed, trees
+from ferrylake.plans import details, diagrams, history, plugged, resumed, timed, trees
 from ferrylake.sources import scans
 from ferrylake.sources.scans import table
 
@@ -36,11 +36,11 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return _queries | history.queries() | diagrams.queries() | timed.queries() | trees.queries() | plugged.queries() | details.queries()
+    return _queries | history.queries() | diagrams.queries() | timed.queries() | trees.queries() | plugged.queries() | details.queries() | resumed.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracles | history.oracle_sql() | diagrams.oracle_sql() | timed.oracle_sql() | trees.oracle_sql() | plugged.oracle_sql() | details.oracle_sql()
+    return _oracles | history.oracle_sql() | diagrams.oracle_sql() | timed.oracle_sql() | trees.oracle_sql() | plugged.oracle_sql() | details.oracle_sql() | resumed.oracle_sql()
 
 
 def L(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrylake.operators.resolve import numbered
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,6 +49,16 @@ def offset_page(df: DataFrame, order: list[str], page: int, size: int) -> DataFr
     return df.orderBy(*order).offset(page * size).limit(size)
 
 
+def paged(order: list[str], size: int, query: DataFrame | None = None, page: DataFrame | None = None) -> DataFrame:
+    """All pages at once: adds `page`, from 0, to the rows in their order. `query` wins over `page`; one of them must be there."""
+    rows = query if query is not None else page
+    if rows is None:
+        raise ValueError("neither a query nor a page is given")
+    if size < 1:
+        raise ValueError("a page has one row at least")
+    return numbered(rows, *order).withColumn("page", F.floor((F.col("position") - 1) / size).cast("long")).drop("position")
+
+
 def page_count(df: DataFrame, size: int) -> DataFrame:
     """At least one page, even of nothing."""
     return df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("long").alias("pages"))
@@ -73,6 +85,14 @@ def child_decisions(instances: DataFrame, inputs: DataFrame, outputs: DataFrame)
     return children.join(values, "id", "left").select("root_id", "id", "evaluated", "part", "name", "value")
 
 
+def with_values(instances: DataFrame, **values: DataFrame) -> DataFrame:
+    """Instances with an array of (name, value), in this order, for each of the given tables (id, name, value); empty where an instance has none."""
+    for name, rows in values.items():
+        nested = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("name", "value"))).alias(name))
+        instances = instances.join(nested, "id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<name:string,value:string>>")))
+    return instances
+
+
 def candidate_links(log: DataFrame) -> DataFrame:
     """Additions and removals of candidates of a task, in (task_id, time, id). log: id, task_id, time, kind, operation, user_id, group_id."""
     return log.where((F.col("kind") == "candidate") & F.col("task_id").isNotNull()).drop("kind")
