@@ -17,7 +17,8 @@ from ferrylake.sources.staging import staged
 
 def diagrams(spark: SparkSession, d: str) -> DataFrame:
     """doc_id and xml: one process a supplier, whose fragment follows from its key."""
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), C.document(F.col("s_suppkey"), F.col("s_name")).alias("xml"))
+    suppliers = scans.spread(table(spark, d, "supplier").select("s_suppkey", "s_name"))
+    return suppliers.select(F.col("s_suppkey").alias("doc_id"), C.document(F.col("s_suppkey"), F.col("s_name")).alias("xml"))
 
 
 def at_versions(nodes: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def _coverage() -> str:
 
 def xml_convert(spark: SparkSession, d: str) -> DataFrame:
     """Documents converted for the last version. Fragments 0, 2 and 4 only: those that golden documents are written for."""
-    docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), C.document(F.pmod("p_partkey", F.lit(3)) * 2, F.col("p_name")).alias("xml"))
+    docs = scans.spread(table(spark, d, "part").select("p_partkey", "p_name")).select(F.col("p_partkey").alias("doc_id"), C.document(F.pmod("p_partkey", F.lit(3)) * 2, F.col("p_name")).alias("xml"))
     nodes = scans.xml_nodes(docs, "doc_id", "xml")
     return convert(docs, "doc_id", "xml", C.CATALOGUE.script(nodes, C.v("8.10"))).select(F.col("doc_id").cast("long").alias("doc_id"), "xml", "applied")
 
@@ -135,7 +136,7 @@ def _converted() -> str:
 
 def priority_scopes(spark: SparkSession, d: str) -> DataFrame:
     """The priority that counts for each task of a worker: its own, or that of the nearest scope around it."""
-    o = table(spark, d, "orders")
+    o = scans.spread(table(spark, d, "orders").select("o_orderkey"), 50_000)
     k = F.col("o_orderkey")
     own = F.when(k % 3 == 0, F.concat(F.lit('jobPriority="'), (k % 7).cast("string"), F.lit('"'))).otherwise("")
     inner = F.when(k % 2 == 0, F.lit('jobPriority="77"')).otherwise("")
@@ -144,8 +145,9 @@ def priority_scopes(spark: SparkSession, d: str) -> DataFrame:
     nodes = scans.xml_nodes(o.select(k.alias("doc_id"), xml.alias("xml")), "doc_id", "xml").select("doc_id", "node", "last", "tag", F.col("attrs")["id"].alias("id"), F.col("attrs")["jobPriority"].alias("priority"))
     nodes = staged(nodes, "nodes")
     found = nearest_scope(nodes.where(F.col("tag").isin(*C.WORKERS)), nodes.where("priority IS NOT NULL"))
-    ids = found.join(nodes.select("doc_id", "node", "id"), ["doc_id", "node"])
-    value = nodes.select("doc_id", F.col("node").alias("scope"), "priority")
+    # Both sides grow with the documents, and their files are far smaller than their rows: neither may be broadcast for its files' size.
+    ids = found.join(nodes.where(F.col("tag").isin(*C.WORKERS)).select("doc_id", "node", "id").hint("merge"), ["doc_id", "node"])
+    value = nodes.where("priority IS NOT NULL").select("doc_id", F.col("node").alias("scope"), "priority").hint("merge")
     return ids.join(value, ["doc_id", "scope"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "id", F.col("priority").cast("int").alias("priority"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +133,16 @@ XML_NODE = (
 CONTAINERS = ("extensionElements", "inputOutput", "properties", "executionListeners", "ioMapping")
 
 
+#: Rows that one task turns into documents, about.
+SPREAD_ROWS = 5_000
+
+
+def spread(df: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
+    """Deals rows out evenly, so that what is made of each, and is far larger, is no work of the few tasks that read a small file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // rows)))
+
+
 def xml_nodes(docs: DataFrame, id_column: str, column: str) -> DataFrame:
     """Elements of each XML document in pre-order. A document that cannot be parsed gives one row with its error.
 
@@ -143,7 +153,7 @@ def xml_nodes(docs: DataFrame, id_column: str, column: str) -> DataFrame:
     def walk(key: str, text: str | None) -> Iterator[tuple]:
         import xml.etree.ElementTree as ET
 
-        local = lambda x: x.rsplit("}", 1)[-1]
+        local = lambda x: x.rsplit("}", 1)[-1] if "}" in x else x
         try:
             root = ET.fromstring(text or "")
         except ET.ParseError as e:
@@ -164,12 +174,26 @@ def xml_nodes(docs: DataFrame, id_column: str, column: str) -> DataFrame:
             of = (order[owner][3], order[owner][5]) if owner >= 0 else (None, None)
             yield key, n, parent, depth, tag, x.get("name"), attrs, (x.text or "").strip() or None, None, last[n], [local(c.tag) for c in x], order[parent][3] if parent >= 0 else None, owner if owner >= 0 else None, *of
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [p.split()[0] for p in XML_NODE.replace("map<string,string>", "map").split(", ")]
-        numbers = dict.fromkeys(("node", "parent", "depth", "last", "owner"), "Int32")
+    def column_of(kind: str, values: tuple) -> pa.Array:
+        """Nested values are laid out flat, without a pass through pandas."""
+        if kind in ("string", "int"):
+            return pa.array(values, pa.string() if kind == "string" else pa.int32())
+        at, ends = 0, []
+        for v in values:
+            ends.append(None if v is None else at)
+            at += len(v or ())
+        offsets = pa.array([*ends, at], pa.int32())
+        if kind.startswith("array"):
+            return pa.ListArray.from_arrays(offsets, pa.array([x for v in values for x in v or ()], pa.string()))
+        return pa.MapArray.from_arrays(offsets, pa.array([k for v in values for k in v or ()], pa.string()), pa.array([x for v in values if v for x in v.values()], pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = zip(*(p.split(" ") for p in XML_NODE.split(", ")), strict=True)
         for b in batches:
             for at in range(0, len(b), 200):
-                some = b.iloc[at : at + 200]
-                yield pd.DataFrame([r for k, t in zip(some.iloc[:, 0], some.iloc[:, 1], strict=True) for r in walk(k, t)], columns=names).astype(numbers)
+                some = b.slice(at, 200)
+                rows = [r for k, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True) for r in walk(k, t)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([column_of(k, v) for k, v in zip(kinds, zip(*rows, strict=True), strict=True)], list(names))
 
-    return docs.select(F.col(id_column).cast("string"), F.col(column).cast("string")).mapInPandas(run, XML_NODE)
+    return docs.select(F.col(id_column).cast("string"), F.col(column).cast("string")).mapInArrow(run, XML_NODE)
