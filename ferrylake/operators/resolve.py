@@ -97,10 +97,11 @@ def dealt_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how: s
     """Joins many rows with few, where some keys have a large part of the left rows.
 
     Left rows of a key are dealt to `shares` tasks by a hash of `by`, right rows are there once for each share. `how` is
-    inner or left. Shares that are still too large are split by adaptive execution.
+    inner or left. Shares that are still too large are split by adaptive execution. Right rows are never broadcast: the size of
+    their files says nothing of their copies.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"{how}: right rows are repeated, so only inner and left joins are right")
     dealt = left.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(shares)).cast("int"))
     copies = right.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    return dealt.join(copies, [*on, "_share"], how).drop("_share")
+    return dealt.join(copies.hint("merge"), [*on, "_share"], how).drop("_share")

@@ -84,7 +84,7 @@ def validate(instances: DataFrame, active: DataFrame, source: DataFrame, target:
     there = instances.select("root", "instance", "source", "target", F.coalesce("tenant", none).alias("tenant"))
     nodes = active.where("node IS NOT NULL").select("instance", "node")
     keys = ["source", "target", "tenant", "node"]
-    rows = staged(there.join(nodes, "instance", "left").select("root", "instance", F.coalesce("source", none).alias("source"), F.coalesce("target", none).alias("target"), "tenant", F.coalesce("node", none).alias("node")), "active")
+    rows = staged(there.join(nodes.hint("merge"), "instance", "left").select("root", "instance", F.coalesce("source", none).alias("source"), F.coalesce("target", none).alias("target"), "tenant", F.coalesce("node", none).alias("node")), "active")
 
     theirs = staged(elements(target, job_type), "target")
     last = latest_by(deployed.select("target", F.coalesce("tenant", none).alias("tenant"), "version", "doc_id"), ["target", "tenant"], ["version", "doc_id"])
@@ -94,8 +94,10 @@ def validate(instances: DataFrame, active: DataFrame, source: DataFrame, target:
     # Cases that are not deployed have no model; they go by their target, so that they don't meet in one place. What they
     # find there counts for nothing, as the rules on deployment come first.
     at = F.coalesce("doc_id", "target")
-    cases = rows.select(*keys).distinct().join(last, ["target", "tenant"], "left").withColumn("at", at).join(facts.withColumnRenamed("doc_id", "at"), "at", "left")
-    cases = cases.join(ours, ["source", "node"], "left").join(other.withColumnRenamed("doc_id", "at"), ["at", "node"], "left")
+    # All of these grow with the models, and compress well: none may be broadcast for its files' or its shuffle's size.
+    last, facts, ours, other = (x.hint("merge") for x in (last, facts.withColumnRenamed("doc_id", "at"), ours, other.withColumnRenamed("doc_id", "at")))
+    cases = rows.select(*keys).distinct().join(last, ["target", "tenant"], "left").withColumn("at", at).join(facts, "at", "left")
+    cases = cases.join(ours, ["source", "node"], "left").join(other, ["at", "node"], "left")
 
     c = F.col
     allowed = (c("tenant") == "") | c("tenant").isin(*tenants)
