@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrylake.functions import plugins as P
-from ferrylake.sources.scans import table
+from ferrylake.sources.scans import spread, table
 
 KINDS = ("null", "boolean", "short", "integer", "long", "double", "string", "date", "bytes", "file", "json", "xml", "object")
 OWNERS = ("runtime variable", "process variable", "decision input", "decision output")
@@ -34,7 +34,7 @@ def variable_plugins(spark: SparkSession, d: str) -> DataFrame:
     chain.add(P.VariableInterceptor("off", lambda c: F.lit("never"), order=700))
     chain.configure("off", enabled=False)
     at = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % n + 1).cast("int"))
-    rows = table(spark, d, "events").selectExpr("*", f"{SOURCE} AS source")
+    rows = spread(table(spark, d, "events"), 50_000).selectExpr("*", f"{SOURCE} AS source")
     origin = F.when(F.col("event_id") % 4 == 0, "runtime").otherwise("history")
     name = F.concat(F.lit("v"), F.col("event_id").cast("string"))
     done = P.run_variables(rows.select("event_id", P.context(name, at(KINDS, 13), F.col("source"), origin, at(OWNERS, 4)).alias("context")), chain.ordered())
