@@ -13,6 +13,11 @@ from ferrylake.schemas import ENTITY_TYPES, LEDGER
 from ferrylake.sources.sinks import publish, published
 
 
+def no_rows(spark: SparkSession) -> DataFrame:
+    """An empty ledger that the optimizer knows to be empty, so joins with it cost nothing."""
+    return spark.range(0).where("false").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in LEDGER))
+
+
 class LedgerTable:
     """Reads and writes touch the folder of their type only. A snapshot is complete before its pointer is written, so a run
     that ends in between leaves the old state. (src_id, type) is the key: a delta that holds one twice is an error."""
@@ -27,7 +32,7 @@ class LedgerTable:
     def read(self, kind: str) -> DataFrame:
         """The type's rows; none where it was never written."""
         if self._last.get(kind) is None:
-            self._last[kind] = published(self.spark, self.folder(kind)) if self._there(kind) else self.spark.createDataFrame([], LEDGER)
+            self._last[kind] = published(self.spark, self.folder(kind)) if self._there(kind) else no_rows(self.spark)
         return self._last[kind]
 
     def _there(self, kind: str) -> bool:
@@ -42,9 +47,9 @@ class LedgerTable:
         name = publish(rows, self.folder(kind), name)
         self._last[kind] = self.spark.read.schema(LEDGER).parquet(f"{self.folder(kind)}/{name}")
 
-    def upsert(self, kind: str, delta: DataFrame, save_reason: bool = True, name: str | None = None) -> None:
-        """The type's next snapshot, under a name where one is given. `delta`: what was tried of this type."""
-        if not delta.groupBy("src_id").count().where("count > 1").isEmpty():
+    def upsert(self, kind: str, delta: DataFrame, save_reason: bool = True, name: str | None = None, unique: bool = False) -> None:
+        """The type's next snapshot, under a name where one is given. `delta`: what was tried of this type; `unique`: it is known to hold no id twice."""
+        if not unique and not delta.groupBy("src_id").count().where("count > 1").isEmpty():
             raise ValueError(f"a {kind} is there twice")
         self.write(kind, L.upsert(self.read(kind), delta, save_reason), name)
 

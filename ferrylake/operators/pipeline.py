@@ -70,7 +70,8 @@ def read(ledger: DataFrame | LedgerTable, kind: str) -> DataFrame:
 def one_row_an_id(source: DataFrame, spec: Pipeline, counter: Callable[[Column], Column] | None, drawn: Column | None) -> DataFrame:
     """src_id, own (all columns of the source), time, drawn, number, and what each check needs: c (fails), p (parent's id), n (needed).
 
-    All that reads a source column by name is computed here, so no name of a source column meets one of ours.
+    All that reads a source column by name is computed here, so no name of a source column meets one of ours. Only the
+    source's columns are shuffled and sorted, once each; the rest follows from the row that counts.
     """
     if len({c.lower() for c in source.columns}) < len(source.columns):
         raise ValueError("the source has columns whose names differ in case only")
@@ -83,23 +84,30 @@ def one_row_an_id(source: DataFrame, spec: Pipeline, counter: Callable[[Column],
         else:
             fields |= {f"p{i}": F.col(c.column).cast("string"), f"n{i}": F.coalesce(F.expr(c.needed), F.lit(False))}
     orderable = not any(x in source.schema.simpleString() for x in ("map<", "variant"))
-    total = F.struct(*(F.col(o) for o in spec.order), own if orderable else F.to_json(own))
-    one = source.where(key.isNotNull()).select(key.cast("string").alias("src_id"), F.struct(*(x.alias(k) for k, x in fields.items())).alias("x"), total.alias("o"))
-    return one.groupBy("src_id").agg(F.min_by("x", "o").alias("x")).select("src_id", "x.*")
+    first = [F.col(o).alias(f"_{i}") for i, o in enumerate(spec.order)]
+    least = F.min(F.struct(*first, own.alias("own"))) if orderable else F.min_by(F.struct(own.alias("own")), F.struct(*first, F.to_json(own)))
+    name = "src_id"
+    while name in {c.lower() for c in source.columns}:
+        name += "_"
+    one = source.where(key.isNotNull()).groupBy(key.cast("string").alias(name)).agg(least.alias("o")).select(name, "o.own.*")
+    return one.select(F.col(name).alias("src_id"), F.struct(*(x.alias(k) for k, x in fields.items())).alias("x")).select("src_id", "x.*")
 
 
-def tried(source: DataFrame, ledger: DataFrame | LedgerTable, spec: Pipeline, counter: Callable[[Column], Column] | None = None, drawn: Column | None = None, retry: bool = False, resume: bool = False) -> DataFrame:
+def tried(source: DataFrame, ledger: DataFrame | LedgerTable, spec: Pipeline, counter: Callable[[Column], Column] | None = None, drawn: Column | None = None, retry: bool = False, resume: bool = False, keep_own: bool = True) -> DataFrame:
     """What becomes of the rows of `source` whose turn it is: src_id, tgt_key, skip_reason, partition_id, create_time, parents (their keys by name), own (all columns of the source).
 
     A repeated id is one row. Each parent costs one join with the ledger's rows of its type; hot parents are split by adaptive
     execution. Keys come from `counter` of the id, which must be unique, or else from hashes that don't collide. `resume`: a first
-    run reads only rows later than the latest that the ledger knows of the type.
+    run reads only rows later than the latest that the ledger knows of the type. Without `keep_own` the columns of the source
+    go no further than needed, and `own` is null.
     """
     if spec.only:
         source = source.where(spec.only)
     if resume and spec.time and not retry:
         source = later(source, spec.time, read(ledger, spec.kind))
     rows = one_row_an_id(source, spec, counter, drawn)
+    if not keep_own:
+        rows = rows.withColumn("own", F.lit(None).cast(rows.schema["own"].dataType))
     mine = read(ledger, spec.kind).select("src_id", F.col("tgt_key").isNotNull().alias("_moved"))
     rows = rows.join(mine.where("NOT _moved").select("src_id"), "src_id", "left_semi") if retry else rows.join(mine.select("src_id"), "src_id", "left_anti")
     for i, p in enumerate(spec.checks):
@@ -190,13 +198,15 @@ def run(sources: dict[str, DataFrame], ledger: DataFrame | LedgerTable, specs: l
     for spec in sorted(specs, key=lambda s: HISTORY_TYPES.index(s.kind)):
         if spec.kind in sources:
             seen = Observation()
-            rows = tried(sources[spec.kind], ledger, spec, retry=retry, resume=resume, **how)
-            rows = staged(rows.observe(seen, F.count_if(L.has_moved()).alias("moved"), F.count_if(L.is_skipped()).alias("skipped")), "tried")
-            if counts is not None:
-                counts[spec.kind] = (int(seen.get["moved"]), int(seen.get["skipped"]))
+            rows = tried(sources[spec.kind], ledger, spec, retry=retry, resume=resume, keep_own=target is not None, **how)
+            rows = rows.observe(seen, F.count_if(L.has_moved()).alias("moved"), F.count_if(L.is_skipped()).alias("skipped"))
             if target:
+                rows = staged(rows, "tried")
                 target(spec, moved(rows))
-            ledger.upsert(spec.kind, delta(rows, spec), save_reason)
+            # `tried` has a row an id, so nothing is looked for twice; without a target, rows are written once, as the ledger's.
+            ledger.upsert(spec.kind, delta(rows, spec), save_reason, unique=True)
+            if counts is not None:
+                counts[spec.kind] = (int(seen.get["moved"]), int(seen.get["skipped"]))
     return ledger.all()
 
 

@@ -1,7 +1,13 @@
 """What keeps queries within limits on larger tables: joins that are not broadcast, rows that are dealt out."""
 
+import os
+
+from ferrylake.operators import pipeline as P
+from ferrylake.operators.ledger_table import LedgerTable
+from ferrylake.operators.pipeline import Pipeline, Rule
 from ferrylake.plans import diagrams, trees
 from ferrylake.sources import scans
+from ferrylake.sources.staging import shared_dir
 from oracle import connect, differences
 
 
@@ -23,3 +29,21 @@ def test_documents_of_a_small_file_are_dealt_out(spark, small):
     made = diagrams.diagrams(spark, small)
     assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert scans.spread(spark.range(11), 2).rdd.getNumPartitions() == 6 and scans.spread(spark.range(11), 2).count() == 11
+
+
+def test_history_writes_and_joins_no_more_than_it_needs(spark, small, tmp_path):
+    source = spark.createDataFrame([(2, "b", 5), (1, "a", 7), (1, "a", 3), (None, "c", 1)], "id int, src_id string, v int")
+    spec = Pipeline("form definition", "id", None, (Rule("v > 4", "too large"),), ("src_id",))
+    ledger = LedgerTable(spark, str(tmp_path / "ledger"))
+    rows = P.tried(source, ledger, spec, counter=lambda x: x.cast("long"))
+    assert "Join" not in plan(rows) and plan(rows).count("Exchange") == 1
+    assert sorted((r.src_id, r.skip_reason, r.own.v, r.own.src_id) for r in rows.collect()) == [("1", None, 3, "a"), ("2", "too large", 5, "b")]
+    staged, counts = set(staged_folders(spark)), {}
+    P.run({"form definition": source}, ledger, [spec], counts=counts, counter=lambda x: x.cast("long"))
+    assert counts == {"form definition": (1, 1)} and set(staged_folders(spark)) == staged
+    assert sorted((r.src_id, r.tgt_key is None) for r in ledger.read("form definition").collect()) == [("1", False), ("2", True)]
+
+
+def staged_folders(spark):
+    at = shared_dir(spark).removeprefix("file://")
+    return [x for x in os.listdir(at) if x.startswith("tried-")]
