@@ -2,6 +2,7 @@
 
 import os
 
+from ferrylake.operators import identity
 from ferrylake.operators import pipeline as P
 from ferrylake.operators.ledger_table import LedgerTable
 from ferrylake.operators.pipeline import Pipeline, Rule
@@ -47,3 +48,12 @@ def test_history_writes_and_joins_no_more_than_it_needs(spark, small, tmp_path):
 def staged_folders(spark):
     at = shared_dir(spark).removeprefix("file://")
     return [x for x in os.listdir(at) if x.startswith("tried-")]
+
+
+def test_pairs_of_a_deployment_are_not_shuffled(spark):
+    auth = spark.createDataFrame([(1, "d"), (1, "d"), (2, "d"), (2, "e"), (None, "d"), (None, "e"), (3, None), (4, "x")], "id int, resource_id string")
+    resources = spark.createDataFrame([("d", "a"), ("d", "a"), ("d", "b"), ("e", "a"), (None, "z")], "deployment string, resource_key string")
+    found = identity.by_deployment(auth, resources)
+    assert sorted((r.id or 0, r.resource_id) for r in found.collect()) == [(0, "a"), (0, "b"), (1, "a"), (1, "b"), (2, "a"), (2, "b")]
+    top = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert top[0].startswith("Union") and top[1].startswith(":- Project")  # before: an Aggregate over all pairs
