@@ -11,8 +11,9 @@ run of bytes. Grams are the first buckets:
 
 1. Each chunk of documents tells the owners of grams which grams it holds: hash bits only. An owner answers with a grade
    for each: in no other document, in several, or in very many chunks.
-2. Chunks send the runs of grams in several documents, equal runs of a chunk once. Starts of a gram in very many chunks go
-   one by one to the owners of their whole strings, so no owner gathers a frequent phrase with all its contexts.
+2. Chunks send the runs of grams in several documents, equal runs of a chunk once. A run of a gram in very many chunks goes
+   to the owners of the 33 bytes that end with its gram and of those that begin with it: LENGTH bytes around a gram hold
+   one of these, so no owner gathers a frequent phrase with all its contexts, and no start is sent by itself.
 3. Owners find equal runs, refine what is left, and answer with the spans to remove.
 
 Texts are moved once, to where their chunk stays; grades and spans are sent there, and a union under one partitioner brings
@@ -42,8 +43,14 @@ LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1
 #: A gram in so many chunks is very frequent.
 MANY_CHUNKS = 512
-#: Bytes of text in a chunk, in the text that one owner of grams answers for, and in a pass over starts.
-CHUNK, OWNED, STRETCH = 1 << 21, 3 << 20, 1 << 20
+#: Bytes beside a gram, on one side or on the other, that any LENGTH bytes around it hold.
+BESIDE = (REACH - 1) // 2
+#: Bytes of text in a chunk, in the text that one owner of grams answers for, and in a pass over starts. Each chunk sends to
+#: each owner, so both are large: small messages take more for themselves than for what they hold.
+CHUNK, OWNED, STRETCH = 1 << 22, 24 << 20, 1 << 20
+#: Bytes of runs that an owner looks at together; all runs of a gram are among them.
+LOOKED_AT = 4 << 20
+_CODEC = pa.Codec("zstd", compression_level=3)
 _POSITION = np.uint64((1 << 21) - 1)
 _BITS = 48
 
@@ -55,11 +62,11 @@ def same(key: int) -> int:
 
 def packed(x: object) -> bytes:
     raw = pickle.dumps(x, 5)
-    return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+    return struct.pack("<q", len(raw)) + _CODEC.compress(raw, asbytes=True)
 
 
 def unpacked(x: bytes) -> object:
-    return pickle.loads(pa.decompress(x[8:], struct.unpack("<q", x[:8])[0], codec="zstd", asbytes=True))
+    return pickle.loads(_CODEC.decompress(x[8:], struct.unpack("<q", x[:8])[0], asbytes=True))
 
 
 def planes(x: np.ndarray) -> np.ndarray:
@@ -71,6 +78,16 @@ def whole(x: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(x.T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
+def words_at(raw: np.ndarray, at: int = 0) -> np.ndarray:
+    """The eight bytes from each place on, the first of them `at`, as numbers."""
+    return np.ndarray((max(0, len(raw) - at - 7),), np.uint64, np.ascontiguousarray(raw), at, (1,)) if len(raw) - at > 7 else np.zeros(0, np.uint64)
+
+
+def gram_hash(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(lo + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD1342543DE82EF95) + hi)
+
+
 class Runs:
     """Runs of a chunk: first start, number of starts, place of the gram after the first start, gram's hash, document."""
 
@@ -88,10 +105,7 @@ class Runs:
     def stretch(raw: np.ndarray, ok: np.ndarray, a: int) -> tuple[np.ndarray, ...]:
         some = raw[a : a + STRETCH + LENGTH - 1]
         m = len(some) - GRAM + 1
-        lo = np.ndarray((m,), np.uint64, np.ascontiguousarray(some), 0, (1,))
-        hi = np.ndarray((m,), np.uint64, np.ascontiguousarray(some), GRAM - 8, (1,))
-        with np.errstate(over="ignore"):
-            h = mix(mix(lo + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD1342543DE82EF95) + hi)
+        h = gram_hash(words_at(some)[:m], words_at(some, GRAM - 8))
         low = (h & ~_POSITION) | np.arange(m, dtype=np.uint64)
         width = 1
         while 2 * width <= REACH:
@@ -201,13 +215,9 @@ def offer(key: int, name: int, chunk: Chunk, grades: dict[int, np.ndarray], owne
     _, _, to, index = asked(chunk, runs, owners)
     graded = np.concatenate([grades[o] for o in np.unique(to).tolist()]) if len(to) else np.zeros(0, np.uint8)
     g = graded[index]
-    # Starts of very frequent grams are runs of their own.
-    times = np.where(g == 2, runs.count, 1)
-    keep = np.repeat(np.arange(len(g)), np.where(g == 0, 0, times))
-    step = np.arange(len(keep)) - np.repeat(np.cumsum(np.where(g == 0, 0, times)) - np.where(g == 0, 0, times), np.where(g == 0, 0, times))
-    hot = g[keep] == 2
-    start, place, gram, doc = runs.start[keep] + step, runs.place[keep] - step, runs.gram[keep], runs.doc[keep]
-    length = np.where(hot, 1, runs.count[keep]) + LENGTH - 1
+    keep = np.flatnonzero(g)
+    start, place, gram, doc, hot = runs.start[keep], runs.place[keep], runs.gram[keep], runs.doc[keep], g[keep] == 2
+    length = runs.count[keep] + LENGTH - 1
     if not len(start):
         return
     order, begins = texts_alike(chunk.raw, start, length, place)
@@ -216,25 +226,23 @@ def offer(key: int, name: int, chunk: Chunk, grades: dict[int, np.ndarray], owne
     least[order] = by_value(ids[order], begins, np.minimum)
     gone = ids > least
     if gone.any():
-        yield key % owners, (key, name, None, packed((doc[gone].astype(np.int32), start[gone] - chunk.offsets[doc[gone]], length[gone].astype(np.int32))))
+        yield key % owners, (key, name, None, packed((planes(start[gone]), length[gone].astype(np.uint8))))
     left = np.flatnonzero(~gone)
-    start, length, place, gram, doc, hot = (x[left] for x in (start, length, place, gram, doc, hot))
-    # The owner of a frequent gram's start is that of its whole string.
-    where = gram.copy()
+    start, length, place, gram, ids, hot = (x[left] for x in (start, length, place, gram, ids, hot))
+    ways = [(np.flatnonzero(~hot), gram[~hot])]
     if hot.any():
-        i = np.flatnonzero(hot)
-        strings = gathered(chunk.raw, start[i], length[i]).reshape(len(i), LENGTH)
-        h = gram[i]
-        with np.errstate(over="ignore"):
-            for k in (*range(0, LENGTH - 7, 8), LENGTH - 8):
-                h = mix(h * np.uint64(0xD1342543DE82EF95) + np.ascontiguousarray(strings[:, k : k + 8]).view(np.uint64).reshape(-1))
-        where[i] = h
-    to = (mix(where) % np.uint64(owners)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-        body = gathered(chunk.raw, start[at], length[at])
-        own = (gram[at], chunk.ids[doc[at]], doc[at].astype(np.int32), start[at] - chunk.offsets[doc[at]], length[at].astype(np.uint8), place[at].astype(np.uint8), body)
-        owner = int(to[at[0]])
+        eight = words_at(chunk.raw)
+        for back, there in ((BESIDE, place >= BESIDE), (0, place + GRAM + BESIDE <= length)):
+            i = np.flatnonzero(hot & there)
+            h = gram[i]
+            with np.errstate(over="ignore"):
+                for k in (*range(0, GRAM + BESIDE - 7, 8), GRAM + BESIDE - 8):
+                    h = mix(h * np.uint64(0xD1342543DE82EF95) + eight[start[i] + place[i] - back + k])
+            ways.append((i, h))
+    which, where = (np.concatenate(x) for x in zip(*ways, strict=True))
+    to, which = np.divmod(np.unique((mix(where) % np.uint64(owners)).astype(np.int64) * len(start) + which), len(start))
+    for at, owner in ((which[x], int(to[x[0]])) for x in np.split(np.arange(len(to)), np.flatnonzero(np.diff(to)) + 1)):
+        own = (planes(ids[at]), planes(start[at]), length[at].astype(np.uint8), place[at].astype(np.uint8), gathered(chunk.raw, start[at], length[at]))
         yield owner, (key, name, owner, packed(own))
 
 
@@ -269,19 +277,39 @@ def refined(body: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np
 def answer(blobs: list[tuple]) -> Iterator[tuple[int, tuple]]:
     """Spans to remove of the runs that came to one owner."""
     some = [unpacked(b[-1]) for b in blobs]
-    gram, ids, doc, start, length, place, body = (np.concatenate(x) for x in zip(*some, strict=True))
-    source = np.repeat(np.arange(len(blobs)), [len(x[0]) for x in some])
+    length, place, body = (np.concatenate([x[i] for x in some]) for i in (2, 3, 4))
+    ids, start = (np.concatenate([whole(x[i]) for x in some]).view(np.int64) for i in (0, 1))
+    source = np.repeat(np.arange(len(blobs), dtype=np.int32), [len(x[2]) for x in some])
     del some
-    length = length.astype(np.int64)
-    begin = np.cumsum(length) - length
+    begin = np.cumsum(length, dtype=np.int64) - length
+    eight = words_at(body)
+    gram = gram_hash(eight[begin + place], eight[begin + place + GRAM - 8])
     # Grams of one doc_id have nothing to lose.
     order, begins = groups(gram)
     alone = np.empty(len(order), bool)
     alone[order] = by_value(ids[order], begins, np.minimum) == by_value(ids[order], begins, np.maximum)
-    at = np.flatnonzero(~alone)
-    gram, ids, doc, start, length, place, source, begin = (x[at] for x in (gram, ids, doc, start, length, place, source, begin))
+    at = order[~alone[order]]
     if not len(at):
         return
+    # Runs of a gram side by side; parts begin with a gram.
+    size = np.cumsum(length[at], dtype=np.int64)
+    part = by_value(size // LOOKED_AT, np.flatnonzero(np.concatenate([[True], gram[at[1:]] != gram[at[:-1]]])), np.minimum)
+    out = []
+    for some in np.split(at, np.flatnonzero(np.diff(part)) + 1):
+        n = length[some].astype(np.int64)
+        out.append((source[some], *spans_of(gram[some], ids[some], start[some], n, place[some], gathered(body, begin[some], n))))
+    # A run's own numbers are those of its part.
+    source, start, size = (np.concatenate(x) for x in zip(*((s[run], begins, sizes) for s, run, begins, sizes in out), strict=True))
+    order = np.lexsort((start, source))
+    source, start, size = source[order], start[order], size[order]
+    for at in np.split(np.arange(len(source)), np.flatnonzero(np.diff(source)) + 1) if len(source) else []:
+        key, name, *_ = blobs[source[at[0]]]
+        yield key, ("span", name, packed((planes(start[at]), size[at].astype(np.uint8))))
+
+
+def spans_of(gram: np.ndarray, ids: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs with their bytes one after another: which lose something, and where that begins and how long it is."""
+    begin = np.cumsum(length) - length
     # Equal runs: all but those of the smallest doc_id go.
     order, begins = texts_alike(body, begin, length, place)
     kind = np.empty(len(order), np.int64)
@@ -315,11 +343,7 @@ def answer(blobs: list[tuple]) -> Iterator[tuple[int, tuple]]:
         run = m_order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which]]
         out.append((run, step[edge][which], (step[stop] - step[edge])[which] + LENGTH))
     run, skip, size = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
-    order = np.argsort(source[run], kind="stable")
-    run, skip, size = run[order], skip[order], size[order]
-    for at in np.split(np.arange(len(run)), np.flatnonzero(np.diff(source[run])) + 1) if len(run) else []:
-        key, name, *_ = blobs[source[run[at[0]]]]
-        yield key, ("span", name, packed((doc[run[at]], start[run[at]] + skip[at], size[at].astype(np.int32))))
+    return run, start[run] + skip, size
 
 
 def cut(chunk: Chunk, spans: list[bytes]) -> pa.RecordBatch:
@@ -327,8 +351,8 @@ def cut(chunk: Chunk, spans: list[bytes]) -> pa.RecordBatch:
     n = len(chunk.raw)
     cover = np.zeros(n + 1, np.int32)
     for blob in spans:
-        doc, start, length = unpacked(blob)
-        at = chunk.offsets[doc] + start
+        start, length = unpacked(blob)
+        at = whole(start).view(np.int64)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + length, -1)
     gone = np.cumsum(cover[:n]) > 0

@@ -107,3 +107,30 @@ def test_spans_and_kept_bytes_make_up_the_text(spark):
     for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         assert r.n_bytes == len(r.kept) + sum(s.length for s in r.spans)
         assert all(a.start + a.length < b.start for a, b in zip(r.spans, r.spans[1:]))
+
+
+def test_very_frequent_grams_are_not_sent_start_by_start(monkeypatch):
+    """Runs of grams in very many chunks take about the bytes that they take elsewhere, with the same result."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    common = [" ".join(word() for _ in range(12)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(common) if rng.random() < 0.5 else word() for _ in range(60))) for i in range(120)]
+    chunks, sent = [local_chunk(some) for some in (rows[:60], rows[60:])], []
+
+    def counted(*args, offer=repeats.offer):
+        for x in offer(*args):
+            sent[-1] += len(x[1][3])
+            yield x
+
+    monkeypatch.setattr(repeats, "offer", counted)
+    for many in (1 << 30, 1):
+        monkeypatch.setattr(repeats, "MANY_CHUNKS", many)
+        sent.append(0)
+        assert sorted(local(chunks), key=repr) == reference(rows)
+    assert sent[1] < 2.2 * sent[0]
+
+
+def test_owners_look_at_runs_in_parts(monkeypatch):
+    rows = made(13)
+    monkeypatch.setattr(repeats, "LOOKED_AT", 500)
+    assert sorted(local([local_chunk(some) for some in (rows[:25], rows[25:])]), key=repr) == reference(rows)
