@@ -117,8 +117,8 @@ class Catalogue:
         if len(set(ids)) < len(ids):
             raise ValueError(f"rule ids repeat: {sorted({i for i in ids if ids.count(i) > 1})}")
 
-    def held(self, version: Column | int, options: dict[str, object] | None) -> list[tuple[Rule, Node, Column]]:
-        """Rules that may hold, with what they see and their condition."""
+    def held(self, version: Column | int | None, options: dict[str, object] | None) -> list[tuple[Rule, Node, Column]]:
+        """Rules that may hold, with what they see and their condition; without a version that of no version."""
         unknown = set(options or ()) - set(self.options)
         if unknown:
             raise ValueError(f"no options {sorted(unknown)}")
@@ -128,6 +128,8 @@ class Catalogue:
                 continue
             parts = []
             for bound, low in ((r.since, True), (r.until, False)):
+                if version is None:
+                    continue
                 if bound is not None and isinstance(version, int):
                     parts.append((version >= bound) == low)
                 elif bound is not None:
@@ -202,6 +204,19 @@ class Catalogue:
         found = nodes.where("error IS NULL").select("doc_id", "node", "tag", *keep, F.posexplode(self.findings(version, options)).alias("position", "f"))
         return found.select("doc_id", "node", "tag", *keep, "position", "f.*")
 
+    def check_at(self, nodes: DataFrame, versions: dict[str, int], options: dict[str, object] | None = None, only: Iterable[str] | None = None) -> DataFrame:
+        """doc_id, node, version, rule: what `check` finds at each of these versions, by their names; of the rules in `only`, where given.
+
+        The versions that a rule is for are known beforehand, so each condition is looked at once a node.
+        """
+        one = []
+        for r, _, held in self.held(None, options):
+            at = [k for k, n in versions.items() if (r.since is None or n >= r.since) and (r.until is None or n < r.until)]
+            if at and (only is None or r.id in only):
+                one.append((r, F.when(held, F.struct(F.lit(r.id).alias("rule"), F.array(*map(F.lit, at)).alias("versions")))))
+        found = nodes.where("error IS NULL").select("doc_id", "node", F.explode(self.gathered("array<struct<rule:string,versions:array<string>>>", one)).alias("f"))
+        return found.select("doc_id", "node", F.explode("f.versions").alias("version"), F.col("f.rule").alias("rule"))
+
     def script(self, nodes: DataFrame, version: Column | int, options: dict[str, object] | None = None) -> DataFrame:
         """The edit script: one row an edit, `ordinal` is its place among those of its node."""
         found = nodes.where("error IS NULL").select("doc_id", F.posexplode(self.edits(version, options)).alias("ordinal", "e"), F.col("node").alias("of"))

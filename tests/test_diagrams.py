@@ -87,3 +87,15 @@ def test_scopes_by_intervals(spark):
         want[r["doc_id"], r["node"]] = at["node"] if at else None
     found = nearest_scope(nodes, nodes.where("tag = 'g'")).collect()
     assert len(found) == len(rows) and {(r.doc_id, r.node): r.scope for r in found} == want
+
+
+def test_a_node_is_looked_at_once_for_all_versions(spark):
+    """`check_at` finds what `check` finds at each version."""
+    texts = [f'<process id="p" {C.PROCESS[0]}>{x}</process>' for x, _ in C.CASES]
+    nodes, versions = nodes_of(spark, *texts, "<broken"), {x: C.v(x) for x in C.VERSIONS}
+    for options in (None, {"keep_blank": True}):
+        want = sorted((r.doc_id, r.node, x, r.rule) for x, n in versions.items() for r in C.CATALOGUE.check(nodes, n, options).select("doc_id", "node", "rule").collect())
+        found = C.CATALOGUE.check_at(nodes, versions, options).select("doc_id", "node", "version", "rule").collect()
+        assert want and sorted(map(tuple, found)) == want
+    some = C.CATALOGUE.check_at(nodes, versions, None, ["priority-old"]).collect()
+    assert some and {r.rule for r in some} == {"priority-old"}
