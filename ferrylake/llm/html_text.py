@@ -56,7 +56,8 @@ _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+)*+)>")
 #: A tag up to the first ">", even in quotes.
 _CUT_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_SPACE = re.compile(r"[ \t\n\r\f]+")
+#: White space that is not one blank already, so that most blanks stay where they are.
+_SPACE = re.compile(r"[\t\n\r\f][ \t\n\r\f]*+| [ \t\n\r\f]++")
 #: Tables nested deeper than this are written as plain blocks.
 DEEPEST_TABLE = 12
 #: Columns that a cell may span, and first columns in which cells may span rows.
@@ -158,7 +159,8 @@ def build(page: str) -> tuple[Node, list[page_styles.Rule]]:
 
 
 def _cut(stack: list[Node], inside: Counter[str], i: int) -> None:
-    inside.subtract(x.tag for x in stack[i:])
+    for x in stack[i:]:
+        inside[x.tag] -= 1
     del stack[i:]
 
 
@@ -439,7 +441,7 @@ def links(root: Node) -> list[tuple[str, str]]:
     out, work = [], [root]
     while work:
         x = work.pop()
-        for name in ("href", "src"):
+        for name in ("href", "src") if x.attrs else ():
             if x.attrs.get(name):
                 out.append((f"{x.tag.upper()}@/{name}", x.attrs[name].strip()))
         work.extend(c for c in reversed(x.children) if not isinstance(c, str))
