@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from xml.etree.ElementTree import Element
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONVERTED = "doc_id string, xml string, applied int, error string"
@@ -36,22 +39,67 @@ def convert(docs: DataFrame, id_column: str, column: str, script: DataFrame) ->
     return some(texts).cogroup(some(script)).applyInPandas(run, CONVERTED)
 
 
+def convert_nodes(nodes: DataFrame, edits: Column) -> DataFrame:
+    """What `convert` gives, from the nodes of `xml_nodes` with their `source` and the array of edits of each node.
+
+    The nodes of a document stand one after another from its first on, and nothing between their scan and this one moves
+    them, so each document meets its own edits as they stream through: nothing is shuffled, sorted or held but one document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc: str | None = None
+        text: str | None = None
+        held: list | None = None
+
+        def done() -> tuple:
+            held.sort(key=lambda e: e[0])  # stable: nodes and ordinals are in order
+            return doc, *edited(text, [e[1:] for e in held])
+
+        def batch(out: list) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "xml", "applied", "error"])
+
+        for b in batches:
+            found = b.column(3).flatten()
+            attrs = found.field("attrs")
+            names, values, at = attrs.keys.to_pylist(), attrs.items.to_pylist(), attrs.offsets.to_pylist()
+            pairs = [list(zip(names[i:j], values[i:j], strict=True)) if j > i else () for i, j in zip(at, at[1:], strict=False)]
+            order = zip(found.field("phase").to_pylist(), found.field("priority").to_pylist(), strict=True)
+            rows = list(zip(order, *(found.field(k).to_pylist() for k in ("node", "action", "name", "value")), pairs, strict=True))
+            at, out = 0, []
+            sizes = pc.fill_null(pc.list_value_length(b.column(3)), 0).to_pylist()
+            for d, n, t, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), sizes, strict=True):
+                if not n:  # a document's first node, or its error
+                    if held is not None:
+                        out.append(done())
+                    doc, text, held = d, t, []
+                held += rows[at : at + size]
+                at += size
+            if out:
+                yield batch(out)
+        if held is not None:
+            yield batch([done()])
+
+    return nodes.select("doc_id", "node", "source", F.when(F.col("error").isNull(), edits).alias("edits")).mapInArrow(run, CONVERTED)
+
+
 def edited(text: str | None, rows: list) -> tuple[str | None, int, str | None]:
     """One document with its edits in order: XML, how many were applied, error."""
     import io
     import xml.etree.ElementTree as ET
 
     try:
-        names = [v for _, v in ET.iterparse(io.BytesIO((text or "").encode()), ["start-ns"])]
-        for prefix, uri in names:
-            ET.register_namespace(prefix, uri)
+        if "xmlns" in (text or ""):  # no other document declares a prefix
+            names = [v for _, v in ET.iterparse(io.BytesIO(text.encode()), ["start-ns"])]
+            for prefix, uri in names:
+                ET.register_namespace(prefix, uri)
         root = ET.fromstring(text or "")
     except ET.ParseError as e:
         return None, 0, f"not well-formed: {e}"
     except ValueError:  # a prefix that is kept for generated ones
         root = ET.fromstring(text or "")
     nodes = list(root.iter())
-    above = {c: p for p in nodes for c in p}
+    above = {c: p for p in nodes for c in p} if any(r[1] == "drop" for r in rows) else {}
     gone: set = set()
     applied = 0
     for node, action, name, value, attrs in rows:
@@ -66,7 +114,7 @@ def edited(text: str | None, rows: list) -> tuple[str | None, int, str | None]:
             above[x].remove(x)
             gone.update(x.iter())
         elif action == "strip":
-            for k in [k for k in x.attrib if k.rsplit("}", 1)[-1] == name]:
+            for k in [k for k in x.attrib if k == name or k.endswith("}" + name)]:
                 del x.attrib[k]
         elif action == "set":
             x.set(name, value or "")
@@ -75,8 +123,48 @@ def edited(text: str | None, rows: list) -> tuple[str | None, int, str | None]:
         elif action == "append":
             c = ET.SubElement(x, name, {k: v for k, v in sorted(dict(attrs or {}).items()) if v is not None})
             c.text = value
-    ET.indent(root, "  ")
-    return ET.tostring(root, "unicode"), applied, None
+    plain = laid_out(root)
+    if plain is None:
+        ET.indent(root, "  ")
+        plain = ET.tostring(root, "unicode")
+    return plain, applied, None
+
+
+_TEXT = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;"})
+_ATTRIBUTE = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "\r": "&#13;", "\n": "&#10;", "\t": "&#09;"})
+
+
+def laid_out(root: Element) -> str | None:
+    """The XML of an element, indented by two, in one walk; None where it has names in a namespace, which need prefixes."""
+    out: list[str] = []
+
+    def write(x: Element, line: str) -> bool:
+        tag, text = x.tag, x.text
+        if tag[:1] == "{":
+            return False
+        out.append(f"<{tag}")
+        for k, v in x.items():
+            if k[:1] == "{":
+                return False
+            out.append(f' {k}="{v if v.isalnum() else v.translate(_ATTRIBUTE)}"')
+        if len(x):
+            below = line + "  "
+            out.append(f">{text.translate(_TEXT)}" if text and text.strip() else f">{below}")
+            last = len(x) - 1
+            for i, c in enumerate(x):
+                if not write(c, below):
+                    return False
+                tail = c.tail
+                out.append(tail.translate(_TEXT) if tail and tail.strip() else line if i == last else below)
+        elif not text:
+            out.append(" />")
+            return True
+        else:
+            out.append(f">{text.translate(_TEXT)}")
+        out.append(f"</{tag}>")
+        return True
+
+    return "".join(out) if write(root, "\n") else None
 
 
 def nearest_scope(nodes: DataFrame, scopes: DataFrame) -> DataFrame:

@@ -219,5 +219,6 @@ class Catalogue:
 
     def script(self, nodes: DataFrame, version: Column | int, options: dict[str, object] | None = None) -> DataFrame:
         """The edit script: one row an edit, `ordinal` is its place among those of its node."""
-        found = nodes.where("error IS NULL").select("doc_id", F.posexplode(self.edits(version, options)).alias("ordinal", "e"), F.col("node").alias("of"))
-        return found.select("doc_id", "of", "ordinal", "e.*")
+        # The outer form: Spark would look for empty arrays below the other one, and compute the edits of a node three times.
+        found = nodes.where("error IS NULL").select("doc_id", F.posexplode_outer(self.edits(version, options)).alias("ordinal", "e"), F.col("node").alias("of"))
+        return found.where("ordinal IS NOT NULL").select("doc_id", "of", "ordinal", "e.*")

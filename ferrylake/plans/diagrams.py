@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylake.operators.convert import convert, nearest_scope
+from ferrylake.operators.convert import convert_nodes, nearest_scope
 from ferrylake.plans import catalogue as C
 from ferrylake.sources import scans
 from ferrylake.sources.scans import table
@@ -66,8 +66,8 @@ def _coverage() -> str:
 def xml_convert(spark: SparkSession, d: str) -> DataFrame:
     """Documents converted for the last version. Fragments 0, 2 and 4 only: those that golden documents are written for."""
     docs = scans.spread(table(spark, d, "part").select("p_partkey", "p_name")).select(F.col("p_partkey").alias("doc_id"), C.document(F.pmod("p_partkey", F.lit(3)) * 2, F.col("p_name")).alias("xml"))
-    nodes = scans.xml_nodes(docs, "doc_id", "xml")
-    return convert(docs, "doc_id", "xml", C.CATALOGUE.script(nodes, C.v("8.10"))).select(F.col("doc_id").cast("long").alias("doc_id"), "xml", "applied")
+    nodes = scans.xml_nodes(docs, "doc_id", "xml", source=True)
+    return convert_nodes(nodes, C.CATALOGUE.edits(C.v("8.10"))).select(F.col("doc_id").cast("long").alias("doc_id"), "xml", "applied")
 
 
 #: Converted fragments, written by hand.

@@ -143,11 +143,12 @@ def spread(df: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
     return df.repartition(max(cores, -(-df.count() // rows)))
 
 
-def xml_nodes(docs: DataFrame, id_column: str, column: str) -> DataFrame:
+def xml_nodes(docs: DataFrame, id_column: str, column: str, source: bool = False) -> DataFrame:
     """Elements of each XML document in pre-order. A document that cannot be parsed gives one row with its error.
 
     `last` is the last node below an element, so (node, last) is its interval: x lies in y when y.node <= x.node <= y.last.
-    `kids` are its children's tags, `owner` is the nearest ancestor that is no container of extensions.
+    `kids` are its children's tags, `owner` is the nearest ancestor that is no container of extensions. With `source`, the
+    first row of a document carries its text in a column of this name.
     """
 
     def walk(key: str, text: str | None) -> Iterator[tuple]:
@@ -163,7 +164,8 @@ def xml_nodes(docs: DataFrame, id_column: str, column: str) -> DataFrame:
         while work:
             x, parent, depth, owner = work.pop()
             n, tag = len(order), local(x.tag)
-            order.append((x, parent, depth, tag, owner, {local(k): v for k, v in x.attrib.items()}))
+            attrs = x.attrib
+            order.append((x, parent, depth, tag, owner, {local(k): v for k, v in attrs.items()} if "}" in "".join(attrs) else attrs))
             below = owner if tag in CONTAINERS and owner >= 0 else n
             work.extend((c, n, depth + 1, below) for c in reversed(x))
         last = list(range(len(order)))
@@ -192,8 +194,13 @@ def xml_nodes(docs: DataFrame, id_column: str, column: str) -> DataFrame:
         for b in batches:
             for at in range(0, len(b), 200):
                 some = b.slice(at, 200)
-                rows = [r for k, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True) for r in walk(k, t)]
+                rows, texts = [], []
+                for k, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    rows += walk(k, t)
+                    if source:
+                        texts += [t, *[None] * (len(rows) - len(texts) - 1)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([column_of(k, v) for k, v in zip(kinds, zip(*rows, strict=True), strict=True)], list(names))
+                    columns = [column_of(k, v) for k, v in zip(kinds, zip(*rows, strict=True), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())] if source else columns, [*names, "source"] if source else list(names))
 
-    return docs.select(F.col(id_column).cast("string"), F.col(column).cast("string")).mapInArrow(run, XML_NODE)
+    return docs.select(F.col(id_column).cast("string"), F.col(column).cast("string")).mapInArrow(run, f"{XML_NODE}, source string" if source else XML_NODE)

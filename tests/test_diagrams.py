@@ -1,11 +1,12 @@
 """The rule compiler, two-phase conversion, and scopes."""
 
 import random
+import xml.etree.ElementTree as ET
 
 import pytest
 from pyspark.sql import functions as F
 
-from ferrylake.operators.convert import convert, nearest_scope
+from ferrylake.operators.convert import convert, convert_nodes, laid_out, nearest_scope
 from ferrylake.operators.rules import ADDED, BUILT_IN, WHOLE, Catalogue, Edit, Rule
 from ferrylake.plans import catalogue as C
 from ferrylake.sources import scans
@@ -99,3 +100,36 @@ def test_a_node_is_looked_at_once_for_all_versions(spark):
         assert want and sorted(map(tuple, found)) == want
     some = C.CATALOGUE.check_at(nodes, versions, None, ["priority-old"]).collect()
     assert some and {r.rule for r in some} == {"priority-old"}
+
+
+def test_documents_meet_their_edits_without_a_shuffle(spark):
+    """What `convert` gives, with documents over several Arrow batches, null and broken ones, and prefixes."""
+    texts = [f'<process id="p" {C.PROCESS[0]}>{x}</process>' for x, _ in C.CASES] + ["<a>", None, "", '<q:a xmlns:q="urn:x"> <q:b/></q:a>', '<a xml:lang="x" t="&lt;&#10;"> b&amp; <c/> d </a>', "<a/>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, xml string").coalesce(1)
+    want = sorted(map(tuple, convert(docs, "id", "xml", C.CATALOGUE.script(scans.xml_nodes(docs, "id", "xml"), C.v("8.10"))).collect()), key=str)
+    for size in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = convert_nodes(scans.xml_nodes(docs, "id", "xml", source=True), C.CATALOGUE.edits(C.v("8.10")))
+            assert sorted(map(tuple, got.collect()), key=str) == want and len(want) == len(texts)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CoGroup" not in plan
+
+
+def test_xml_is_laid_out_as_the_library_does():
+    rng, some = random.Random(1), ["", " ", "\n  ", "a<b", "x & y", "é", ' say "hi" ', "\r\n\t"]
+
+    def tree(depth):
+        e = ET.Element(rng.choice("abé"), {rng.choice("klm"): rng.choice(some) for _ in range(rng.randrange(3))})
+        e.text, e.tail = rng.choice([None, *some]), rng.choice([None, *some]) if depth else None
+        e.extend(tree(depth + 1) for _ in range(rng.randrange(4) if depth < 4 else 0))
+        return e
+
+    for _ in range(300):
+        x = tree(0)
+        got = laid_out(x)
+        ET.indent(x, "  ")
+        assert got == ET.tostring(x, "unicode")
+    assert laid_out(ET.fromstring('<a xml:lang="x"/>')) is None
