@@ -85,6 +85,14 @@ def _prior(bits: int) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), np.cumsum(weight)])
 
 
+@lru_cache(maxsize=4)
+def _guesses(bits: int) -> tuple[int, np.ndarray]:
+    """A shift, and the id at the begin of each run of so many weights; no id weighs less, so a run has at most one more."""
+    prior = _prior(bits)
+    shift = int(np.diff(prior).min()).bit_length() - 1
+    return shift, (np.searchsorted(prior, np.arange(0, 1 << MIX_BITS, 1 << shift), "right") - 1).astype(np.int32)
+
+
 def _steps(n: int) -> Iterator[tuple[int, int]]:
     """First id and number of ids between two updates of the order-0 counts."""
     at = 0
@@ -345,14 +353,14 @@ def _decoded(blocks: list[bytes], heads: list[tuple[int, int, int]]) -> np.ndarr
         body = np.frombuffer(blocks[i], ">u2", offset=HEADER.size)
         digits[at, : len(body)] = body
     digits = digits.reshape(-1)
-    priors = {b: _prior(b) for b in {h[0] for h in heads}}
+    priors = {b: (_prior(b), *_guesses(b)) for b in {h[0] for h in heads}}
     bits = np.array([heads[i][0] for i in order])
     m = _Model(lanes, True)
     m.tables |= {"followers": np.zeros(0, np.int32), "names": np.zeros(0, np.int32)}
     pairs = np.full(lanes << PAIRS_BITS, -1 << 20, np.int32)
     at_pairs, at_slots, at_shares = m.lane << PAIRS_BITS, m.lane << SLOT_BITS, m.lane * 128
     code = digits[row].astype(np.int64) << 32 | digits[row + 1].astype(np.int64) << 16 | digits[row + 2]
-    width, pos = np.full(lanes, 1 << 48, np.int64), np.full(lanes, 3, np.int64)
+    width, pos = np.full(lanes, 1 << 48, np.int64), row + 3
     known = np.zeros(lanes, np.int32)
     last, before, hits = (np.zeros(lanes, np.int32) for _ in range(3))
     by_step = np.zeros((longest, lanes), np.uint16)
@@ -361,12 +369,13 @@ def _decoded(blocks: list[bytes], heads: list[tuple[int, int, int]]) -> np.ndarr
     def shift(some: np.ndarray | slice, co: np.ndarray, wi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while True:
             narrow = (wi < 1 << 32).astype(np.int64)
-            next_ = digits.take(row[some] + pos[some])
-            pos[some] = np.minimum(pos[some] + narrow, n_digits - 1)
-            next_ = next_ * narrow
+            next_ = digits.take(pos[some], mode="clip") * narrow  # a damaged block may read on in others
+            pos[some] += narrow
             narrow <<= 4
-            co, wi = (co << narrow) | next_, wi << narrow
-            if not len(wi) or wi.min() >= 1 << 32:
+            co <<= narrow
+            co |= next_
+            wi <<= narrow
+            if wi.min() >= 1 << 32:
                 return co, wi
             wi = np.maximum(wi, 1)  # a damaged block may lead anywhere
 
@@ -392,13 +401,13 @@ def _decoded(blocks: list[bytes], heads: list[tuple[int, int, int]]) -> np.ndarr
             check = (h << 20 - PAIRS_BITS) & 0xFF << 20
             two = pairs.take(i2) ^ check
             two = np.where(two.view(np.uint32) < 1 << 20, two, m.none)
-            state = _state(two, one, hits[:n])
+            k1, k2, one, two = one >> 16, two >> 16, one & _LOCAL, two & _LOCAL
+            state = (k2 << 2 | k1) << 3 | (two == one) << np.int32(2) | hits[:n]  # as `_state` has it
             ones[t - begin, :n], twos[t - begin, :n], states[t - begin, :n] = one, two, state
             v = m.shares.take(own_shares + state)
             v2, v1 = v >> 8, v & 0xFF
             v0 = 256 - v2 - v1
             v2, v1 = v2 << SLOT_BITS, v1 << SLOT_BITS
-            k1, k2, one, two = one >> 16, two >> 16, one & _LOCAL, two & _LOCAL
             # the number whose interval holds the code
             r = width[:n] >> MIX_BITS
             at = np.minimum(np.maximum(code[:n] / r, 0), top).astype(np.int32)  # bounded before the cast: a damaged block may lead anywhere
@@ -423,11 +432,12 @@ def _decoded(blocks: list[bytes], heads: list[tuple[int, int, int]]) -> np.ndarr
             if len(some):
                 r = width[some] >> MIX_BITS
                 at = np.minimum(np.maximum(code[some] / r, 0), top).astype(np.int64)
-                name, start, end = (np.zeros(len(some), np.int64) for _ in range(3))
-                for b, prior in priors.items():
+                name, start, end = (np.empty(len(some), np.int64) for _ in range(3))
+                for b, (prior, by, guesses) in priors.items():
                     own = slice(None) if len(priors) == 1 else bits[some] == b
-                    name[own] = np.searchsorted(prior, at[own], "right") - 1
-                    start[own], end[own] = prior.take(name[own]), prior.take(name[own] + 1)
+                    guess = guesses.take(at[own] >> by)
+                    guess = guess + (at[own] >= prior.take(guess + 1))
+                    name[own], start[own], end[own] = guess, prior.take(guess), prior.take(guess + 1)
                 code[some], width[some] = shift(some, code[some] - r * start, r * (end - start))
                 names[base[some] + x[some]] = name
                 known[:n] += new
@@ -438,7 +448,7 @@ def _decoded(blocks: list[bytes], heads: list[tuple[int, int, int]]) -> np.ndarr
             last[:n] = x
             by_step[t, :n] = x
         x = by_step[begin : begin + size].astype(np.int32)
-        ones, twos = ones[: len(x)] & _LOCAL, twos[: len(x)] & _LOCAL
+        ones, twos = ones[: len(x)], twos[: len(x)]
         m.take_up(x, states[: len(x)], x == twos, (x == ones) & (ones != twos), m.lane)
     names = m.tables["names"].reshape(lanes, m.room)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes

@@ -164,3 +164,12 @@ def test_damaged_segment_fields_are_found(spark, tmp_path):
         good.selectExpr(*(f"cast({new} as {t}) as {c}" if c == column else c for c, t in good.dtypes)).write.parquet(path)
         with pytest.raises(Exception, match="DamagedBlock"):
             range_coder.read(spark, path).collect()
+
+
+def test_the_id_of_a_weight_is_found_without_a_search():
+    for bits in (8, 13, 16, 20):
+        prior, (by, guesses) = range_coder._prior(bits), range_coder._guesses(bits)
+        assert len(guesses) == 1 << range_coder.MIX_BITS - by and np.diff(prior).min() >= 1 << by
+        at = np.concatenate([prior[:-1], prior[1:] - 1, np.random.default_rng(bits).integers(0, 1 << range_coder.MIX_BITS, 10_000)])
+        guess = guesses[at >> by]
+        assert (guess + (at >= prior[guess + 1]) == np.searchsorted(prior, at, "right") - 1).all()
