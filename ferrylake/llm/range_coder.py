@@ -2,17 +2,18 @@
 
 Within a block, ids are numbered in the order in which they appear. Each next number is predicted three ways: by its counts
 so far (order 0), by what followed the number before it (order 1), and by what followed the two before it (order 2). The
-three predictions are mixed into one distribution: order 0 spreads its share over all numbers seen and over one to come,
-orders 1 and 2 put theirs on a number each. How much each order gets depends on how often its prediction held before in
-the same state (confidence of both, whether they agree, recent hits) and is learned on the way. One step of the range
-coder takes the number's interval in that mixture. Ids that are new to the block follow in a second step, under a fixed
-prior that favours small ids, as vocabularies are sorted by frequency. All arithmetic is on integers, so every machine
-decodes alike; the counts of order 0 are taken up in steps that get longer with the block.
-
-Blocks of BLOCK ids start from an empty model and carry their size and CRC-32, and a checksum of their own header. The blocks
-of a segment are coded in step, one lane each, by vector operations; a segment holds whole documents in order. A file is the
-rows (segments) that one task wrote, in Parquet, with the file's number, the segment's number, and a checksum of all its
-fields but the blocks' contents; files are numbered in ascending doc_id order.
+three predictions are mixed: order 2 puts its share of the range on one number, order 1 its share on another, and order 0
+spreads the rest over all numbers seen and over one to come. How much each order gets depends on how often its prediction
+held before in the same state (confidence of both, whether they agree, recent hits) and is learned on the way. One step of
+the range coder takes the widest of the intervals that stand for the number: the shares come one after another, so order 0 is
+looked up once, and an order gets none where order 0 gives what it predicts as much. The ids of the numbers follow in a stream of their own, in order, under a fixed prior that favours
+small ids, as vocabularies are sorted by frequency. Models and intervals are whole numbers, so every machine decodes alike;
+the counts of order 0 are taken up in steps that get longer with the block.
+
+Blocks of BLOCK ids start from an empty model and carry their size, the CRC-32 of the ids and of the coded bytes, and a
+checksum of their own header. The blocks of a segment are coded in step, one lane each, by vector operations; a segment holds
+whole documents in order. A file is the rows (segments) that one task wrote, in Parquet, with the file's number, the segment's
+number, and a checksum of all its fields but the blocks' contents; files are numbered in ascending doc_id order.
 
 Documents with the same doc_id follow each other; a null doc_id comes first. Null texts are empty and hold the end id alone.
 """
@@ -34,11 +35,14 @@ from pyspark.sql import functions as F
 from ferrylake.llm.common import exact, shared_dir, text_slices
 from ferrylake.llm.tokenize import BYTE_BPE, encoder
 
-MAGIC = b"FLT2"
-HEADER = struct.Struct("<4sBIIII")  # magic, bits of an id, ids, CRC-32 of the ids, bytes of the body, CRC-32 of all these
+MAGIC = b"FLT3"
+#: Magic, bits of an id, ids, CRC-32 of the ids, bytes of the numbers and of the new ids, CRC-32 of both, CRC-32 of all these.
+HEADER = struct.Struct("<4sBIIIIII")
 BLOCK = 8192
-#: Bytes of text whose documents make a segment; a longer document makes one of its own.
-SEGMENT_BYTES = 20 << 20
+#: Bytes of text whose documents make a file, about, and that a segment has at most; a longer document makes one of its own.
+FILE_BYTES, SEGMENT_BYTES = 36 << 20, 28 << 20
+#: Bytes of text that the tokenizer gets at a time, and strings that its tables hold: here a worker encodes much text in a row.
+BATCH_BYTES, TABLE_ROOM = 8 << 20, 1_000_000
 END = 2
 
 #: Order-0 counts add up to 2**SLOT_BITS; a mixture adds up to 2**MIX_BITS, of which orders 1 and 2 take 256ths.
@@ -56,9 +60,15 @@ FIRST_IDS = 4
 GROUP = 64
 _LOCAL = 0xFFFF
 #: Lanes that are encoded at a time, and that are decoded at a time: more take less time for each, and more memory.
-LANES, MOST_LANES = 512, 2048
-#: By confidence in a prediction (0: none, to 3) and whether it held: the confidence in the next one.
-_SURER = np.array([1, 1, 1, 2, 1, 3, 1, 3], np.int32) << 16
+LANES, MOST_LANES = 704, 2304
+#: A prediction is a number (below BLOCK) and above it the confidence: 0 (none) to 3.
+NUMBER_BITS = 13
+_NUMBER, _SURE, _ONCE, _TWICE = (np.uint16(x << NUMBER_BITS - 13) for x in (0x1FFF, 0x6000, 0x2000, 0x4000))
+#: The two numbers before are hashed, the last first, into PAIRS_BITS.
+_HASH = np.array([40503, 25717], np.uint16)
+#: An interval narrower than this takes another 16 bits.
+_NARROW = float(1 << 32)
+_PER_MIX, _TOP = 2.0**-MIX_BITS, float((1 << MIX_BITS) - 1)
 
 
 def _first_shares() -> np.ndarray:
@@ -110,63 +120,78 @@ class _Model:
         self.lane = np.arange(lanes)
         self.room = 0
         self.listed = np.zeros(lanes, np.int64)  # numbers that `count` has taken up
-        self.states = np.zeros((3, lanes * 128), np.int64)  # ids in each state, and hits of orders 2 and 1
-        self.tables: dict[str, np.ndarray] = {"counts": np.zeros(0, np.int32)}
+        # ids in each state, hits of orders 2 and 1, and the slots that order 0 gave to what these predicted
+        self.states = np.zeros((5, lanes * 128), np.int64)
+        self.counts = self.spread = np.zeros(0, np.int32)
+        self.slots = np.zeros((lanes if slots else 0, SLOTS), np.uint16)  # the number of each slot
 
     def _grow(self, room: int) -> None:
-        """Makes place for `room` numbers in each lane; the last place stands for no prediction."""
-        old, self.room, self.none, self.base = self.room, room, room - 1, self.lane * room
-        for name, table in self.tables.items():
-            new = np.full((self.lanes, room), self.none if name == "followers" else 0, np.int32)
-            if old:
-                new[:, : old - 1] = table.reshape(self.lanes, old)[:, :-1]
-                if name == "followers":
-                    new[new == old - 1] = self.none
-            self.tables[name] = new.reshape(-1)
-        self.spread = np.zeros(self.lanes * room, np.int32)
-
-    def take_up(self, x: np.ndarray, states: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, lane: np.ndarray) -> None:
-        """Counts numbers and what held in which state; all arrays have the shape of `x`, or are spread to it."""
-        self.tables["counts"] += np.bincount((self.base[lane] + x).ravel(), minlength=self.lanes * self.room).astype(np.int32)
-        at = (lane * 128 + states).ravel()
-        for i, some in enumerate((at, at[hit2.ravel()], at[hit1.ravel()])):
-            self.states[i] += np.bincount(some, minlength=self.lanes * 128)
+        """Makes place for `room` numbers in each lane."""
+        counts = np.zeros((self.lanes, room), np.int32)
+        counts[:, : self.room] = self.counts.reshape(self.lanes, self.room)
+        self.counts, self.spread = counts.reshape(-1), np.zeros(self.lanes * room, np.int32)
+        self.room, self.base = room, self.lane * room
+
+    def take_up(self, x: np.ndarray, states: np.ndarray, two: np.ndarray, one: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """Counts numbers and what held in which state; all arrays have a row for each lane."""
+        for i in range(0, self.lanes, GROUP):  # what a few lanes need stays small
+            some = slice(i, i + GROUP)
+            lane = self.lane[: len(x[some]), None]
+            own = slice(i * self.room, (i + len(lane)) * self.room)
+            self.counts[own] += np.bincount((lane * self.room + x[some]).ravel(), minlength=len(lane) * self.room).astype(np.int32)
+            kinds = lane * 512 + states[some] * np.uint16(4) + hit2[some] * np.uint16(2) + hit1[some]
+            found = np.bincount(kinds.ravel(), minlength=len(lane) * 512).reshape(-1, 4)
+            given = [np.bincount((kinds >> 2).ravel(), (self.spread[own].take(lane * self.room + k[some]) & 0x7FFF).ravel(), len(lane) * 128).astype(np.int64) for k in (two, one)]
+            self.states[:, i * 128 : (i + len(lane)) * 128] += np.stack([found.sum(1), found[:, 2] + found[:, 3], found[:, 1] + found[:, 3], *given])
 
     def count(self, known: np.ndarray, seen: int, next_: int, last: int) -> None:
         """Makes the predictions for the next `next_` ids from `seen` ids, of which `last` came since the last call."""
         most = int(known.max())
-        if most + next_ + 2 > self.room:
-            self._grow(most + next_ + 2 + (most + next_) // 2)
-        n, hits2, hits1 = (x.reshape(self.lanes, 128) for x in self.states)
-        v2 = (POINTS * hits2 + FIRST_IDS * _FIRST[0]) // (n + FIRST_IDS)
-        v1 = np.minimum((POINTS * hits1 + FIRST_IDS * _FIRST[1]) // (n + FIRST_IDS), POINTS - v2)
-        self.shares = (v2 << 8 | v1).astype(np.int32).reshape(-1)
+        if most + next_ + 1 > self.room:
+            self._grow(most + next_ + 1 + (most + next_) // 2)
+        n, hits2, hits1, given2, given1 = (x.reshape(self.lanes, 128) for x in self.states)
+        v2, v1 = (self._share(n + FIRST_IDS, POINTS * hits + FIRST_IDS * first, given) for hits, first, given in ((hits2, _FIRST[0], given2), (hits1, _FIRST[1], given1)))
+        v1 = np.minimum(v1, POINTS - v2)
+        self.shares = (v2 << 8 | v2 + v1).astype(np.int32).reshape(-1)
         fresh = known - self.listed
         self.listed = known.copy()
-        counts, spread = (x.reshape(self.lanes, self.room) for x in (self.tables["counts"], self.spread))
+        for i in range(0, self.lanes, GROUP):
+            self._spread(slice(i, i + GROUP), known[i : i + GROUP], fresh[i : i + GROUP], seen, next_, last)
+
+    def _share(self, n: np.ndarray, hits: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """The 256ths of an order, from its hits (in 256ths): none where order 0 does as well, as it still gives slots to what is predicted.
+
+        An order that hits with a rate h where order 0 gives p on average gains h log(h / p) + (1 - h) log(1 - h), which is
+        above 0 about where h > p (2.8 - 1.7 h).
+        """
+        return np.where(10 * SLOTS * hits * n > given * (28 * 256 * n - 17 * hits), hits // n, 0)
+
+    def _spread(self, lanes: slice, known: np.ndarray, fresh: np.ndarray, seen: int, next_: int, last: int) -> None:
+        """Spreads the slots of some lanes over their numbers."""
+        most = int(known.max())
+        counts, spread = (x.reshape(self.lanes, self.room)[lanes] for x in (self.counts, self.spread))
         unseen = np.minimum(np.clip(SLOTS * (fresh + 1) // (last + 2), next_ + 64, SLOTS // 2), SLOTS - known)
-        share = np.zeros((self.lanes, most), np.int32)
-        first = np.zeros(self.lanes, np.int64)
+        share = np.zeros((len(known), most), np.int32)
+        first = np.zeros(len(known), np.int32)
         if most:
             room = (SLOTS - unseen - known).astype(np.int32)[:, None]
-            share = counts[:, :most] * room // np.int32(seen) + (np.arange(most) < known[:, None]).astype(np.int32)
+            share = counts[:, :most] * room // np.int32(seen) + (np.arange(most) < known[:, None])
             ends = np.cumsum(share, axis=1, dtype=np.int32)
             spread[:, :most] = (ends - share) << 15 | share
-            first = ends[:, -1].astype(np.int64)
+            first = ends[:, -1]
         # The first of the numbers to come get `wide` slots each, others one; what is left is for the one that comes next.
         left = SLOTS - first
         some = np.minimum(2 * fresh * next_ // max(last, 1) + 4, next_)
-        wide = np.maximum(1, np.minimum((left - next_ - 1) // (2 * some), SLOTS // max(seen, 1) + 1))
+        wide = np.maximum(1, np.minimum((left - next_ - 1) // (2 * some), SLOTS // max(seen, 1) + 1)).astype(np.int32)
         nth = np.arange(next_ + 1)
-        width = np.where(nth < some[:, None], wide[:, None], 1)
+        width = np.where(nth < some[:, None], wide[:, None], np.int32(1))
         place = known[:, None] + nth
-        self.spread[self.base[:, None] + place] = (first[:, None] + np.cumsum(width, axis=1) - width) << 15 | width
-        self.spread[self.base + self.none] = SLOTS << 15
+        np.put_along_axis(spread, place, (first[:, None] + np.cumsum(width, axis=1, dtype=np.int32) - width) << 15 | width, 1)
         if self.with_slots:
-            reps = np.concatenate([share, width, (left - width.sum(1))[:, None]], 1)
+            reps = np.concatenate([share, width, (left - width.sum(1, dtype=np.int32))[:, None]], 1)
             names = np.empty(reps.shape, np.uint16)
             names[:, :most], names[:, most:-1], names[:, -1] = np.arange(most), place, _LOCAL
-            self.slots = np.repeat(names.reshape(-1), reps.reshape(-1))
+            self.slots[lanes] = np.repeat(names.reshape(-1), reps.reshape(-1)).reshape(-1, SLOTS)
 
 
 def _numbered(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -177,43 +202,33 @@ def _numbered(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (np.cumsum(place == n) - 1)[place]
 
 
-def _hash(before: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return last * np.int32(40503) + before * np.int32(25717)
-
-
-def _chain(x: np.ndarray, key: np.ndarray, check: np.ndarray | None) -> np.ndarray:
-    """What the last row with the same key (and check) had as `x`, with the confidence above its 16 bits; by lane."""
+def _chain(x: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """What the last row with the same key had as `x`, with the confidence above its bits; by lane. 0 where there is none."""
     order = np.argsort(key, axis=1, kind="stable")
-    by_key = lambda a: np.take_along_axis(a, order, 1)
-    key, xs = by_key(key), by_key(x)
-    ok = np.zeros(key.shape, bool)
-    ok[:, 1:] = key[:, 1:] == key[:, :-1]
-    if check is not None:
-        check = by_key(check)
-        ok[:, 1:] &= check[:, 1:] == check[:, :-1]
-    held = np.zeros(key.shape, bool)
-    held[:, 1:] = ok[:, 1:] & (xs[:, 1:] == xs[:, :-1])
-    n = np.arange(key.shape[1], dtype=np.int32)
-    run = n - np.maximum.accumulate(np.where(held, np.int32(-1), n), axis=1)
-    out = np.full(key.shape, _LOCAL, np.int32)
-    out[:, 1:] = np.where(ok[:, 1:], xs[:, :-1] | (np.minimum(run[:, :-1], 2) + 1) << 16, _LOCAL)
+    order += np.arange(len(x))[:, None] * x.shape[1]
+    key, xs = key.take(order), x.take(order)
+    ok = key[:, 1:] == key[:, :-1]
+    n = np.arange(key.shape[1], dtype=np.int16)
+    begin = np.zeros(key.shape, np.int16)  # where the run of the same predictions begins
+    np.multiply(~(ok & (xs[:, 1:] == xs[:, :-1])), n[1:], out=begin[:, 1:])
+    run = (n - np.maximum.accumulate(begin, axis=1)).astype(np.uint16)
+    out = np.zeros(key.shape, np.uint16)
+    np.multiply(xs[:, :-1] | (np.minimum(run[:, :-1], 2) + np.uint16(1)) << np.uint16(NUMBER_BITS), ok, out=out[:, 1:])
     found = np.empty_like(out)
-    np.put_along_axis(found, order, out, 1)
+    found.reshape(-1)[order] = out
     return found
 
 
-def _state(two: np.ndarray, one: np.ndarray, hits: np.ndarray) -> np.ndarray:
-    """The state of two predictions with their confidences, of which the numbers are the lower 16 bits."""
-    return (((two >> 16) << 2 | one >> 16) << 1 | ((two ^ one) & _LOCAL == 0)) << 2 | hits
-
-
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     """The coded blocks of a run of ids (below 2**20), each with its header."""
     ids = np.asarray(ids)
     if len(ids) and int(ids.max()) >= 1 << 20:
         raise ValueError("ids must be below 2**20")
-    some = LANES * block
-    return [b for i in range(0, len(ids), some) for b in _encoded(ids[i : i + some].astype(np.int32), block)]
+    if block > BLOCK:
+        raise ValueError(f"a block has {BLOCK} ids at most")
+    parts = max(1, -(-len(ids) // (LANES * block)))  # of about the same number of lanes
+    some = -(-len(ids) // (parts * block)) * block
+    return [b for i in range(0, len(ids), some or 1) for b in _encoded(ids[i : i + some].astype(np.int32), block)]
 
 
 def _encoded(ids: np.ndarray, block: int) -> list[bytes]:
@@ -229,31 +244,22 @@ def _encoded(ids: np.ndarray, block: int) -> list[bytes]:
         numbers[i, : sizes[i]] = _numbered(ids[i * block : i * block + sizes[i]], scratch)
     for i in range(0, lanes, GROUP):  # the sorts of a few lanes at a time stay small
         some = slice(i, i + GROUP)
-        x = numbers[some].astype(np.int32)
-        last, before, hits = (np.zeros(x.shape, np.int32) for _ in range(3))
+        x = numbers[some]
+        last, before = np.zeros(x.shape, np.uint16), np.zeros(x.shape, np.uint16)
         last[:, 1:], before[:, 2:] = x[:, :-1], x[:, :-2]
-        h = _hash(before, last)
-        a = _chain(x, last.astype(np.uint16), None)
-        b = _chain(x, (h & (1 << PAIRS_BITS) - 1).astype(np.uint16), ((h >> PAIRS_BITS) & 0xFF).astype(np.uint8))
-        one[some], two[some] = a, b
-        hit2[some] = two[some] == numbers[some]
-        hit1[some] = (one[some] == numbers[some]) & ~(one[some] == two[some])
-        hits[:, 1:] |= hit2[some][:, :-1]
-        hits[:, 2:] |= hit2[some][:, :-2].astype(np.int32) << 1
-        states[some] = _state(b, a, hits)
-        known[some] = np.maximum.accumulate(numbers[some], axis=1) + 1  # numbers given after each id
+        a, b = _chain(x, last), _chain(x, (last * _HASH[0] + before * _HASH[1]) >> np.uint16(16 - PAIRS_BITS))
+        own1, own2 = a & _NUMBER, b & _NUMBER
+        one[some], two[some] = own1, own2
+        same = own1 == own2
+        hit2[some] = own2 == x
+        hit1[some] = (own1 == x) & ~same
+        states[some] = (b >> np.uint16(8)) & np.uint16(0x60) | (a >> np.uint16(10)) & np.uint16(0x18) | same * np.uint16(4)
+        states[some][:, 1:] |= hit2[some][:, :-1]
+        states[some][:, 2:] |= hit2[some][:, :-2] * np.uint8(2)
+        known[some] = np.maximum.accumulate(x, axis=1) + 1  # numbers given after each id
         new[some, 0] = True
         new[some, 1:] = known[some][:, 1:] > known[some][:, :-1]
-    # The steps of the coder: an id's interval, and after it, if the id is new, that of its prior.
-    at = np.arange(longest, dtype=np.int32) + (known - new)
-    n_steps = at[np.arange(lanes), sizes - 1] + 1 + new[np.arange(lanes), sizes - 1]
-    start, wide = (np.zeros((lanes, int(at[:, -1].max()) + 2), np.int32) for _ in range(2))
-    prior = _prior(bits).astype(np.int32)
-    row, column = np.nonzero(new)
-    inside = column < sizes[row]
-    row, column = row[inside], column[inside]
-    name, to = ids[row * block + column], at[row, column] + 1
-    start[row, to], wide[row, to] = prior[name], prior[name + 1] - prior[name]
+    start, wide = (np.empty((longest, lanes), np.float32) for _ in range(2))  # each id's interval
     m = _Model(lanes, False)
     lane, since = m.lane[:, None], 0
     for begin, size in _steps(longest):
@@ -262,77 +268,104 @@ def _encoded(ids: np.ndarray, block: int) -> list[bytes]:
         now = slice(begin, begin + size)
         x, state = numbers[:, now], states[:, now]
         v = m.shares.take(lane * 128 + state)
-        v2, v1 = v >> 8, v & 0xFF
-        v0 = 256 - v2 - v1
+        v2, points = v >> 8, v & 0xFF
         s = m.spread.take(m.base[:, None] + x)
-        first = s >> 15
-        own = np.where(new[:, now], SLOTS - first, s & 0x7FFF)
-        a = v0 * first + ((v2 * (two[:, now] < x) + v1 * (one[:, now] < x)) << SLOT_BITS)
-        b = v0 * own + ((v2 * hit2[:, now] + v1 * hit1[:, now]) << SLOT_BITS)
-        np.put_along_axis(start, at[:, now], a, 1)
-        np.put_along_axis(wide, at[:, now], b, 1)
-        m.take_up(x, state, hit2[:, now], hit1[:, now], lane)
-    return _written(ids.astype("<u4"), block, bits, sizes, start, wide, n_steps)
-
-
-def _written(raw: np.ndarray, block: int, bits: int, sizes: np.ndarray, start: np.ndarray, wide: np.ndarray, n_steps: np.ndarray) -> list[bytes]:
-    """The range coder: the blocks whose lanes take `n_steps` steps with these intervals."""
-    lanes = len(sizes)
-    order = np.argsort(-n_steps, kind="stable")  # lanes end one after another, the last first
-    start, wide, n_steps = start[order].T, wide[order].T, n_steps[order]
-    low, width, pos = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64), np.zeros(lanes, np.int64)
-    digits = 3 * int(n_steps[0]) // 2 + 16
-    out, row = np.zeros(lanes * digits, np.int32), np.arange(lanes) * digits
-    live = np.searchsorted(-n_steps, -np.arange(int(n_steps[0])), "left").tolist()
+        first, own = s >> 15, s & 0x7FFF
+        np.copyto(own, SLOTS - first, where=new[:, now])
+        a, b = (points << SLOT_BITS) + (256 - points) * first, (256 - points) * own
+        v2 <<= SLOT_BITS
+        v1 = (points << SLOT_BITS) - v2
+        by1, by2 = hit1[:, now] & (v1 > b), hit2[:, now] & (v2 > b)  # of two intervals the wider one
+        np.copyto(a, v2, where=by1)
+        np.copyto(b, v1, where=by1)
+        np.copyto(a, 0, where=by2)
+        np.copyto(b, v2, where=by2)
+        start[now], wide[now] = a.T, b.T
+        m.take_up(x, state, two[:, now], one[:, now], hit2[:, now], hit1[:, now])
+    bodies = _written(start, wide, sizes)
+    # The new ids in their order, each with the interval of its prior; most lanes first.
+    n_new = known[np.arange(lanes), sizes - 1].astype(np.int64)
+    order = np.argsort(-n_new, kind="stable")
+    row, column = np.nonzero(new & (np.arange(longest) < sizes[:, None]))
+    name, place = ids[row * block + column], (numbers[row, column], np.argsort(order)[row])
+    prior = _prior(bits)
+    start, wide = (np.zeros((int(n_new.max()), lanes), np.float32) for _ in range(2))
+    start[place], wide[place] = prior[name], prior[name + 1] - prior[name]
+    names = _written(start, wide, n_new[order])
+    raw, blocks = ids.astype("<u4"), [b""] * lanes
+    for at, i in enumerate(order.tolist()):
+        crc, body = zlib.crc32(raw[i * block : i * block + int(sizes[i])].tobytes()), bodies[i] + names[at]
+        head = HEADER.pack(MAGIC, bits, int(sizes[i]), crc, len(bodies[i]), len(names[at]), zlib.crc32(body), 0)[:-4]
+        blocks[i] = head + struct.pack("<I", zlib.crc32(head)) + body
+    return blocks
+
+
+def _written(start: np.ndarray, wide: np.ndarray, n_steps: np.ndarray) -> list[bytes]:
+    """The range coder: what lanes write that take `n_steps` steps (none more than the lane before) with these intervals.
+
+    All numbers are below 2**53, so floats are exact; they are faster than integers of 64 bits.
+    """
+    lanes = len(n_steps)
+    low, width = np.zeros(lanes), np.full(lanes, float(1 << 48))
+    digits, written = np.zeros((len(start) + 64, lanes), np.int32), np.zeros((len(start) + 64, lanes), bool)
+    live = np.searchsorted(-n_steps, -np.arange(len(start)), "left").tolist()
+    at = 0
     n = -1
     for t, now in enumerate(live):
         if now != n:
             n = now
-            lo, wi, po, ro = low[:n], width[:n], pos[:n], row[:n]
-        r = wi >> MIX_BITS
+            lo, wi = low[:n], width[:n]
+        r = np.floor(wi * _PER_MIX)
         lo += r * start[t, :n]
         np.multiply(r, wide[t, :n], out=wi)
         while True:  # digits may have a 17th bit; it is carried to the left in the end
-            narrow = (wi < 1 << 32).astype(np.int64)
-            digit = lo >> 32
-            out[ro + po] = digit
-            po += narrow
-            lo -= (digit * narrow) << 32
-            narrow <<= 4
-            lo <<= narrow
-            wi <<= narrow
-            if wi.min() >= 1 << 32:
+            if at == len(digits):
+                digits, written = (np.concatenate([x, np.zeros_like(x[: 1 + at // 2])]) for x in (digits, written))
+            narrow = np.less(wi, _NARROW, out=written[at, :n])
+            digit = np.floor(lo * (1 / _NARROW))
+            digits[at, :n] = digit
+            digit *= _NARROW
+            np.copyto(lo, (lo - digit) * 65536, where=narrow)
+            np.copyto(wi, wi * 65536, where=narrow)
+            at += 1
+            if wi.min() >= _NARROW:
                 break
-    for _ in range(3):
-        out[row + pos] = low >> 32
-        pos += 1
-        low = (low & 0xFFFFFFFF) << 16
-    blocks = [b""] * lanes
-    for at, i in enumerate(order.tolist()):
-        body = out[row[at] : row[at] + pos[at]]
-        carried = int.from_bytes((body & 0xFFFF).astype(">u2").tobytes(), "big") + (int.from_bytes((body >> 16).astype(">u2").tobytes(), "big") << 16)
-        body = carried.to_bytes(2 * len(body), "big")
-        head = HEADER.pack(MAGIC, bits, int(sizes[i]), zlib.crc32(raw[i * block : i * block + int(sizes[i])].tobytes()), len(body), 0)[:-4]
-        blocks[i] = head + struct.pack("<I", zlib.crc32(head)) + body
-    return blocks
+    rest = np.empty((3, lanes), np.int32)
+    for i in range(3):
+        rest[i] = low / _NARROW
+        low = (low % _NARROW) * 65536
+    out = []
+    for i in range(0, lanes, GROUP):
+        some, own = digits[:at, i : i + GROUP].T.copy(), written[:at, i : i + GROUP].T.copy()
+        for k in range(len(some)):
+            body = np.concatenate([some[k][own[k]], rest[:, i + k]])
+            over = np.flatnonzero(body >> 16)
+            while len(over):
+                body[over] &= 0xFFFF
+                body[over - 1] += 1
+                over = over[body[over - 1] > 0xFFFF] - 1
+            out.append(body.astype(">u2").tobytes())
+    return out
 
 
 class DamagedBlock(ValueError):
     """A block or segment whose content is not what its header or checksum says."""
 
 
-def _heads(blocks: list[bytes]) -> list[tuple[int, int, int]]:
-    """Bits, size and checksum of each block; headers are checked before anything is decoded."""
+def _heads(blocks: list[bytes]) -> list[tuple[int, int, int, int]]:
+    """Bits, size, checksum and bytes of the numbers of each block; all are checked before anything is decoded."""
     heads = []
     for b in blocks:
         if len(b) < HEADER.size or b[:4] != MAGIC:
             raise DamagedBlock("no block begins here")
-        _, bits, size, crc, length, own = HEADER.unpack(b[: HEADER.size])
+        _, bits, size, crc, length, more, body, own = HEADER.unpack(b[: HEADER.size])
         if zlib.crc32(b[: HEADER.size - 4]) != own:
             raise DamagedBlock("the checksum of a header does not hold")
-        if len(b) != HEADER.size + length or length % 2 or not 8 <= bits <= 20:
+        if len(b) != HEADER.size + length + more or length % 2 or more % 2 or min(length, more) < 6 or not 8 <= bits <= 20 or not 0 < size <= BLOCK:
             raise DamagedBlock("a block has another length than its header says")
-        heads.append((bits, size, crc))
+        if zlib.crc32(memoryview(b)[HEADER.size :]) != body:
+            raise DamagedBlock("the checksum of a block's content does not hold")
+        heads.append((bits, size, crc, length))
     return heads
 
 
@@ -340,125 +373,161 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     """The ids of coded blocks, one after another. All headers are checked first."""
     heads = _heads(blocks)
     parts = [_decoded(blocks[i : i + MOST_LANES], heads[i : i + MOST_LANES]) for i in range(0, len(blocks), MOST_LANES)]
-    return np.concatenate([np.zeros(0, np.uint32), *parts])
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint32), *parts])
+
+
+class _Reader:
+    """The range decoder of lanes that read digits of their own. Floats are exact here, as in `_written`."""
+
+    def __init__(self, bodies: list[memoryview]):
+        n = max(len(b) for b in bodies) // 2 + 4
+        digits = np.zeros((len(bodies), n), np.uint16)
+        for own, body in zip(digits, bodies, strict=True):
+            own[: len(body) // 2] = np.frombuffer(body, ">u2")
+        self.code = digits[:, 0] * float(1 << 32) + digits[:, 1] * 65536.0 + digits[:, 2]
+        self.width, self.pos, self.digits = np.full(len(bodies), float(1 << 48)), np.arange(len(bodies)) * n + 3, digits.reshape(-1)
+        self.live(len(bodies))
+
+    def live(self, n: int) -> None:
+        """Only the first `n` lanes go on."""
+        self.code, self.width, self.pos = self.code[:n], self.width[:n], self.pos[:n]
+
+    def weight(self) -> np.ndarray:
+        """The place of each lane's code in the mixture."""
+        self.r = np.floor(self.width * _PER_MIX)
+        return np.minimum(self.code / self.r, _TOP).astype(np.int32)  # bounded before the cast: a damaged block may lead anywhere
+
+    def take(self, start: np.ndarray, wide: np.ndarray) -> None:
+        """Takes the interval in which that place lies."""
+        code, width, pos = self.code, self.width, self.pos
+        code -= self.r * start
+        np.multiply(self.r, wide, out=width)
+        while True:
+            narrow = width < _NARROW
+            more = code * 65536
+            more += self.digits.take(pos, mode="clip")  # a damaged block may read on in others
+            np.copyto(code, more, where=narrow)
+            np.copyto(width, width * 65536, where=narrow)
+            np.copyto(pos, pos + 1, where=narrow)
+            if width.min() >= _NARROW:
+                return
+
+
+def _decoded(blocks: list[bytes], heads: list[tuple[int, int, int, int]]) -> np.ndarray:
+    with np.errstate(over="ignore"):  # a damaged block may lead anywhere; its checksum is looked at in the end
+        order = sorted(range(len(blocks)), key=lambda i: -heads[i][1])  # lanes end one after another, the last first
+        sizes = np.array([heads[i][1] for i in order])
+        by_step, known = _numbers([memoryview(blocks[i])[HEADER.size : HEADER.size + heads[i][3]] for i in order], sizes)
+        names = _names([memoryview(blocks[i])[HEADER.size + heads[i][3] :] for i in order], known, np.array([heads[i][0] for i in order]))
+    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
+    for first in range(0, len(order), GROUP):
+        numbers = by_step[:, first : first + GROUP].T.copy()
+        for k, i in enumerate(order[first : first + GROUP]):
+            one = names[first + k].take(numbers[k, : sizes[first + k]])
+            if zlib.crc32(one.astype("<u4").tobytes()) != heads[i][2]:
+                raise DamagedBlock(f"the checksum of block {i} does not hold")
+            out[i] = one
+    return np.concatenate(out)
 
 
-def _decoded(blocks: list[bytes], heads: list[tuple[int, int, int]]) -> np.ndarray:
-    order = sorted(range(len(blocks)), key=lambda i: -heads[i][1])  # lanes end one after another, the last first
-    lanes, sizes = len(blocks), np.array([heads[i][1] for i in order])
-    longest = int(sizes[0])
-    n_digits = max(len(b) for b in blocks) // 2 + 4
-    digits, row = np.zeros((lanes, n_digits), np.int32), np.arange(lanes) * n_digits
-    for at, i in enumerate(order):
-        body = np.frombuffer(blocks[i], ">u2", offset=HEADER.size)
-        digits[at, : len(body)] = body
-    digits = digits.reshape(-1)
-    priors = {b: (_prior(b), *_guesses(b)) for b in {h[0] for h in heads}}
-    bits = np.array([heads[i][0] for i in order])
-    m = _Model(lanes, True)
-    m.tables |= {"followers": np.zeros(0, np.int32), "names": np.zeros(0, np.int32)}
-    pairs = np.full(lanes << PAIRS_BITS, -1 << 20, np.int32)
-    at_pairs, at_slots, at_shares = m.lane << PAIRS_BITS, m.lane << SLOT_BITS, m.lane * 128
-    code = digits[row].astype(np.int64) << 32 | digits[row + 1].astype(np.int64) << 16 | digits[row + 2]
-    width, pos = np.full(lanes, 1 << 48, np.int64), row + 3
-    known = np.zeros(lanes, np.int32)
-    last, before, hits = (np.zeros(lanes, np.int32) for _ in range(3))
+def _names(bodies: list[memoryview], known: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The ids of the `known` numbers of each lane."""
+    order = np.argsort(-known, kind="stable")
+    known, bits = known[order], bits[order]
+    reader, out = _Reader([bodies[i] for i in order]), np.zeros((int(known[0]), len(bodies)), np.uint32)
+    priors = {b: (_prior(b), *_guesses(b)) for b in set(bits.tolist())}
+    live = np.searchsorted(-known, -np.arange(len(out)), "left").tolist()
+    for t, n in enumerate(live):
+        if n != len(reader.code):
+            reader.live(n)
+        at = reader.weight()
+        start, end = np.empty(n, np.int64), np.empty(n, np.int64)
+        for b, (prior, by, guesses) in priors.items():
+            own = slice(None) if len(priors) == 1 else bits[:n] == b
+            guess = guesses.take(at[own] >> by)
+            guess = guess + (at[own] >= prior.take(guess + 1))
+            out[t, :n][own], start[own], end[own] = guess, prior.take(guess), prior.take(guess + 1)
+        reader.take(start, end - start)
+    return out.T[np.argsort(order)]
+
+
+def _numbers(bodies: list[memoryview], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all lanes, step by step, and how many different ones each has."""
+    lanes, longest = len(bodies), int(sizes[0])
+    reader, m = _Reader(bodies), _Model(len(bodies), True)
+    room = longest + 32
+    followers, pairs = np.zeros(lanes * room, np.uint16), np.zeros(lanes << PAIRS_BITS, np.uint16)
+    at_followers, at_pairs, at_slots, at_shares = m.lane * room, m.lane << PAIRS_BITS, m.lane << SLOT_BITS, m.lane * 128
+    known, hits, hash_ = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16)
+    i1, before = at_followers.copy(), np.zeros(lanes, np.uint16)
     by_step = np.zeros((longest, lanes), np.uint16)
-    top = np.int32((1 << MIX_BITS) - 1)
-
-    def shift(some: np.ndarray | slice, co: np.ndarray, wi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        while True:
-            narrow = (wi < 1 << 32).astype(np.int64)
-            next_ = digits.take(pos[some], mode="clip") * narrow  # a damaged block may read on in others
-            pos[some] += narrow
-            narrow <<= 4
-            co <<= narrow
-            co |= next_
-            wi <<= narrow
-            if wi.min() >= 1 << 32:
-                return co, wi
-            wi = np.maximum(wi, 1)  # a damaged block may lead anywhere
-
     live = np.searchsorted(-sizes, -np.arange(longest), "left").tolist()
-    since = 0
+    slots, eight, ten, of2, of1, both, one_bit = m.slots.reshape(-1), *(np.uint16(k) for k in (8, 10, 0x60, 0x18, 3, 1))
+    unhashed, same_bit, (by_last, by_before) = np.uint16(16 - PAIRS_BITS), np.uint8(2), _HASH
+    since, n = 0, lanes
     for begin, size in _steps(longest):
         m.count(known.astype(np.int64), begin, size, since)
         since = size
-        followers, names = m.tables["followers"], m.tables["names"]
-        ones, twos, states = (np.zeros((size, lanes), np.int32) for _ in range(3))
-        n = -1
-        for t in range(begin, min(begin + size, longest)):
-            now = live[t]
-            if now != n:
-                n = now
-                base, own_pairs, own_slots, own_shares = m.base[:n], at_pairs[:n], at_slots[:n], at_shares[:n]
+        end = min(begin + size, longest)
+        states, twos, ones = (np.zeros((end - begin, lanes), np.uint16) for _ in range(3))
+        all2, all1 = np.zeros(states.shape, bool), np.zeros(states.shape, bool)
+        base = m.base[:n]
+        for t in range(begin, end):
+            if live[t] != n:
+                n = live[t]
+                reader.live(n)
+                base, at_followers, at_pairs, at_slots, at_shares = m.base[:n], at_followers[:n], at_pairs[:n], at_slots[:n], at_shares[:n]
+                i1, before, hash_, hits = i1[:n], before[:n], hash_[:n], hits[:n]
             # what orders 1 and 2 predict, and the shares of all orders
-            c1, c2 = last[:n], before[:n]
-            i1 = base + c1
-            one = followers.take(i1)
-            h = _hash(c2, c1)
-            i2 = own_pairs + (h & (1 << PAIRS_BITS) - 1)
-            check = (h << 20 - PAIRS_BITS) & 0xFF << 20
-            two = pairs.take(i2) ^ check
-            two = np.where(two.view(np.uint32) < 1 << 20, two, m.none)
-            k1, k2, one, two = one >> 16, two >> 16, one & _LOCAL, two & _LOCAL
-            state = (k2 << 2 | k1) << 3 | (two == one) << np.int32(2) | hits[:n]  # as `_state` has it
-            ones[t - begin, :n], twos[t - begin, :n], states[t - begin, :n] = one, two, state
-            v = m.shares.take(own_shares + state)
-            v2, v1 = v >> 8, v & 0xFF
-            v0 = 256 - v2 - v1
-            v2, v1 = v2 << SLOT_BITS, v1 << SLOT_BITS
-            # the number whose interval holds the code
-            r = width[:n] >> MIX_BITS
-            at = np.minimum(np.maximum(code[:n] / r, 0), top).astype(np.int32)  # bounded before the cast: a damaged block may lead anywhere
-            s = m.spread.take(base + two)
-            low2 = v0 * (s >> 15) + v1 * (one < two)
-            past2 = at >= low2 + v0 * (s & 0x7FFF) + v2
-            s = m.spread.take(base + one)
-            low1 = v0 * (s >> 15) + v2 * (two < one)
-            past1 = at >= low1 + v0 * (s & 0x7FFF) + v1
-            slot = np.minimum((np.maximum(at - v2 * past2 - v1 * past1, 0) / v0).astype(np.int32), SLOTS - 1)
-            x = np.minimum(m.slots.take(own_slots + slot), known[:n])
-            x = np.where((at >= low1) > past1, one, x)
-            x = np.where((at >= low2) > past2, two, x)
+            e1 = followers.take(i1)
+            i2 = at_pairs + (hash_ >> unhashed)
+            e2 = pairs.take(i2)
+            one, two = np.bitwise_and(e1, _NUMBER, out=ones[t - begin, :n]), np.bitwise_and(e2, _NUMBER, out=twos[t - begin, :n])
+            same = one == two
+            state = states[t - begin, :n]
+            np.bitwise_and(e2 >> eight, of2, out=state)
+            state |= (e1 >> ten) & of1
+            state |= same.view(np.uint8) << same_bit
+            state |= hits
+            v = m.shares.take(at_shares + state)
+            points = v & 0xFF
+            v0 = np.int32(256) - points
+            a2, a1 = (v >> 8) << SLOT_BITS, points << SLOT_BITS
+            # the number whose interval holds the code, first by order 0
+            at = reader.weight()
+            by2, by = at < a2, at < a1
+            slot = (np.maximum(at - a1, 0).astype(np.float32) / v0.astype(np.float32)).astype(np.int64)  # exact: quotients differ by 1/256 at least
+            slot += at_slots
+            x = by_step[t, :n]
+            np.minimum(slots.take(slot), known[:n], out=x)
+            np.copyto(x, one, where=by)
+            np.copyto(x, two, where=by2)
             # its interval
             s = m.spread.take(base + x)
             first = s >> 15
-            hit2, hit1, new = x == two, x == one, x == known[:n]
-            start = v0 * first + v2 * (two < x) + v1 * (one < x)
-            wide = v0 * np.where(new, SLOTS - first, s & 0x7FFF) + v2 * hit2 + v1 * hit1
-            code[:n], width[:n] = shift(slice(0, n), code[:n] - r * start, r * wide)
-            some = np.flatnonzero(new)
-            if len(some):
-                r = width[some] >> MIX_BITS
-                at = np.minimum(np.maximum(code[some] / r, 0), top).astype(np.int64)
-                name, start, end = (np.empty(len(some), np.int64) for _ in range(3))
-                for b, (prior, by, guesses) in priors.items():
-                    own = slice(None) if len(priors) == 1 else bits[some] == b
-                    guess = guesses.take(at[own] >> by)
-                    guess = guess + (at[own] >= prior.take(guess + 1))
-                    name[own], start[own], end[own] = guess, prior.take(guess), prior.take(guess + 1)
-                code[some], width[some] = shift(some, code[some] - r * start, r * (end - start))
-                names[base[some] + x[some]] = name
-                known[:n] += new
-            followers[i1] = x | _SURER.take(k1 << 1 | hit1)
-            pairs[i2] = x | _SURER.take(k2 << 1 | hit2) | check
-            hits[:n] = (hits[:n] << 1 | hit2) & 3
-            before[:n] = c1
-            last[:n] = x
-            by_step[t, :n] = x
-        x = by_step[begin : begin + size].astype(np.int32)
-        ones, twos = ones[: len(x)], twos[: len(x)]
-        m.take_up(x, states[: len(x)], x == twos, (x == ones) & (ones != twos), m.lane)
-    names = m.tables["names"].reshape(lanes, m.room)
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes
-    del digits, pairs, followers, m
-    for at, i in enumerate(order):
-        one = names[at].take(by_step[: sizes[at], at]).astype(np.uint32)
-        if zlib.crc32(one.astype("<u4").tobytes()) != heads[i][2]:
-            raise DamagedBlock(f"the checksum of block {i} does not hold")
-        out[i] = one
-    return np.concatenate(out)
+            s &= 0x7FFF
+            new = x == known[:n]
+            np.copyto(s, SLOTS - first, where=new)
+            first *= v0
+            first += a1
+            s *= v0
+            np.copyto(first, a2, where=by)
+            np.copyto(s, a1 - a2, where=by)
+            np.copyto(first, 0, where=by2)
+            np.copyto(s, a2, where=by2)
+            reader.take(first, s)
+            # what the next ids are told; a confidence is 1 where the prediction failed, else one more, 3 at most
+            hit2, hit1 = np.equal(x, two, out=all2[t - begin, :n]), x == one
+            np.greater(hit1, same, out=all1[t - begin, :n])
+            followers[i1] = (x | _ONCE) + np.minimum(e1 & _SURE, _TWICE) * hit1
+            pairs[i2] = (x | _ONCE) + np.minimum(e2 & _SURE, _TWICE) * hit2
+            hits = (hits << one_bit | hit2) & both
+            known[:n] += new
+            hash_ = x * by_last + before
+            before = x * by_before
+            i1 = at_followers + x
+        m.take_up(by_step[begin:end].T, states.T, twos.T, ones.T, all2.T, all1.T)
+    return by_step, known.astype(np.int64)
 
 
 FILES = "file int, segment int, n_ids long, doc_ids binary, n_nulls int, sizes binary, blocks array<binary>, crc32 long"
@@ -481,7 +550,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = BYTE_BPE, end: int = END
         def coded(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(tables)
             doc_ids, texts = table.column(0).combine_chunks(), table.column(1).combine_chunks()
-            ids, offsets = encoder(vocabulary).encode(texts)
+            ids, offsets = encoder(vocabulary, TABLE_ROOM).encode(texts, BATCH_BYTES)
             sizes = np.diff(offsets) + 1
             tokens = np.full(len(ids) + len(sizes), end, np.uint32)
             own = np.ones(len(tokens), bool)
@@ -507,7 +576,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = BYTE_BPE, end: int = END
 
     docs = exact(docs, "doc_id", "text")
     tie = F.xxhash64("text")
-    n_files = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SEGMENT_BYTES))
+    n_files = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n_files, "doc_id", tie).sortWithinPartitions("doc_id", tie)
     rows.mapInArrow(run, FILES).write.parquet(path)
 
@@ -522,7 +591,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     starts = files.select("file", "segment", "n_ids").withColumn("inside", inside).join(before, "file").select("file", "segment", (F.col("before_file") + F.col("inside")).alias("before"))
 
     def decoded(segments: list[dict]) -> Iterator[pa.RecordBatch]:
-        tokens, at = decode_blocks([b for s in segments for b in s["blocks"]]).astype("<u4"), 0
+        tokens, at = decode_blocks([b for s in segments for b in s["blocks"]]).astype("<u4", copy=False), 0
         for s in segments:
             n = np.frombuffer(s["sizes"], "<i8")
             ends = np.cumsum(n)
@@ -543,7 +612,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = s.pop("crc32")
                 if _checksum(**s) != crc:
                     raise DamagedBlock("the checksum of a segment does not hold")
-                if held and sum(len(h["blocks"]) for h in held) + len(s["blocks"]) > MOST_LANES // 2:
+                if held and sum(len(h["blocks"]) for h in held) + len(s["blocks"]) > MOST_LANES:
                     yield from decoded(held)
                     held = []
                 held.append(s)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from ferrylake.llm.common import text_bytes, text_slices, tokenizer_path
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-#: Chunks, words or parts that a worker's table may hold before those that the last texts didn't use go, and the longest that stays.
+#: Chunks, words or parts that a worker's table may hold before those that few batches used go, and the longest that stays.
 CACHE_CHUNKS, CACHE_BYTES = 300_000, 64
 #: Bytes of text that are cut and encoded at a time.
 BATCH_BYTES = 2 << 20
@@ -28,14 +28,18 @@ BATCH_BYTES = 2 << 20
 _LETTERS, _MARKS = "[A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+", "[.,;:!?*$%&#|]*"
 _PLAIN = rf"^(?P<word>{_LETTERS})(?P<end>{_MARKS})(?:(?P<line>\n)(?P<word2>{_LETTERS})(?P<end2>{_MARKS}))?$"
 
-_workers: dict[str, "Encoder"] = {}
+#: The characters that stand for bytes in a byte-level vocabulary: themselves where they can be seen.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = dict(zip(_SEEN + [b for b in range(256) if b not in _SEEN], map(chr, _SEEN + list(range(256, 512 - len(_SEEN)))), strict=True))
 
+_workers: dict[tuple[str, int], "Encoder"] = {}
 
-def encoder(vocabulary: str) -> "Encoder":
-    """The worker's encoder of a vocabulary."""
-    if vocabulary not in _workers:
-        _workers[vocabulary] = Encoder(vocabulary)
-    return _workers[vocabulary]
+
+def encoder(vocabulary: str, room: int = CACHE_CHUNKS) -> "Encoder":
+    """The worker's encoder of a vocabulary, with tables of `room` strings."""
+    if (vocabulary, room) not in _workers:
+        _workers[vocabulary, room] = Encoder(vocabulary, room)
+    return _workers[vocabulary, room]
 
 
 def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -47,26 +51,23 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 class _Table:
     """Strings and their ids. Strings are found by Arrow, all at once, and compared whole."""
 
-    def __init__(self, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
-        self.make = make  # different strings to their ids, one after another, and how many each has
-        self.clear()
-
-    def clear(self) -> None:
+    def __init__(self, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], room: int = CACHE_CHUNKS):
+        self.make, self.room = make, room  # make: different strings to their ids, one after another, and how many each has
         self.keys, self.flat = pa.array([], pa.string()), np.zeros(0, np.uint32)
-        self.starts, self.sizes, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int32)  # calls that looked a string up; of calls before a shrinking, half
 
     def _shrink(self) -> None:
-        stay = self.used & (np.asarray(pc.binary_length(self.keys)) <= CACHE_BYTES)
-        if 2 * stay.sum() > CACHE_CHUNKS:
-            self.clear()
-            return
+        short, least = np.asarray(pc.binary_length(self.keys)) <= CACHE_BYTES, 2
+        while 2 * ((stay := short & (self.used >= least)).sum()) > self.room:
+            least *= 2
         self.keys, self.flat = self.keys.filter(pa.array(stay)), _gathered(self.flat, self.starts[stay], self.sizes[stay])
-        self.sizes = self.sizes[stay]
+        self.sizes, self.used = self.sizes[stay], self.used[stay] // 2
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def find(self, values: pa.Array) -> np.ndarray:
         """The place of each value in the table; `starts`, `sizes` and `flat` hold its ids until the next call."""
-        if len(self.keys) > CACHE_CHUNKS:
+        if len(self.keys) > self.room:
             self._shrink()
         values = values.fill_null("") if values.null_count else values
         coded = values.dictionary_encode()
@@ -83,27 +84,25 @@ class _Table:
             self.keys = pa.concat_arrays([self.keys, missing.cast(pa.string())])
             self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.flat)])
             self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
-        out = place[np.asarray(coded.indices)]
-        self.used = np.zeros(len(self.keys), bool)
-        self.used[place] = True
-        return out
+            self.used = np.concatenate([self.used, np.zeros(len(missing), np.int32)])
+        self.used[place] += 1
+        return place[np.asarray(coded.indices)]
 
 
 class Encoder:
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, room: int = CACHE_CHUNKS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(vocabulary))
         self.spaced = vocabulary != WORD_BPE  # chunks keep the space before them
-        self.after_space, self.first = _Table(lambda x: self._chunks(x, self.spaced)), _Table(lambda x: self._chunks(x, False))
-        self.words = {s: _Table(lambda x, s=s: self._words(x, " " if s else "")) for s in (True, False)}
+        self.after_space, self.first = _Table(lambda x: self._chunks(x, self.spaced), room), _Table(lambda x: self._chunks(x, False), room)
+        self.words = {s: _Table(lambda x, s=s: self._words(x, " " if s else ""), room) for s in (True, False)}
         self.parts = _Table(lambda x: self._wholes(x.to_pylist()))
-        # A token that begins a word with its space, or one that ends a word: it tells words apart in a longer text.
-        edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        # A token that ends a word: it tells words apart in a longer text.
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
-            edge[i] = token.startswith("\u0120") if self.spaced else token.endswith("</w>")
-        self.edge = edge
+            self.edge[i] = token.endswith("</w>")
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, encoded whole."""
@@ -146,18 +145,25 @@ class Encoder:
         return _gathered(flat, starts, n), n
 
     def _words(self, words: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of plain words, encoded side by side: many short calls cost more than a few longer ones."""
-        if self.spaced and not before:  # such words can't stand side by side; each text has few
-            return self._wholes(words.to_pylist())
+        """Ids of plain words. Many short calls cost more than a few longer ones, so words are encoded side by side; but a
+        byte-level model takes a word at a time, as what the library would cut out of a text, without the search for it."""
+        if self.spaced:
+            tokens, ids, n = self.tokenizer.model.tokenize, [], []
+            for w in words.to_pylist():
+                w = w if w.isascii() else "".join([_BYTES[b] for b in w.encode()])
+                own = [t.id for t in tokens("\u0120" + w if before else w)]
+                ids += own
+                n.append(len(own))
+            return np.array(ids, np.uint32), np.array(n, np.int64)
         bounds = [*range(0, len(words), 64), len(words)]
         groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words), " ").to_pylist()
         flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for i, ids in enumerate(self.whole([before + g for g in groups])):
+        for i, ids in enumerate(self.whole(groups)):
             at = np.flatnonzero(self.edge[ids])
             if len(at) == bounds[i + 1] - bounds[i]:
-                n = np.diff(np.append(at, len(ids)) if self.spaced else np.append(-1, at))
+                n = np.diff(np.append(-1, at))
             else:  # a word that isn't one after all
-                ids, n = self._wholes([before + w for w in words.slice(bounds[i], bounds[i + 1] - bounds[i]).to_pylist()])
+                ids, n = self._wholes(words.slice(bounds[i], bounds[i + 1] - bounds[i]).to_pylist())
             flat.append(ids)
             sizes.append(n)
         return np.concatenate(flat), np.concatenate(sizes)
@@ -182,12 +188,12 @@ class Encoder:
             return [word, chunk[len(word) :]]
         return [chunk]
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array, batch_bytes: int = BATCH_BYTES) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column (null: empty), one after another, and where each text's begin, with an end."""
         column = column.cast(pa.string()).fill_null("") if column.null_count or not pa.types.is_string(column.type) else column
         ids, ends = [], [np.zeros(1, np.int64)]
         total = 0
-        for a, b in text_slices(column, BATCH_BYTES):
+        for a, b in text_slices(column, batch_bytes):
             some, offsets = self._encode(column.slice(a, b - a))
             pa.default_memory_pool().release_unused()  # workers stay, with what Arrow keeps for them
             ids.append(some)

@@ -2,12 +2,14 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import SCHEMA, odd_rows
 from tokenizers import Tokenizer
 
 from ferrylake.llm import chunk_reuse, packing, queries, range_coder
 from ferrylake.llm.common import tokenizer_path
+from ferrylake.llm.tokenize import BYTE_BPE, encoder
 
 
 def ids_of(name, texts):
@@ -173,3 +175,28 @@ def test_the_id_of_a_weight_is_found_without_a_search():
         at = np.concatenate([prior[:-1], prior[1:] - 1, np.random.default_rng(bits).integers(0, 1 << range_coder.MIX_BITS, 10_000)])
         guess = guesses[at >> by]
         assert (guess + (at >= prior[guess + 1]) == np.searchsorted(prior, at, "right") - 1).all()
+
+
+def test_damage_anywhere_in_the_coded_bytes_is_found_before_decoding(monkeypatch):
+    block = range_coder.encode_blocks(np.random.default_rng(5).integers(0, 5000, 300).astype(np.uint32))[0]
+    monkeypatch.setattr(range_coder, "_decoded", lambda *_: pytest.fail("decoded"))
+    for at in range(len(block)):
+        broken = bytearray(block)
+        broken[at] ^= 1
+        with pytest.raises(range_coder.DamagedBlock):
+            range_coder.decode_blocks([bytes(broken)])
+
+
+def test_plain_words_are_encoded_as_the_library_does_and_often_used_ones_stay():
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    words = [a + b for a in letters for b in ("", "a", "Zé")]
+    texts = [f"x {' '.join(words[i : i + 40])}\n{w}. {w}" for i, w in enumerate(words)]
+    wanted, _ = ids_of("byte_bpe_50k.json", texts)
+    some = encoder(BYTE_BPE, 100)
+    for part in (texts, texts[:3], texts[:3]):
+        ids, offsets = some.encode(pa.array(part), 1 << 12)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == wanted[: len(part)]
+    table = range_coder.encoder(BYTE_BPE, 101).after_space
+    for i in range(8):
+        table.find(pa.array(["often", *(f"once{k}" for k in range(20 * i, 20 * i + 20))]))
+    assert "often" in table.keys.to_pylist() and len(table.keys) < 161
