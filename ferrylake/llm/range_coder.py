@@ -141,8 +141,10 @@ class _Model:
             self.counts[own] += np.bincount((lane * self.room + x[some]).ravel(), minlength=len(lane) * self.room).astype(np.int32)
             kinds = lane * 512 + states[some] * np.uint16(4) + hit2[some] * np.uint16(2) + hit1[some]
             found = np.bincount(kinds.ravel(), minlength=len(lane) * 512).reshape(-1, 4)
-            given = [np.bincount((kinds >> 2).ravel(), (self.spread[own].take(lane * self.room + k[some]) & 0x7FFF).ravel(), len(lane) * 128).astype(np.int64) for k in (two, one)]
-            self.states[:, i * 128 : (i + len(lane)) * 128] += np.stack([found.sum(1), found[:, 2] + found[:, 3], found[:, 1] + found[:, 3], *given])
+            slots = [self.spread[own].take(lane * self.room + k[some]) & 0x7FFF for k in (two, one)]
+            # both sums at once: below 2**24 each in a step, so floats are exact
+            sums = np.bincount((kinds >> 2).ravel(), (slots[0] * float(1 << 24) + slots[1]).ravel(), len(lane) * 128).astype(np.int64)
+            self.states[:, i * 128 : (i + len(lane)) * 128] += np.stack([found.sum(1), found[:, 2] + found[:, 3], found[:, 1] + found[:, 3], sums >> 24, sums & 0xFFFFFF])
 
     def count(self, known: np.ndarray, seen: int, next_: int, last: int) -> None:
         """Makes the predictions for the next `next_` ids from `seen` ids, of which `last` came since the last call."""
@@ -306,7 +308,8 @@ def _written(start: np.ndarray, wide: np.ndarray, n_steps: np.ndarray) -> list[b
     All numbers are below 2**53, so floats are exact; they are faster than integers of 64 bits.
     """
     lanes = len(n_steps)
-    low, width = np.zeros(lanes), np.full(lanes, float(1 << 48))
+    both = np.zeros((2, lanes))  # low and width
+    both[1] = 1 << 48
     digits, written = np.zeros((len(start) + 64, lanes), np.int32), np.zeros((len(start) + 64, lanes), bool)
     live = np.searchsorted(-n_steps, -np.arange(len(start)), "left").tolist()
     at = 0
@@ -314,7 +317,8 @@ def _written(start: np.ndarray, wide: np.ndarray, n_steps: np.ndarray) -> list[b
     for t, now in enumerate(live):
         if now != n:
             n = now
-            lo, wi = low[:n], width[:n]
+            live_both = both[:, :n]
+            lo, wi = live_both
         r = np.floor(wi * _PER_MIX)
         lo += r * start[t, :n]
         np.multiply(r, wide[t, :n], out=wi)
@@ -324,13 +328,14 @@ def _written(start: np.ndarray, wide: np.ndarray, n_steps: np.ndarray) -> list[b
             narrow = np.less(wi, _NARROW, out=written[at, :n])
             digit = np.floor(lo * (1 / _NARROW))
             digits[at, :n] = digit
-            digit *= _NARROW
-            np.copyto(lo, (lo - digit) * 65536, where=narrow)
-            np.copyto(wi, wi * 65536, where=narrow)
+            digit *= 65536 * _NARROW
+            more = live_both * 65536
+            more[0] -= digit
+            np.copyto(live_both, more, where=narrow)
             at += 1
             if wi.min() >= _NARROW:
                 break
-    rest = np.empty((3, lanes), np.int32)
+    low, rest = both[0], np.empty((3, lanes), np.int32)
     for i in range(3):
         rest[i] = low / _NARROW
         low = (low % _NARROW) * 65536
@@ -384,31 +389,32 @@ class _Reader:
         digits = np.zeros((len(bodies), n), np.uint16)
         for own, body in zip(digits, bodies, strict=True):
             own[: len(body) // 2] = np.frombuffer(body, ">u2")
-        self.code = digits[:, 0] * float(1 << 32) + digits[:, 1] * 65536.0 + digits[:, 2]
-        self.width, self.pos, self.digits = np.full(len(bodies), float(1 << 48)), np.arange(len(bodies)) * n + 3, digits.reshape(-1)
+        self.both = np.full((2, len(bodies)), float(1 << 48))  # code and width
+        self.both[0] = digits[:, 0] * float(1 << 32) + digits[:, 1] * 65536.0 + digits[:, 2]
+        self.pos, self.digits = np.arange(len(bodies)) * n + 3, digits.reshape(-1)
         self.live(len(bodies))
 
     def live(self, n: int) -> None:
         """Only the first `n` lanes go on."""
-        self.code, self.width, self.pos = self.code[:n], self.width[:n], self.pos[:n]
+        self.both, self.pos = self.both[:, :n], self.pos[:n]
+        self.code, self.width = self.both
 
     def weight(self) -> np.ndarray:
         """The place of each lane's code in the mixture."""
         self.r = np.floor(self.width * _PER_MIX)
         return np.minimum(self.code / self.r, _TOP).astype(np.int32)  # bounded before the cast: a damaged block may lead anywhere
 
-    def take(self, start: np.ndarray, wide: np.ndarray) -> None:
-        """Takes the interval in which that place lies."""
+    def take(self, interval: np.ndarray) -> None:
+        """Takes the interval (start, width) in which that place lies."""
         code, width, pos = self.code, self.width, self.pos
-        code -= self.r * start
-        np.multiply(self.r, wide, out=width)
+        start, width[:] = self.r * interval
+        code -= start
         while True:
             narrow = width < _NARROW
-            more = code * 65536
-            more += self.digits.take(pos, mode="clip")  # a damaged block may read on in others
-            np.copyto(code, more, where=narrow)
-            np.copyto(width, width * 65536, where=narrow)
-            np.copyto(pos, pos + 1, where=narrow)
+            more = self.both * 65536
+            more[0] += self.digits.take(pos, mode="clip")  # a damaged block may read on in others
+            np.copyto(self.both, more, where=narrow)
+            pos += narrow
             if width.min() >= _NARROW:
                 return
 
@@ -441,13 +447,14 @@ def _names(bodies: list[memoryview], known: np.ndarray, bits: np.ndarray) -> np.
         if n != len(reader.code):
             reader.live(n)
         at = reader.weight()
-        start, end = np.empty(n, np.int64), np.empty(n, np.int64)
+        interval = np.empty((2, n), np.int64)
         for b, (prior, by, guesses) in priors.items():
             own = slice(None) if len(priors) == 1 else bits[:n] == b
             guess = guesses.take(at[own] >> by)
             guess = guess + (at[own] >= prior.take(guess + 1))
-            out[t, :n][own], start[own], end[own] = guess, prior.take(guess), prior.take(guess + 1)
-        reader.take(start, end - start)
+            start = prior.take(guess)
+            out[t, :n][own], interval[0, own], interval[1, own] = guess, start, prior.take(guess + 1) - start
+        reader.take(interval)
     return out.T[np.argsort(order)]
 
 
@@ -456,43 +463,48 @@ def _numbers(bodies: list[memoryview], sizes: np.ndarray) -> tuple[np.ndarray, n
     lanes, longest = len(bodies), int(sizes[0])
     reader, m = _Reader(bodies), _Model(len(bodies), True)
     room = longest + 32
-    followers, pairs = np.zeros(lanes * room, np.uint16), np.zeros(lanes << PAIRS_BITS, np.uint16)
-    at_followers, at_pairs, at_slots, at_shares = m.lane * room, m.lane << PAIRS_BITS, m.lane << SLOT_BITS, m.lane * 128
-    known, hits, hash_ = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16)
-    i1, before = at_followers.copy(), np.zeros(lanes, np.uint16)
+    # The predictions of order 1 for each number, then those of order 2 for each hash; a row each where both are looked up.
+    predicted = np.zeros(lanes * (room + (1 << PAIRS_BITS)), np.uint16)
+    at_both = np.stack([m.lane * room, lanes * room + (m.lane << PAIRS_BITS)])
+    at_slots, at_shares = m.lane << SLOT_BITS, m.lane * 128
+    known, hits = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16)
+    before, key = np.zeros(lanes, np.uint16), np.zeros((2, lanes), np.uint16)
     by_step = np.zeros((longest, lanes), np.uint16)
     live = np.searchsorted(-sizes, -np.arange(longest), "left").tolist()
-    slots, eight, ten, of2, of1, both, one_bit = m.slots.reshape(-1), *(np.uint16(k) for k in (8, 10, 0x60, 0x18, 3, 1))
+    slots, eight, ten, both, one_bit = m.slots.reshape(-1), *(np.uint16(k) for k in (8, 10, 3, 1))
     unhashed, same_bit, (by_last, by_before) = np.uint16(16 - PAIRS_BITS), np.uint8(2), _HASH
     since, n = 0, lanes
     for begin, size in _steps(longest):
         m.count(known.astype(np.int64), begin, size, since)
         since = size
         end = min(begin + size, longest)
-        states, twos, ones = (np.zeros((end - begin, lanes), np.uint16) for _ in range(3))
-        all2, all1 = np.zeros(states.shape, bool), np.zeros(states.shape, bool)
+        states, numbers = np.zeros((end - begin, lanes), np.uint16), np.zeros((end - begin, 2, lanes), np.uint16)
+        held = np.zeros(numbers.shape, bool)
         base = m.base[:n]
         for t in range(begin, end):
             if live[t] != n:
                 n = live[t]
                 reader.live(n)
-                base, at_followers, at_pairs, at_slots, at_shares = m.base[:n], at_followers[:n], at_pairs[:n], at_slots[:n], at_shares[:n]
-                i1, before, hash_, hits = i1[:n], before[:n], hash_[:n], hits[:n]
+                base, at_both, at_slots, at_shares = m.base[:n], at_both[:, :n], at_slots[:n], at_shares[:n]
+                key, before, hits = key[:, :n], before[:n], hits[:n]
             # what orders 1 and 2 predict, and the shares of all orders
-            e1 = followers.take(i1)
-            i2 = at_pairs + (hash_ >> unhashed)
-            e2 = pairs.take(i2)
-            one, two = np.bitwise_and(e1, _NUMBER, out=ones[t - begin, :n]), np.bitwise_and(e2, _NUMBER, out=twos[t - begin, :n])
+            places = at_both + key
+            found = predicted.take(places)
+            one, two = guess = np.bitwise_and(found, _NUMBER, out=numbers[t - begin, :, :n])
+            found &= _SURE
             same = one == two
             state = states[t - begin, :n]
-            np.bitwise_and(e2 >> eight, of2, out=state)
-            state |= (e1 >> ten) & of1
+            np.right_shift(found[1], eight, out=state)
+            state |= found[0] >> ten
             state |= same.view(np.uint8) << same_bit
             state |= hits
             v = m.shares.take(at_shares + state)
             points = v & 0xFF
             v0 = np.int32(256) - points
-            a2, a1 = (v >> 8) << SLOT_BITS, points << SLOT_BITS
+            edges = np.empty((3, n), np.int32)  # 0, and where the shares of order 2 and of both end; then of order 1 the width
+            edges[0] = 0
+            a2, a1 = np.left_shift(v >> 8, SLOT_BITS, out=edges[1]), points << SLOT_BITS
+            np.subtract(a1, a2, out=edges[2])
             # the number whose interval holds the code, first by order 0
             at = reader.weight()
             by2, by = at < a2, at < a1
@@ -504,29 +516,28 @@ def _numbers(bodies: list[memoryview], sizes: np.ndarray) -> tuple[np.ndarray, n
             np.copyto(x, two, where=by2)
             # its interval
             s = m.spread.take(base + x)
-            first = s >> 15
-            s &= 0x7FFF
+            interval = np.empty((2, n), np.int32)
+            first, wide = np.right_shift(s, 15, out=interval[0]), np.bitwise_and(s, 0x7FFF, out=interval[1])
             new = x == known[:n]
-            np.copyto(s, SLOTS - first, where=new)
-            first *= v0
+            np.copyto(wide, SLOTS - first, where=new)
+            interval *= v0
             first += a1
-            s *= v0
-            np.copyto(first, a2, where=by)
-            np.copyto(s, a1 - a2, where=by)
-            np.copyto(first, 0, where=by2)
-            np.copyto(s, a2, where=by2)
-            reader.take(first, s)
+            np.copyto(interval, edges[1:], where=by)
+            np.copyto(interval, edges[:2], where=by2)
+            reader.take(interval)
             # what the next ids are told; a confidence is 1 where the prediction failed, else one more, 3 at most
-            hit2, hit1 = np.equal(x, two, out=all2[t - begin, :n]), x == one
-            np.greater(hit1, same, out=all1[t - begin, :n])
-            followers[i1] = (x | _ONCE) + np.minimum(e1 & _SURE, _TWICE) * hit1
-            pairs[i2] = (x | _ONCE) + np.minimum(e2 & _SURE, _TWICE) * hit2
-            hits = (hits << one_bit | hit2) & both
+            hit = np.equal(guess, x, out=held[t - begin, :, :n])
+            np.minimum(found, _TWICE, out=found)
+            found *= hit
+            found += x | _ONCE
+            predicted[places] = found
+            hits = (hits << one_bit | hit[1]) & both
             known[:n] += new
-            hash_ = x * by_last + before
+            key[0] = x
+            key[1] = (x * by_last + before) >> unhashed
             before = x * by_before
-            i1 = at_followers + x
-        m.take_up(by_step[begin:end].T, states.T, twos.T, ones.T, all2.T, all1.T)
+        one, two = numbers[:, 0], numbers[:, 1]
+        m.take_up(by_step[begin:end].T, states.T, two.T, one.T, held[:, 1].T, (held[:, 0] & (one != two)).T)
     return by_step, known.astype(np.int64)
 
 
@@ -549,6 +560,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = BYTE_BPE, end: int = END
 
         def coded(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
             table = pa.Table.from_batches(tables)
+            tables.clear()
             doc_ids, texts = table.column(0).combine_chunks(), table.column(1).combine_chunks()
             ids, offsets = encoder(vocabulary, TABLE_ROOM).encode(texts, BATCH_BYTES)
             sizes = np.diff(offsets) + 1
@@ -556,6 +568,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = BYTE_BPE, end: int = END
             own = np.ones(len(tokens), bool)
             own[np.cumsum(sizes) - 1] = False
             tokens[own] = ids
+            del table, texts, ids, own  # what is next needs the place
             values = np.asarray(doc_ids.fill_null(0)).astype("<i8")
             row = [file, segment, len(tokens), values.tobytes(), doc_ids.null_count, sizes.astype("<i8").tobytes(), encode_blocks(tokens)]
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.int64())
