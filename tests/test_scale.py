@@ -57,3 +57,41 @@ def test_pairs_of_a_deployment_are_not_shuffled(spark):
     assert sorted((r.id or 0, r.resource_id) for r in found.collect()) == [(0, "a"), (0, "b"), (1, "a"), (1, "b"), (2, "a"), (2, "b")]
     top = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert top[0].startswith("Union") and top[1].startswith(":- Project")  # before: an Aggregate over all pairs
+
+
+def sent(df):
+    """Rows that all exchanges of a plan wrote."""
+    df.collect()
+    left, total = [df._jdf.queryExecution().executedPlan()], 0
+    while left:
+        x = left.pop()
+        kind = x.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(x.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            left.append(x.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                total += x.metrics().apply("shuffleRecordsWritten").value()
+            left += [x.children().apply(i) for i in range(x.children().size())]
+    return total
+
+
+def test_keys_of_a_deployment_are_not_copied_to_each_task(spark):
+    auth = spark.range(100).selectExpr("cast(id AS int) AS id", "cast(id % 50 AS string) AS resource_id")
+    resources = spark.range(2000).selectExpr("cast(id % 50 AS string) AS deployment", "concat('k', id) AS resource_key")
+    found = identity.by_deployment(auth, resources)
+    assert sent(found) < 8_000  # 10,300 with a copy for each of 4 tasks, and more with more tasks
+    assert found.count() == found.distinct().count() == 4_000
+
+
+def test_pairs_of_a_large_deployment_are_dealt_as_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(identity, "PAIRS", 40)
+    monkeypatch.setattr(identity, "KEYS", 4)
+    auth = spark.range(60).selectExpr("IF(id = 7, NULL, id) AS id", "CASE WHEN id % 3 > 0 THEN 'hot' WHEN id % 2 > 0 THEN 'b' ELSE 'c' END AS resource_id").union(spark.createDataFrame([(1, "b"), (2, "b")], "id long, resource_id string"))
+    resources = spark.range(30).selectExpr("IF(id % 5 > 0, 'hot', 'b') AS deployment", "IF(id < 2, NULL, concat('k', id % 20)) AS resource_key")
+    for keys in (resources, resources.selectExpr("deployment", "array(resource_key) AS resource_key")):
+        got = identity.by_deployment(auth, keys)
+        assert "_wide" in plan(got)
+        want = auth.alias("a").join(keys.alias("k"), auth.resource_id == keys.deployment).select("id", "resource_key").distinct().collect()
+        assert sorted(map(str, got.collect())) == sorted(str(r).replace("resource_key", "resource_id") for r in want) and len(want) > 400
