@@ -93,15 +93,30 @@ def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     return rows.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("position", F.col("_before") + F.col("_nth") + 1).drop("_part", "_nth", "_before")
 
 
-def dealt_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "left", shares: int = 16) -> DataFrame:
+def hot_keys(counts: DataFrame, on: list[str], n: str) -> list[int]:
+    """Hashes of the keys that have over a thousandth of all rows, and so a thousand at most."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) > max(total // 1000, HOT_ROWS)).select(F.xxhash64(*on)).collect()]
+
+
+#: A key with fewer rows is not hot.
+HOT_ROWS = 10_000
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "left", shares: int = 16, hot: list[int] | None = None) -> DataFrame:
     """Joins many rows with few, where some keys have a large part of the left rows.
 
-    Left rows of a key are dealt to `shares` tasks by a hash of `by`, right rows are there once for each share. `how` is
+    Left rows of a key are dealt to `shares` tasks by a hash of `by`, right rows are there once for each share. With `hot`
+    (hashes of `hot_keys`) this holds for these keys only, and right rows of all others are there once. `how` is
     inner or left. Shares that are still too large are split by adaptive execution. Right rows are never broadcast: the size of
     their files says nothing of their copies.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"{how}: right rows are repeated, so only inner and left joins are right")
-    dealt = left.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(shares)).cast("int"))
-    copies = right.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    if hot is not None and not hot:
+        return left.join(right.hint("merge"), on, how)
+    # A key that only shares its hash with a hot one is dealt on both sides, too.
+    many = F.lit(True) if hot is None else F.xxhash64(*on).isin(hot)
+    dealt = left.withColumn("_share", F.when(many, F.pmod(F.xxhash64(by), F.lit(shares))).otherwise(0).cast("int"))
+    copies = right.withColumn("_share", F.explode(F.sequence(F.lit(0), F.when(many, shares - 1).otherwise(0))))
     return dealt.join(copies.hint("merge"), [*on, "_share"], how).drop("_share")

@@ -95,3 +95,7 @@ def test_pairs_of_a_large_deployment_are_dealt_as_a_grid(spark, monkeypatch):
         assert "_wide" in plan(got)
         want = auth.alias("a").join(keys.alias("k"), auth.resource_id == keys.deployment).select("id", "resource_key").distinct().collect()
         assert sorted(map(str, got.collect())) == sorted(str(r).replace("resource_key", "resource_id") for r in want) and len(want) > 400
+
+
+def test_instances_meet_their_models_in_one_row(spark, small):
+    assert sent(trees.instance_validation(spark, small)) < 20_000  # before: a row for each active node, and 16 copies of each verdict

@@ -1,8 +1,10 @@
 """Instance trees: every reason, their order, and rows that lack something."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from ferrylake.operators.resolve import dealt_join
+from ferrylake.operators import resolve
+from ferrylake.operators.resolve import dealt_join, hot_keys
 from ferrylake.operators.validation import validate
 from ferrylake.plans import trees
 from ferrylake.sources.scans import xml_nodes
@@ -74,3 +76,31 @@ def test_dealt_join_with_a_hot_key(spark):
     assert {r.v: r["count"] for r in got} == {1: 2000, 2: 143, 3: 143, None: 714}
     with pytest.raises(ValueError, match="only inner and left"):
         dealt_join(left, right, ["k"], "id", "full")
+
+
+def test_dealt_join_copies_rows_of_hot_keys_only(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "HOT_ROWS", 500)
+    left = spark.range(3000).selectExpr("id", "IF(id % 3 > 0, 'hot', cast(id % 7 AS string)) AS k")
+    right = spark.createDataFrame([("hot", 1), ("0", 2), ("3", 3)], "k string, v int")
+    hot = hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), ["k"], "n")
+    assert len(hot) == 1 and hot_keys(left.limit(0).groupBy("k").agg(F.count("*").alias("n")), ["k"], "n") == []
+    for some in (hot, []):
+        got = dealt_join(left, right, ["k"], "id", hot=some).groupBy("v").count().collect()
+        assert {r.v: r["count"] for r in got} == {1: 2000, 2: 143, 3: 143, None: 714}
+
+
+def test_nodes_that_come_with_their_instances(spark):
+    docs = lambda t: xml_nodes(spark.createDataFrame([("d", t)], "doc_id string, xml string"), "doc_id", "xml")
+    twice = "<process><task id='a'/><callActivity id='c'/><parallelGateway id='a'/><task/></process>"
+    rows = [(1, 1, "d", "d", None, ["c", None, "a"]), (2, 2, "d", "d", "", None), (3, 3, "d", "d", "no", ["a"]), (4, 4, "d", "e", "x", ["a"]), (5, 5, "d", "d", "x", ["b"]), (6, 6, "d", "d", None, ["a", "q"]), (6, 5, "d", ">", None, [None])]
+    instances = spark.createDataFrame(rows, "root int, instance int, source string, target string, tenant string, nodes array<string>")
+    deployed = spark.createDataFrame([("d", None, 1, "d"), ("d", "x", 1, "d")], "target string, tenant string, version int, doc_id string")
+    got = {r.root: (r.reason, r.aborts) for r in validate(instances, None, docs(twice), docs(OK.format("")), deployed, ["x"], "m").collect()}
+    assert got == {
+        1: (None, False),
+        2: (None, False),
+        3: ("tenant no is not among those of this run", False),
+        4: ("e is not deployed for tenant x", False),
+        5: ("b is not in its own model", True),
+        6: ("> is not deployed", False),
+    }
